@@ -57,6 +57,15 @@ def compact(spark: SparkSession, df: DataFrame, new_path: str,
 _URI = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://")
 
 
+def same_location(a: str | None, b: str | None) -> bool:
+    """Compare two locations as the catalog stores them: ``file:///x`` and
+    ``file:/x`` (an empty authority) are the same place."""
+    if a is None or b is None:
+        return False
+    norm = lambda u: re.sub(r"^([a-zA-Z][a-zA-Z0-9+.-]*):///", r"\1:/", u.rstrip("/"))
+    return norm(a) == norm(b)
+
+
 def table_location(spark: SparkSession, table: str) -> str | None:
     """Location from the table metadata (the detail section of DESCRIBE,
     so a data column named ``Location`` cannot shadow it)."""
@@ -89,7 +98,7 @@ def relocate(spark: SparkSession, table: str, new_location: str) -> DataFrame:
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_location}'")
     spark.catalog.refreshTable(table)
     now = table_location(spark, table)
-    if now is None or now.rstrip("/") != new_location.rstrip("/"):
+    if not same_location(now, new_location):
         raise RuntimeError(f"location not updated: {now}")
     return spark.createDataFrame([(table, now, check["left_rows"], True)],
                                  "table_name string, location string, rows bigint, verified boolean")
