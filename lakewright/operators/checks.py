@@ -57,32 +57,38 @@ class Check:
     recommendation: str | None = None
 
 
+def sql_string(s: str | None) -> str:
+    """A Spark SQL string literal (or NULL)."""
+    if s is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def run_checks(df: DataFrame, table_name: str, checks: list[Check], run_id: str) -> DataFrame:
-    """R2: one result row per check, all computed in one aggregate pass."""
+    """R2: one result row per check, all computed in one aggregate pass.
+
+    The aggregate row is unpivoted with one ``stack`` generator; the result
+    rows are SQL expressions over that single row.
+    """
     one = df.agg(F.count(F.lit(1)).alias("__rows"),
                  *[c.observed.cast("bigint").alias(f"__c{i}") for i, c in enumerate(checks)])
-    rows = F.col("__rows")
-    entries = []
+    rows = []
     for i, c in enumerate(checks):
-        obs = F.col(f"__c{i}")
+        obs = f"__c{i}"
         if c.severity == INFO:
-            status = F.lit(INFO)
-            message = F.concat(F.lit(c.message + ": "), obs.cast("string"))
+            status = sql_string(INFO)
+            message = f"concat({sql_string(c.message + ': ')}, CAST({obs} AS STRING))"
         else:
-            status = (F.when(rows == 0, F.lit(SKIPPED))
-                      .when(F.coalesce(obs, F.lit(0)) == 0, F.lit(PASS))
-                      .otherwise(F.lit(c.severity)))
-            message = F.concat(obs.cast("string"), F.lit(" of "), rows.cast("string"),
-                               F.lit(" rows: " + c.message))
-        details = F.create_map(F.lit("rows_checked"), rows.cast("string"),
-                               F.lit("observed"), obs.cast("string"))
-        entries.append(F.struct(
-            F.lit(c.name).alias("check_name"), status.alias("status"),
-            message.alias("message"), obs.alias("observed"), details.alias("details"),
-            F.lit(c.recommendation).cast("string").alias("recommendation")))
-    return one.select(F.explode(F.array(*entries)).alias("e")).select(
-        F.lit(run_id).alias("run_id"), F.lit(table_name).alias("table_name"),
-        "e.check_name", "e.status", "e.message", "e.observed", "e.details", "e.recommendation")
+            status = (f"CASE WHEN __rows = 0 THEN {sql_string(SKIPPED)} "
+                      f"WHEN coalesce({obs}, 0) = 0 THEN {sql_string(PASS)} ELSE {sql_string(c.severity)} END")
+            message = (f"concat(CAST({obs} AS STRING), ' of ', CAST(__rows AS STRING), "
+                       f"{sql_string(' rows: ' + c.message)})")
+        details = f"map('rows_checked', CAST(__rows AS STRING), 'observed', CAST({obs} AS STRING))"
+        rows.append(f"{sql_string(c.name)}, {status}, {message}, {obs}, {details}, "
+                    f"{sql_string(c.recommendation)}")
+    stack = (f"stack({len(checks)}, {', '.join(rows)}) "
+             f"AS (check_name, status, message, observed, details, recommendation)")
+    return one.selectExpr(f"{sql_string(run_id)} AS run_id", f"{sql_string(table_name)} AS table_name", stack)
 
 
 def access_checks(visible: DataFrame, catalog_columns: list[str]) -> list[Check]:

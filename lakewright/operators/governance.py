@@ -15,7 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from lakewright.operators.sizing import (
+    DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, fits_broadcast,
+)
 
 # Permission names and the database-level table marker.
 SELECT = "SELECT"
@@ -40,17 +42,22 @@ def apply_row_policy(df: DataFrame, predicate: str | Column | None) -> DataFrame
 
 
 def entitled_rows(df: DataFrame, entitlements: DataFrame, on: list[tuple[str, str]] | list[str],
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                  max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """G1, list form: rows whose key is in the principal's entitlement list.
 
     ``on`` pairs a table column with an entitlement column (or names a
     column present in both).  The list is reduced to its distinct keys and
     broadcast when it is within the row bound; otherwise it is a shuffled
-    semi join.  A semi join never duplicates table rows.
+    semi join.  A semi join never duplicates table rows.  The size probe
+    reads at most ``max_broadcast_rows + 1`` rows of the raw list.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
-    ent = entitlements.select(*[F.col(e).alias(f"__ent_{i}") for i, (_, e) in enumerate(pairs)]).distinct()
-    ent, _ = broadcast_if_bounded(ent, max_broadcast_rows)
+    raw = entitlements.select(*[F.col(e).alias(f"__ent_{i}") for i, (_, e) in enumerate(pairs)])
+    # Probe the raw list (O(max rows) read); its distinct keys are no larger.
+    ent = raw.distinct()
+    if fits_broadcast(raw, max_broadcast_rows, max_broadcast_bytes):
+        ent = F.broadcast(ent)
     cond = reduce(lambda a, b: a & b,
                   [df[t] == ent[f"__ent_{i}"] for i, (t, _) in enumerate(pairs)])
     return df.join(ent, cond, "left_semi")

@@ -13,11 +13,13 @@ MERGE semantics on DataFrames:
   row and is never inserted;
 * two source rows for one key are an error (checked first by default).
 
-Plan choice.  A change batch is usually small next to the table.  When the
-batch is within a checked row bound it is broadcast: the target is read
-once in a left join and a second time for its keys only, and never
-shuffled.  Beyond the bound both sides are shuffled on the keys in a full
-outer join (AQE splits skewed key partitions).
+Plan choice.  A change batch is usually small next to the table.  The batch
+is profiled in one job -- rows, measured bytes, and (for the duplicate
+check) the largest number of rows sharing a key.  When rows and bytes are
+within bounds the batch is broadcast: the target is read once in a left
+join and a second time for its keys only, and never shuffled.  Beyond the
+bounds both sides are shuffled on the keys in a full outer join (AQE
+splits skewed key partitions).
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_rows
+from lakewright.operators.sizing import (
+    DEFAULT_MAX_BROADCAST_BYTES, DEFAULT_MAX_BROADCAST_ROWS, measure, row_bytes,
+)
 
 _S = "__src_"          # prefix of source columns inside the join
 _T_HIT = "__t_present"
@@ -63,6 +67,27 @@ def assert_unique_keys(df: DataFrame, keys: str | list[str]) -> None:
         raise ValueError(f"source has several rows for one target key: {dup[0].asDict()}")
 
 
+def _profile(source: DataFrame, ks: list[str], check_duplicates: bool,
+             max_rows: int) -> tuple[int, int, int]:
+    """(rows, bytes, largest group of one non-NULL key) in one job.
+
+    With the duplicate check the batch is grouped by key (partial counts
+    map-side, so a hot key is one row per task); without it only the first
+    ``max_rows + 1`` rows are read.
+    """
+    size = row_bytes(source).alias("__b")
+    if not check_duplicates:
+        rows, nbytes = measure(source, max_rows)
+        return rows, nbytes, 1
+    notnull = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ks])
+    per_key = (source.select(*ks, size, notnull.alias("__nn"))
+               .groupBy(*ks, "__nn").agg(F.count(F.lit(1)).alias("n"), F.sum("__b").alias("b")))
+    r = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+                    F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"),
+                    F.coalesce(F.max(F.when(F.col("__nn"), F.col("n"))), F.lit(0)).alias("dup")).first()
+    return int(r["rows"]), int(r["bytes"]), int(r["dup"])
+
+
 def _cond(t: DataFrame, s: DataFrame, ks: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [t[k] == s[_S + k] for k in ks])
 
@@ -70,7 +95,8 @@ def _cond(t: DataFrame, s: DataFrame, ks: list[str]) -> Column:
 def upsert(target: DataFrame, source: DataFrame, keys: str | list[str],
            update_columns: list[str] | None = None, op_column: str | None = None,
            check_duplicates: bool = True,
-           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+           max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """The target's new state after merging ``source`` into it."""
     ks = _keys(keys)
     src_cols = [c for c in source.columns if c != op_column]
@@ -84,8 +110,9 @@ def upsert(target: DataFrame, source: DataFrame, keys: str | list[str],
     bad = [c for c in updates if c not in src_cols]
     if bad:
         raise ValueError(f"update columns not in the source: {bad}")
-    if check_duplicates:
-        assert_unique_keys(source, ks)
+    rows, nbytes, largest = _profile(source, ks, check_duplicates, max_broadcast_rows)
+    if largest > 1:
+        raise ValueError(f"source has several rows for one target key ({largest} rows share a key)")
 
     s = source.select(*[F.col(c).alias(_S + c) for c in source.columns],
                       F.lit(True).alias(_S_HIT))
@@ -93,7 +120,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: str | list[str],
                  if op_column else F.lit(False))
 
     s_keys = s.select(*[F.col(_S + k) for k in ks])
-    if bounded_rows(s_keys, max_broadcast_rows):
+    if rows <= max_broadcast_rows and nbytes <= max_broadcast_bytes:
         # Target is read in place; the batch goes to every task.
         t = target
         kept = (t.join(F.broadcast(s), _cond(t, s, ks), "left")
