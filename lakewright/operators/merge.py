@@ -16,10 +16,13 @@ MERGE semantics on DataFrames:
 Plan choice.  A change batch is usually small next to the table.  The batch
 is profiled in one job -- rows, measured bytes, and (for the duplicate
 check) the largest number of rows sharing a key.  When rows and bytes are
-within bounds the batch is broadcast: the target is read once in a left
-join and a second time for its keys only, and never shuffled.  Beyond the
-bounds both sides are shuffled on the keys in a full outer join (AQE
-splits skewed key partitions).
+within bounds the batch is broadcast and the target is read in place by a
+left join, never shuffled.  Beyond the bounds both sides are shuffled on the
+keys for the same left join, plus a keys-only shuffle of the target to find
+the matched batch keys.  Inserts are the batch rows whose key was not
+matched (an anti join with at most one row per batch key).  No full outer
+join is used: AQE can split a skewed target key partition of a left or
+semi join, not of a full outer one.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from lakewright.operators.sizing import (
 )
 
 _S = "__src_"          # prefix of source columns inside the join
-_T_HIT = "__t_present"
 _S_HIT = "__s_present"
 DELETE_OP = "D"
 
@@ -119,33 +121,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: str | list[str],
     is_delete = (F.coalesce(F.col(_S + op_column) == DELETE_OP, F.lit(False))
                  if op_column else F.lit(False))
 
-    s_keys = s.select(*[F.col(_S + k) for k in ks])
-    if rows <= max_broadcast_rows and nbytes <= max_broadcast_bytes:
-        # Target is read in place; the batch goes to every task.
-        t = target
-        kept = (t.join(F.broadcast(s), _cond(t, s, ks), "left")
-                .where(~(F.col(_S_HIT).isNotNull() & is_delete)))
-        updated = kept.select(*[
-            (F.when(F.col(_S_HIT).isNotNull(), F.col(_S + c)).otherwise(t[c]) if c in updates else t[c]).alias(c)
-            for c in target.columns])
-        # Keys of the batch found in the target: at most one row per batch key.
-        tk = target.select(*ks)
-        matched = (tk.join(F.broadcast(s_keys), _cond(tk, s_keys, ks), "left_semi")
-                   .distinct().select(*[F.col(k).alias(_S + k) for k in ks]))
-        ins = s.join(F.broadcast(matched), [_S + k for k in ks], "left_anti").where(~is_delete)
-        inserted = ins.select(*[
-            (F.col(_S + c) if c in src_cols else F.lit(None).cast(target.schema[c].dataType)).alias(c)
-            for c in target.columns])
-        return updated.unionByName(inserted)
-
-    # Large batch: one shuffle join of both sides on the keys.
-    t = target.withColumn(_T_HIT, F.lit(True))
-    j = t.join(s, _cond(t, s, ks), "full_outer").where(~is_delete)
-    inserted = F.col(_T_HIT).isNull()
-    matched = F.col(_T_HIT).isNotNull() & F.col(_S_HIT).isNotNull()
-    cols = []
-    for c in target.columns:
-        insert_val = F.col(_S + c) if c in src_cols else F.lit(None).cast(target.schema[c].dataType)
-        upd_val = F.when(matched, F.col(_S + c)).otherwise(t[c]) if c in updates else t[c]
-        cols.append(F.when(inserted, insert_val).otherwise(upd_val).alias(c))
-    return j.select(*cols)
+    small = rows <= max_broadcast_rows and nbytes <= max_broadcast_bytes
+    t = target
+    j = t.join(F.broadcast(s) if small else s, _cond(t, s, ks), "left")
+    hit = F.col(_S_HIT).isNotNull()
+    updated = j.where(~(hit & is_delete)).select(*[
+        (F.when(hit, F.col(_S + c)).otherwise(t[c]) if c in updates else t[c]).alias(c)
+        for c in target.columns])
+    # Batch keys found in the target: at most one row per batch key.  The
+    # optimizer reads only the target's key columns for it (a keys-only
+    # shuffle on the large path).
+    matched = j.where(hit).select(*[F.col(_S + k) for k in ks]).distinct()
+    ins = (s.join(F.broadcast(matched) if small else matched, [_S + k for k in ks], "left_anti")
+           .where(~is_delete))
+    inserted = ins.select(*[
+        (F.col(_S + c) if c in src_cols else F.lit(None).cast(target.schema[c].dataType)).alias(c)
+        for c in target.columns])
+    return updated.unionByName(inserted)

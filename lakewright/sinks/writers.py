@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakewright.functions.columns import sql_type
@@ -27,16 +28,23 @@ FORMATS = ("json", "parquet", "csv", "text")
 
 def write_table(df: DataFrame, path: str, mode: str = "append",
                 partition_columns: list[str] | None = None,
-                schema: StructType | None = None) -> None:
+                schema: StructType | None = None, rebalance: bool = True) -> None:
     """K1/K2/K3: write ``df`` to a parquet table at ``path``.
 
     ``append`` adds files; ``overwrite`` replaces only the partitions that
     occur in ``df`` (dynamic partition overwrite), never the whole table.
+
+    A partitioned write is preceded by ``REBALANCE(partition columns)``:
+    rows of one partition value go to few tasks (no task writes a small file
+    into every partition), and AQE splits a partition value that holds a
+    large share of the rows into several tasks instead of one.
     """
     if mode not in WRITE_MODES:
         raise ValueError(f"Unsupported write mode: {mode}. Use one of {', '.join(WRITE_MODES)}")
     if schema is not None:
         df = conform_schema(df, schema)
+    if partition_columns and rebalance:
+        df = df.hint("rebalance", *partition_columns)
     w = df.write.mode(mode).option("compression", "zstd")
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
@@ -45,6 +53,55 @@ def write_table(df: DataFrame, path: str, mode: str = "append",
     w.parquet(path)
 
 
+def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
+                    partition_columns: list[str], update_columns: list[str] | None = None,
+                    op_column: str | None = None, staging_path: str | None = None) -> DataFrame:
+    """J1-J3 written back to a partitioned parquet table, rewriting only the
+    partitions the batch touches.
+
+    Touched partitions are those of the batch rows plus those of target
+    rows whose key the batch matches (an update may move a row to another
+    partition).  Their new content is written to a staging folder in the
+    shared checkpoint location first (the target is never overwritten while
+    it is read), then copied over the target with dynamic partition
+    overwrite; touched partitions left without rows are removed.  Each step
+    is an idempotent overwrite, so a rerun after a lost executor or driver
+    gives the same table.  Returns the touched partition values.
+    """
+    import uuid
+
+    from lakewright.operators.merge import upsert
+    from lakewright.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
+    from lakewright.session import checkpoint_dir
+
+    spark = source.sparkSession
+    target = spark.read.parquet(target_path)
+    parts = list(partition_columns)
+    src_keys = source.select(*keys).distinct()
+    hit = target.select(*keys, *parts).join(src_keys, keys, "left_semi").select(*parts)
+    touched = source.select(*parts).unionByName(hit).distinct()
+    touched_rows = touched.collect()          # one row per partition value
+    if not touched_rows:
+        return touched
+    small = len(touched_rows) <= DEFAULT_MAX_BROADCAST_ROWS
+    old = target.join(F.broadcast(touched) if small else touched, parts, "left_semi")
+    new = upsert(old, source, keys, update_columns=update_columns, op_column=op_column)
+    staging = staging_path or f"{checkpoint_dir(spark).rstrip('/')}/merge-staging-{uuid.uuid4().hex}"
+    write_table(new.select(*target.columns), staging, "overwrite", parts)
+    staged = spark.read.schema(target.schema).parquet(staging)
+    write_table(staged, target_path, "overwrite", parts)
+    kept = {tuple(r) for r in staged.select(*parts).distinct().collect()}
+    emptied = [r for r in touched_rows if tuple(r) not in kept]
+    if emptied:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for r in emptied:
+            sub = "/".join(f"{c}={r[c]}" for c in parts)
+            p = jvm.org.apache.hadoop.fs.Path(f"{target_path.rstrip('/')}/{sub}")
+            p.getFileSystem(conf).delete(p, True)
+    return touched
+
+
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -179,3 +179,23 @@ def test_incremental_stream_is_idempotent(spark, tmp):
     assert full.count() == ev.count()
     lg = ChangeLog(keys=("user_id",), commit_id="commit_id", committed_at="committed_at", tie="event_id")
     assert state_as_of(full, lg, timestamp=dt.datetime(2100, 1, 1)).count() == ev.select("user_id").distinct().count()
+
+
+def test_merge_into_path_rewrites_touched_partitions_only(spark, tmp):
+    from lakewright.sinks.writers import merge_into_path
+    path = os.path.join(tmp, "orders")
+    t = spark.createDataFrame([(1, "a", "1"), (2, "b", "1"), (3, "c", "2"), (4, "d", "3"), (5, "e", "4")],
+                              "k int, v string, day string")
+    t.write.partitionBy("day").parquet(path)
+    before3 = sorted(os.listdir(os.path.join(path, "day=3")))
+    src = spark.createDataFrame([(1, "a2", "1", "U"), (3, "c2", "5", "U"), (6, "f", "2", "U"),
+                                 (5, None, "4", "D")], "k int, v string, day string, op string")
+    touched = merge_into_path(src, path, ["k"], ["day"], op_column="op")
+    assert sorted(r.day for r in touched.collect()) == ["1", "2", "4", "5"]
+    got = sorted((r.k, r.v, r.day) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "a2", "1"), (2, "b", "1"), (3, "c2", "5"), (4, "d", "3"), (6, "f", "2")]
+    assert sorted(os.listdir(os.path.join(path, "day=3"))) == before3      # untouched
+    assert not os.path.exists(os.path.join(path, "day=4"))                  # emptied
+    # idempotent: the same batch again gives the same table
+    merge_into_path(src, path, ["k"], ["day"], op_column="op")
+    assert sorted((r.k, r.v, r.day) for r in spark.read.parquet(path).collect()) == got

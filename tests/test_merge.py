@@ -86,3 +86,13 @@ def test_broadcast_path_does_not_shuffle_target(spark):
     s = spark.createDataFrame([(5, "s", 2)], T)
     plan = upsert(t, s, "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_shuffle_path_has_no_full_outer_join(spark):
+    t = spark.range(1000).select(F.col("id").cast("int").alias("k"), F.lit("t").alias("a"), F.lit(1).alias("b"))
+    s = spark.createDataFrame([(5, "s", 2), (5000, "n", 3)], T)
+    out = upsert(t, s, "k", max_broadcast_rows=0)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and "LeftOuter" in plan and "LeftAnti" in plan
+    assert rows(out.where("k in (5, 5000)"), "k", "a", "b") == [(5, "s", 2), (5000, "n", 3)]
