@@ -17,7 +17,7 @@ from lakewright.operators.governance import Policy, governed_scan
 from lakewright.operators.transform import (
     EVENT_PARTITION_COLUMNS, EVENT_TABLE_SCHEMA, conform_schema, transform_events,
 )
-from lakewright.sinks.writers import create_table, write_table
+from lakewright.sinks.writers import create_table, merge_into_path, write_table
 
 
 def etl_transform(df: DataFrame, as_of: _dt.datetime | None = None) -> DataFrame:
@@ -34,9 +34,16 @@ class EtlResult:
 
 def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse_path: str,
             policy: Policy | None = None, as_of: _dt.datetime | None = None,
-            comment: str = "Events processed by the governed ETL job") -> EtlResult:
+            comment: str = "Events processed by the governed ETL job",
+            mode: str = "append", merge_keys: list[str] | None = None) -> EtlResult:
     """L1.  ``source`` is the event table (X1 columns); ``policy`` is the
-    principal's row/column policy.  Empty input stops before any write."""
+    principal's row/column policy.  Empty input stops before any write.
+
+    ``mode="append"`` adds the rows; ``mode="merge"`` upserts them on
+    ``merge_keys`` (default ``id``), rewriting only touched partitions.
+    """
+    if mode not in ("append", "merge"):
+        raise ValueError(f"Unsupported mode: {mode}. Use 'append' or 'merge'")
     governed = governed_scan(source, policy) if policy else source
     if governed.limit(1).count() == 0:          # reads at most one row
         return EtlResult(0, True, target_table)
@@ -47,7 +54,15 @@ def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse
     out = etl_transform(governed, as_of=as_of).observe(obs, F.count(F.lit(1)).alias("rows"))
     # Partition columns go last, as the catalog table orders them.
     cols = [c for c in out.columns if c not in EVENT_PARTITION_COLUMNS] + EVENT_PARTITION_COLUMNS
-    write_table(out.select(*cols), location, "append", EVENT_PARTITION_COLUMNS)
+    empty_target = spark.table(target_table).limit(1).count() == 0
+    if mode == "append" or empty_target:
+        write_table(out.select(*cols), location, "append", EVENT_PARTITION_COLUMNS)
+    else:
+        touched = merge_into_path(out.select(*cols), location, merge_keys or ["id"],
+                                  EVENT_PARTITION_COLUMNS)
+        for r in touched.where(~F.col("kept")).collect():
+            spec = ", ".join(f"{c} = '{r[c]}'" for c in EVENT_PARTITION_COLUMNS)
+            spark.sql(f"ALTER TABLE {target_table} DROP IF EXISTS PARTITION ({spec})")
     spark.catalog.refreshTable(target_table)
     spark.sql(f"ALTER TABLE {target_table} RECOVER PARTITIONS")
     return EtlResult(int(obs.get["rows"]), False, target_table)

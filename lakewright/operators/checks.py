@@ -64,16 +64,37 @@ def sql_string(s: str | None) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _error_condition(e: Exception) -> str:
+    cond = getattr(e, "getCondition", None)
+    try:
+        name = cond() if callable(cond) else None
+    except Exception:  # noqa: BLE001
+        name = None
+    return name or type(e).__name__
+
+
 def run_checks(df: DataFrame, table_name: str, checks: list[Check], run_id: str) -> DataFrame:
     """R2: one result row per check, all computed in one aggregate pass.
 
     The aggregate row is unpivoted with one ``stack`` generator; the result
-    rows are SQL expressions over that single row.
+    rows are SQL expressions over that single row.  A check that cannot be
+    evaluated on ``df`` (for example it names a column the principal cannot
+    see) does not stop the run: it yields a WARNING row (FAIL for a FAIL
+    check) naming the error condition.  Analysis errors are found without
+    running a job.
     """
+    good: list[tuple[int, Check]] = []
+    failed: list[tuple[Check, str]] = []
+    for c in checks:
+        try:
+            df.agg(c.observed.alias("x")).schema        # analysis only
+            good.append((len(good), c))
+        except Exception as e:  # noqa: BLE001
+            failed.append((c, _error_condition(e)))
     one = df.agg(F.count(F.lit(1)).alias("__rows"),
-                 *[c.observed.cast("bigint").alias(f"__c{i}") for i, c in enumerate(checks)])
+                 *[c.observed.cast("bigint").alias(f"__c{i}") for i, c in good])
     rows = []
-    for i, c in enumerate(checks):
+    for i, c in good:
         obs = f"__c{i}"
         if c.severity == INFO:
             status = sql_string(INFO)
@@ -86,7 +107,12 @@ def run_checks(df: DataFrame, table_name: str, checks: list[Check], run_id: str)
         details = f"map('rows_checked', CAST(__rows AS STRING), 'observed', CAST({obs} AS STRING))"
         rows.append(f"{sql_string(c.name)}, {status}, {message}, {obs}, {details}, "
                     f"{sql_string(c.recommendation)}")
-    stack = (f"stack({len(checks)}, {', '.join(rows)}) "
+    for c, cond in failed:
+        status = FAIL if c.severity == FAIL else WARNING
+        rows.append(f"{sql_string(c.name)}, {sql_string(status)}, "
+                    f"{sql_string('Could not evaluate the check: ' + cond)}, CAST(NULL AS BIGINT), "
+                    f"map('error', {sql_string(cond)}), {sql_string(c.recommendation)}")
+    stack = (f"stack({len(rows)}, {', '.join(rows)}) "
              f"AS (check_name, status, message, observed, details, recommendation)")
     return one.selectExpr(f"{sql_string(run_id)} AS run_id", f"{sql_string(table_name)} AS table_name", stack)
 

@@ -16,7 +16,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lakewright.functions.columns import sql_type
 from lakewright.operators.checks import verify_equal
@@ -66,7 +66,8 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     it is read), then copied over the target with dynamic partition
     overwrite; touched partitions left without rows are removed.  Each step
     is an idempotent overwrite, so a rerun after a lost executor or driver
-    gives the same table.  Returns the touched partition values.
+    gives the same table.  Returns the touched partition values with a
+    ``kept`` flag (False = the partition is now empty and was removed).
     """
     import uuid
 
@@ -82,7 +83,7 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     touched = source.select(*parts).unionByName(hit).distinct()
     touched_rows = touched.collect()          # one row per partition value
     if not touched_rows:
-        return touched
+        return touched.withColumn("kept", F.lit(True))
     small = len(touched_rows) <= DEFAULT_MAX_BROADCAST_ROWS
     old = target.join(F.broadcast(touched) if small else touched, parts, "left_semi")
     new = upsert(old, source, keys, update_columns=update_columns, op_column=op_column)
@@ -99,7 +100,8 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
             sub = "/".join(f"{c}={r[c]}" for c in parts)
             p = jvm.org.apache.hadoop.fs.Path(f"{target_path.rstrip('/')}/{sub}")
             p.getFileSystem(conf).delete(p, True)
-    return touched
+    schema = StructType(touched.schema.fields + [StructField("kept", BooleanType(), False)])
+    return spark.createDataFrame([(*tuple(r), tuple(r) in kept) for r in touched_rows], schema)
 
 
 def _quote(name: str) -> str:

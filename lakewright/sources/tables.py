@@ -55,16 +55,23 @@ def _coarse_partition_predicate(mark: _dt.datetime, year: str, month: str,
 
 def read_incremental(df: DataFrame, timestamp_column: str,
                      last_processed: _dt.datetime,
-                     partition_columns: tuple[str, str, str] | None = None) -> DataFrame:
+                     partition_columns: tuple[str, str, str] | None = None,
+                     overlap: _dt.timedelta | None = None) -> DataFrame:
     """S3: rows with ``timestamp_column > last_processed`` (strictly).
 
     The mark keeps its microseconds (a mark cut to whole seconds would read
     the rest of that second again).  NULL timestamps never qualify.  With
     ``partition_columns=(year, month, day)`` a coarse partition predicate is
     added so that a partitioned table is pruned by directory as well.
+
+    ``overlap`` re-reads that much time before the mark, to pick up late
+    rows stamped at or just before it; the caller removes the rows it has
+    already loaded (``dedup_latest`` or an upsert on the key).
     """
     if not isinstance(last_processed, _dt.datetime):
         raise TypeError("last_processed must be a datetime")
+    if overlap is not None:
+        last_processed = last_processed - overlap
     cond = F.col(timestamp_column) > ts_literal(last_processed)
     if partition_columns is not None:
         cond = _coarse_partition_predicate(last_processed, *partition_columns) & cond

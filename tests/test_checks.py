@@ -47,3 +47,14 @@ def test_count_and_top_n(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 7)
     assert row_count(df).first().row_count == 100
     assert [r.id for r in top_n(df, 3, [F.col("g").desc(), F.col("id").desc()]).collect()] == [97, 90, 83]
+
+
+def test_a_failing_check_becomes_a_row(spark):
+    df = spark.createDataFrame([(1,)], "id int")
+    res = run_checks(df, "t", [Check("ok", F.count_if(F.col("id").isNull())),
+                               Check("hidden column", F.count_if(F.col("secret") > 0), "WARNING"),
+                               Check("broken fail", F.count_if(F.col("nope").isNull()))], "r")
+    st = {r.check_name: (r.status, r.message) for r in res.collect()}
+    assert st["ok"][0] == "PASS"
+    assert st["hidden column"][0] == "WARNING" and "UNRESOLVED_COLUMN" in st["hidden column"][1]
+    assert st["broken fail"][0] == "FAIL"

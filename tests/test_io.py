@@ -199,3 +199,33 @@ def test_merge_into_path_rewrites_touched_partitions_only(spark, tmp):
     # idempotent: the same batch again gives the same table
     merge_into_path(src, path, ["k"], ["day"], op_column="op")
     assert sorted((r.k, r.v, r.day) for r in spark.read.parquet(path).collect()) == got
+
+
+def test_etl_merge_mode_is_idempotent(spark, tmp):
+    src = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
+        F.col("event_id").alias("id"), "event_type", F.col("user_id").cast("string").alias("user_id"),
+        F.col("props").alias("event_data"), F.col("ts").alias("event_timestamp"))
+    asof = dt.datetime(2024, 2, 1)
+    run_etl(spark, src, "default.events_m", tmp, as_of=asof, mode="merge")      # empty target: append
+    n = spark.table("default.events_m").count()
+    assert n == src.count()
+    res = run_etl(spark, src.where("id < 100"), "default.events_m", tmp, as_of=asof, mode="merge")
+    assert res.rows_written == 100
+    assert spark.table("default.events_m").count() == n
+    spark.sql("DROP TABLE default.events_m")
+
+
+def test_table_files_are_zstd(spark, tmp):
+    loc = "file://" + os.path.join(tmp, "z")
+    create_table(spark, "default.tz", X3, loc)
+    insert_into(x3(spark), "default.tz")
+    names = [f for f in os.listdir(os.path.join(tmp, "z")) if f.endswith(".parquet")]
+    assert names and all(".zstd." in f for f in names)
+    spark.sql("DROP TABLE default.tz")
+
+
+def test_incremental_overlap(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 0, 0)), (2, dt.datetime(2024, 1, 1, 0, 0, 5))],
+                               "id int, ts timestamp_ntz")
+    out = read_incremental(df, "ts", dt.datetime(2024, 1, 1, 0, 0, 1), overlap=dt.timedelta(seconds=2))
+    assert sorted(r.id for r in out.collect()) == [1, 2]
