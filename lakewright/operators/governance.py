@@ -114,7 +114,8 @@ def read_requests(reads: DataFrame) -> DataFrame:
 
 def audit_columns(full: DataFrame, visible: DataFrame, table_name: str) -> DataFrame:
     """Every catalog column of a table, whether it is hidden from the
-    principal, and how many non-NULL values of it the principal can read.
+    principal, and how many non-NULL values of it the principal can read
+    (0 for a hidden column).
 
     Catalog columns minus visible columns are the hidden ones (set
     semantics: names compared once, empty names skipped).  The value counts
@@ -127,7 +128,7 @@ def audit_columns(full: DataFrame, visible: DataFrame, table_name: str) -> DataF
         if seen else visible.agg(F.count(F.lit(1)).alias("__rows"))
     entries = []
     for c in catalog_cols:
-        val = F.col(c) if c in seen else F.lit(None).cast("bigint")
+        val = F.col(c) if c in seen else F.lit(0)
         entries.append(F.struct(F.lit(c).alias("column_name"),
                                 F.lit(c not in seen).alias("hidden"),
                                 val.cast("bigint").alias("values_visible")))

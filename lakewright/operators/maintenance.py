@@ -42,14 +42,21 @@ def compact(spark: SparkSession, df: DataFrame, new_path: str,
     shuffle output into partitions of the advisory size, so each task writes
     one file of about the target size per partition value.
     """
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
-    parts = list(partition_columns or [])
-    hint_args = parts if parts else []
-    out = df.hint("rebalance", *hint_args)
-    writer = out.write.mode("errorifexists").option("compression", "zstd")
-    if parts:
-        writer = writer.partitionBy(*parts)
-    writer.parquet(new_path)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(target_bytes))
+    try:
+        parts = list(partition_columns or [])
+        out = df.hint("rebalance", *parts)
+        writer = out.write.mode("errorifexists").option("compression", "zstd")
+        if parts:
+            writer = writer.partitionBy(*parts)
+        writer.parquet(new_path)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
     written = spark.read.schema(df.schema).parquet(new_path).select(*df.columns)
     return verify_equal(df, written, method="fingerprint")
 

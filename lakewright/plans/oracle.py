@@ -140,7 +140,7 @@ def _audit_columns_sql() -> str:
     counts = ", ".join(f"count({c}) AS n_{c}" for c in cols if c not in hidden)
     parts = []
     for c in cols:
-        val = "CAST(NULL AS BIGINT)" if c in hidden else f"n_{c}"
+        val = "CAST(0 AS BIGINT)" if c in hidden else f"n_{c}"
         parts.append(f"SELECT 'customer' AS table_name, '{c}' AS column_name, "
                      f"{'true' if c in hidden else 'false'} AS hidden, {val} AS values_visible FROM agg")
     return f"WITH agg AS (SELECT {counts} FROM customer) " + " UNION ALL ".join(parts)

@@ -42,6 +42,20 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.csv(path)
 
 
+def list_objects(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """S10 (listing): every object under ``path``, of any format: path, name,
+    bytes, modification time.
+
+    The ``binaryFile`` source lists files in parallel on the cluster and
+    reads no content when ``content`` is not selected.  The object count and
+    the first names are ``count()`` and ``orderBy("name").limit(n)`` on it.
+    """
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+          .load(path))
+    return df.select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
+                     F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def file_inventory(df: DataFrame, partition_columns: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """One row per data file: partition values, name, rows, bytes.
 

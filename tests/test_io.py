@@ -229,3 +229,14 @@ def test_incremental_overlap(spark):
                                "id int, ts timestamp_ntz")
     out = read_incremental(df, "ts", dt.datetime(2024, 1, 1, 0, 0, 1), overlap=dt.timedelta(seconds=2))
     assert sorted(r.id for r in out.collect()) == [1, 2]
+
+
+def test_list_objects(spark, tmp):
+    from lakewright.sources.files import list_objects
+    x3(spark).coalesce(1).write.json(os.path.join(tmp, "j"))
+    x3(spark).coalesce(1).write.csv(os.path.join(tmp, "c"))
+    objs = list_objects(spark, tmp)
+    names = [r.name for r in objs.orderBy("name").limit(5).collect()]
+    assert objs.count() == len(names) == 2 and all(n.startswith("part-") for n in names)
+    assert "content" not in objs.columns
+    assert objs.agg(F.sum("bytes")).first()[0] > 0
