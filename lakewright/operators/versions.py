@@ -71,31 +71,67 @@ def state_as_of(df: DataFrame, log: ChangeLog, version: int | None = None,
     return state
 
 
-def commit_list(df: DataFrame, log: ChangeLog) -> DataFrame:
-    """V3: one row per commit with its time, row count and parent commit.
+def _commits(df: DataFrame, log: ChangeLog) -> DataFrame:
+    """One row per commit (partial aggregate per task)."""
+    return df.groupBy(log.commit_id).agg(
+        F.max(log.committed_at).alias("committed_at"),
+        F.count(F.lit(1)).alias("rows_changed")).withColumnRenamed(log.commit_id, "commit_id")
+
+
+def _ordered_commit_scan(commits: DataFrame) -> DataFrame:
+    """Previous/next commit and running row total, without one global window.
 
-    The log is reduced to one row per commit (partial aggregate) before the
-    window; the window then orders commit metadata, not data rows.
+    Commits are range-partitioned by id; each range computes lag, lead and
+    its running total with a window partitioned by the range; each range's
+    boundary rows are then completed from a per-range summary (one row per
+    non-empty range, at most ``spark.sql.shuffle.partitions`` rows, so it
+    is broadcast).  No task holds more than one range of commits.
     """
-    commits = df.groupBy(log.commit_id).agg(
-        F.max(log.committed_at).alias("committed_at"),
-        F.count(F.lit(1)).alias("rows_changed"))
-    w = Window.orderBy(log.commit_id)
-    return commits.select(
-        F.col(log.commit_id).alias("commit_id"), "committed_at", "rows_changed",
-        F.lag(log.commit_id).over(w).alias("parent_id"))
+    spark = commits.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    r = (commits.repartitionByRange(n, "commit_id")
+         .withColumn("_seg", F.spark_partition_id()))
+    w = Window.partitionBy("_seg").orderBy("commit_id")
+    local = r.select(
+        "_seg", "commit_id", "committed_at", "rows_changed",
+        F.lag("commit_id").over(w).alias("_prev"),
+        F.lead("commit_id").over(w).alias("_next"),
+        F.lead("committed_at").over(w).alias("_next_at"),
+        F.sum("rows_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"))
+    seg = r.groupBy("_seg").agg(
+        F.min("commit_id").alias("_first"), F.max("commit_id").alias("_last"),
+        F.min_by("committed_at", "commit_id").alias("_first_at"),
+        F.sum("rows_changed").alias("_total"))
+    ws = Window.orderBy("_seg")                       # over ranges, not commits
+    seg = seg.select(
+        "_seg",
+        F.lag("_last").over(ws).alias("_seg_prev"),
+        F.lead("_first").over(ws).alias("_seg_next"),
+        F.lead("_first_at").over(ws).alias("_seg_next_at"),
+        F.coalesce(F.sum("_total").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_offset"))
+    j = local.join(F.broadcast(seg), "_seg")
+    return j.select(
+        "commit_id", "committed_at", "rows_changed",
+        F.coalesce("_prev", "_seg_prev").alias("parent_id"),
+        F.coalesce("_next", "_seg_next").alias("next_id"),
+        F.when(F.col("_next").isNotNull(), F.col("_next_at")).otherwise(F.col("_seg_next_at")).alias("valid_to"),
+        (F.col("_run") + F.col("_offset")).cast("bigint").alias("total_rows"))
+
+
+def commit_list(df: DataFrame, log: ChangeLog) -> DataFrame:
+    """V3: one row per commit with its time, row count and parent commit."""
+    return _ordered_commit_scan(_commits(df, log)).select(
+        "commit_id", "committed_at", "rows_changed", "parent_id")
 
 
 def commit_history(df: DataFrame, log: ChangeLog) -> DataFrame:
     """V4: when each commit became current and until when; running row total."""
-    commits = commit_list(df, log)
-    w = Window.orderBy("commit_id")
-    return commits.select(
+    return _ordered_commit_scan(_commits(df, log)).select(
         "commit_id", "parent_id",
         F.col("committed_at").alias("made_current_at"),
-        F.lead("committed_at").over(w).alias("valid_to"),
-        F.sum("rows_changed").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total_rows"),
-        F.lead("commit_id").over(w).isNull().alias("is_current"))
+        "valid_to", "total_rows",
+        F.col("next_id").isNull().alias("is_current"))
 
 
 def state_diff(df: DataFrame, log: ChangeLog, t1: _dt.datetime, t2: _dt.datetime,

@@ -82,3 +82,24 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert state_as_of(empty, LOG, version=3).count() == 0
     assert expire_log(empty, LOG, D(2024, 1, 1)).count() == 0
+
+
+def test_commit_scan_across_many_ranges_matches_global_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    import random
+    rnd = random.Random(7)
+    ids = sorted(rnd.sample(range(10, 10_000_000), 300))
+    rows = []
+    for n, c in enumerate(ids):
+        for j in range(rnd.randint(1, 4)):
+            rows.append((n % 17, f"v{n}", c, D(2024, 1, 1) + dt.timedelta(minutes=n, seconds=j), n * 10 + j, "U"))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = commit_history(df, LOG).orderBy("commit_id").collect()
+    commits = df.groupBy("c").agg(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("c")
+    want = commits.select("c", F.lag("c").over(w).alias("p"), F.lead("at").over(w).alias("v"),
+                          F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("t"),
+                          F.lead("c").over(w).isNull().alias("cur")).orderBy("c").collect()
+    assert [(r.commit_id, r.parent_id, r.valid_to, r.total_rows, r.is_current) for r in got] == \
+        [(r.c, r.p, r.v, r.t, r.cur) for r in want]
