@@ -201,17 +201,35 @@ def verify_equal(left: DataFrame, right: DataFrame, method: str = "exact") -> Da
     return summary.withColumn("equal", (F.col("left_only") == 0) & (F.col("right_only") == 0))
 
 
-def table_summary(tables: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+def table_summary(tables: list[tuple[str, DataFrame, DataFrame]], with_files: bool = False) -> DataFrame:
     """Per table the accessible rows and visible / hidden columns.
 
     ``tables`` holds (name, full table, governed view).  One aggregate per
-    table, unioned; files and bytes come from ``file_inventory``.
+    table, unioned.  With ``with_files`` the data files and bytes of each
+    full table are added from the hidden ``_metadata`` column (the full
+    table must be a file scan); both parts are merged per table by a
+    grouping, not a join.
     """
     parts = []
     for name, full, visible in tables:
         n_hidden = len([c for c in full.columns if c not in visible.columns])
-        parts.append(visible.agg(F.count(F.lit(1)).alias("visible_rows")).select(
+        rows = visible.agg(F.count(F.lit(1)).alias("visible_rows")).select(
             F.lit(name).alias("table_name"), "visible_rows",
             F.lit(len(visible.columns)).alias("visible_columns"),
-            F.lit(n_hidden).alias("hidden_columns")))
+            F.lit(n_hidden).alias("hidden_columns"))
+        if with_files:
+            files = (full.select(F.col("_metadata.file_path").alias("p"),
+                                 F.col("_metadata.file_size").alias("s")).distinct()
+                     .agg(F.count(F.lit(1)).alias("files"), F.sum("s").alias("bytes")))
+            rows = (rows.select("*", F.lit(None).cast("bigint").alias("files"),
+                                F.lit(None).cast("bigint").alias("bytes"))
+                    .unionByName(files.select(F.lit(name).alias("table_name"),
+                                              F.lit(None).cast("bigint").alias("visible_rows"),
+                                              F.lit(None).cast("int").alias("visible_columns"),
+                                              F.lit(None).cast("int").alias("hidden_columns"),
+                                              "files", F.col("bytes").cast("bigint")))
+                    .groupBy("table_name")
+                    .agg(*[F.max(c).alias(c) for c in ("visible_rows", "visible_columns",
+                                                        "hidden_columns", "files", "bytes")]))
+        parts.append(rows)
     return reduce(DataFrame.unionByName, parts)

@@ -78,6 +78,13 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     spark = source.sparkSession
     target = spark.read.parquet(target_path)
     parts = list(partition_columns)
+    staging = staging_path or f"{checkpoint_dir(spark).rstrip('/')}/merge-staging-{uuid.uuid4().hex}"
+    if not parts:
+        # Unpartitioned: the whole table is the one touched partition.
+        new = upsert(target, source, keys, update_columns=update_columns, op_column=op_column)
+        write_table(new.select(*target.columns), staging, "overwrite")
+        write_table(spark.read.schema(target.schema).parquet(staging), target_path, "overwrite")
+        return spark.createDataFrame([(True,)], "kept boolean")
     src_keys = source.select(*keys).distinct()
     hit = target.select(*keys, *parts).join(src_keys, keys, "left_semi").select(*parts)
     touched = source.select(*parts).unionByName(hit).distinct()
@@ -87,7 +94,6 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     small = len(touched_rows) <= DEFAULT_MAX_BROADCAST_ROWS
     old = target.join(F.broadcast(touched) if small else touched, parts, "left_semi")
     new = upsert(old, source, keys, update_columns=update_columns, op_column=op_column)
-    staging = staging_path or f"{checkpoint_dir(spark).rstrip('/')}/merge-staging-{uuid.uuid4().hex}"
     write_table(new.select(*target.columns), staging, "overwrite", parts)
     staged = spark.read.schema(target.schema).parquet(staging)
     write_table(staged, target_path, "overwrite", parts)

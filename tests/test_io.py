@@ -240,3 +240,35 @@ def test_list_objects(spark, tmp):
     assert objs.count() == len(names) == 2 and all(n.startswith("part-") for n in names)
     assert "content" not in objs.columns
     assert objs.agg(F.sum("bytes")).first()[0] > 0
+
+
+def test_incremental_stream_merge_mode(spark, tmp):
+    src, tgt, ck = (os.path.join(tmp, n) for n in ("src", "tgt", "ck"))
+    schema = "k int, v string, ts timestamp_ntz, day string"
+    spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), "1"), (2, "b", dt.datetime(2024, 1, 1), "1")],
+                          schema).write.parquet(os.path.join(src, "b1"))
+    sch = spark.read.parquet(os.path.join(src, "b1")).schema
+    incremental_load(spark, src + "/*", sch, tgt, ck, merge_keys=["k"], partition_columns=["day"],
+                     order_by=["ts"])
+    spark.createDataFrame([(2, "b-old", dt.datetime(2024, 1, 2), "2"), (2, "b2", dt.datetime(2024, 1, 3), "2"),
+                           (3, "c", dt.datetime(2024, 1, 3), "2")], schema).write.parquet(os.path.join(src, "b2"))
+    incremental_load(spark, src + "/*", sch, tgt, ck, merge_keys=["k"], partition_columns=["day"],
+                     order_by=["ts"])
+    got = sorted((r.k, r.v, r.day) for r in spark.read.parquet(tgt).collect())
+    assert got == [(1, "a", "1"), (2, "b2", "2"), (3, "c", "2")]
+
+
+def test_merge_into_unpartitioned_path(spark, tmp):
+    from lakewright.sinks.writers import merge_into_path
+    path = os.path.join(tmp, "flat")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
+    merge_into_path(spark.createDataFrame([(2, "b2"), (3, "c")], "k int, v string"), path, ["k"], [])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b2"), (3, "c")]
+
+
+def test_table_summary_with_files(spark):
+    from lakewright.operators.checks import table_summary
+    full = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    r = table_summary([("customer", full, full.drop("c_acctbal"))], with_files=True).first()
+    assert r.files == 1 and r.bytes == os.path.getsize(f"{SF_SMALL}/customer.parquet")
+    assert r.visible_rows == full.count() and r.hidden_columns == 1
