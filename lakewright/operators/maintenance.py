@@ -96,7 +96,7 @@ def relocate(spark: SparkSession, table: str, new_location: str) -> DataFrame:
     one-row verification.
     """
     if not _URI.match(new_location):
-        raise ValueError(f"new location must be a URI such as s3://... or file:///...: {new_location}")
+        raise ValueError(f"new location must be a URI such as hdfs://... or file:///...: {new_location}")
     current = spark.table(table)
     moved = spark.read.schema(current.schema).parquet(new_location).select(*current.columns)
     check = verify_equal(current, moved).collect()[0]

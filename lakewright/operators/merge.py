@@ -98,9 +98,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: str | list[str],
            update_columns: list[str] | None = None, op_column: str | None = None,
            check_duplicates: bool = True,
            max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """The target's new state after merging ``source`` into it."""
+           max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+           materialize: bool = False) -> DataFrame:
+    """The target's new state after merging ``source`` into it.
+
+    The batch is read up to three times (profile, join, inserts).  When it
+    is itself expensive (an aggregate, a join), ``materialize=True`` writes
+    it once with ``checkpoint()`` into the shared checkpoint folder, which
+    also cuts its lineage.
+    """
     ks = _keys(keys)
+    if materialize:
+        from lakewright.session import checkpoint_dir
+        checkpoint_dir(source.sparkSession)
+        source = source.checkpoint(eager=True)
     src_cols = [c for c in source.columns if c != op_column]
     missing_keys = [k for k in ks if k not in target.columns or k not in src_cols]
     if missing_keys:

@@ -147,7 +147,7 @@ def upsert_composite(spark, d):
     ship = F.col("l_shipdate")
     target = P.dedup_latest(li.where(ship < F.lit(str(fx.LINE_TARGET_BEFORE)).cast("timestamp_ntz")), keys, ["l_shipdate"])
     source = P.dedup_latest(li.where(ship >= F.lit(str(fx.LINE_SOURCE_FROM)).cast("timestamp_ntz")), keys, ["l_shipdate"])
-    return J.upsert(target, source, keys)
+    return J.upsert(target, source, keys, materialize=True)
 
 
 def duplicate_keys(spark, d):
