@@ -110,8 +110,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: str | list[str],
     ks = _keys(keys)
     if materialize:
         from lakewright.session import checkpoint_dir
-        checkpoint_dir(source.sparkSession)
-        source = source.checkpoint(eager=True)
+        try:
+            checkpoint_dir(source.sparkSession)
+            source = source.checkpoint(eager=True)
+        except Exception:  # noqa: BLE001  (no checkpoint folder: read the batch again)
+            pass
     src_cols = [c for c in source.columns if c != op_column]
     missing_keys = [k for k in ks if k not in target.columns or k not in src_cols]
     if missing_keys:

@@ -60,14 +60,18 @@ def apply_defaults(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """Shared folder for lineage cuts and staged writes.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared file system the
     cluster names).  Only when it is unset -- tests and local runs -- a
-    fresh local folder is created and recorded in the session.
+    fresh local folder is created and recorded in the session.  Returns
+    None when the session exposes no SparkContext and names no folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (a session without a local context)
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -76,3 +80,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="lakewright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def require_checkpoint_dir(spark: SparkSession) -> str:
+    """``checkpoint_dir`` or a clear error when no shared folder is known."""
+    d = checkpoint_dir(spark)
+    if not d:
+        raise ValueError("no shared folder: set spark.checkpoint.dir or pass a path explicitly")
+    return d

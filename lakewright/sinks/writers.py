@@ -73,12 +73,12 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
 
     from lakewright.operators.merge import upsert
     from lakewright.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
-    from lakewright.session import checkpoint_dir
+    from lakewright.session import require_checkpoint_dir
 
     spark = source.sparkSession
     target = spark.read.parquet(target_path)
     parts = list(partition_columns)
-    staging = staging_path or f"{checkpoint_dir(spark).rstrip('/')}/merge-staging-{uuid.uuid4().hex}"
+    staging = staging_path or f"{require_checkpoint_dir(spark).rstrip('/')}/merge-staging-{uuid.uuid4().hex}"
     if not parts:
         # Unpartitioned: the whole table is the one touched partition.
         new = upsert(target, source, keys, update_columns=update_columns, op_column=op_column)

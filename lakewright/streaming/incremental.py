@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakewright.session import checkpoint_dir
+from lakewright.session import require_checkpoint_dir
 
 
 def _commit_writer(log_path: str):
@@ -70,7 +70,7 @@ def incremental_load(spark: SparkSession, source_path: str, schema: StructType,
     replaying a batch gives the same table.  Several rows of one key in a
     batch are an error unless ``order_by`` says which one is newest.
     Returns the number of micro-batches that carried rows."""
-    checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "incremental_load")
+    checkpoint = checkpoint or os.path.join(require_checkpoint_dir(spark), "incremental_load")
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
