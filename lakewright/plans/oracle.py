@@ -273,10 +273,11 @@ def oracle_sql() -> dict[str, str]:
                      f"SELECT id, row_hash FROM h"),
         "row_fingerprint": _fingerprint_sql(),
         "dedup_latest": f"SELECT {line_cols} FROM lineitem {LINE_RANK}",
-        "conform_schema": ev + (
+        "conform_schema": (
+            f"WITH {EV}, h AS ({_spark_hash_sql('ev', ['id', 'epoch_us(event_timestamp)'], 'row_hash')}) "
             "SELECT id, event_type, user_id, event_data, CAST(event_timestamp AS TIMESTAMP) AS event_timestamp, "
             "CAST(NULL AS TIMESTAMP) AS processed_at, CAST(NULL AS VARCHAR) AS year, CAST(NULL AS VARCHAR) AS month, "
-            "CAST(NULL AS VARCHAR) AS day, CAST(NULL AS INTEGER) AS row_hash FROM ev"),
+            "CAST(NULL AS VARCHAR) AS day, row_hash FROM h"),
         "upsert_all": (f"WITH {ORDERS_T}, {ORDERS_S} SELECT * FROM s UNION ALL "
                        f"SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = t.o_orderkey)"),
         "upsert_subset": (

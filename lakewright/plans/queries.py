@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.functions.columns import partition_columns, null_default, row_fingerprint
+from lakewright.functions.columns import null_default, partition_columns, row_fingerprint
+from lakewright.functions.columns import row_hash as row_hash_of
 from lakewright.operators import checks as C
 from lakewright.operators import governance as G
 from lakewright.operators import merge as J
@@ -121,7 +122,12 @@ def dedup_latest(spark, d):
 
 
 def conform_schema(spark, d):
-    return P.conform_schema(fx.events_x1(spark, d), P.EVENT_TABLE_SCHEMA)
+    # Columns out of order, a timestamp to cast, and missing nullable
+    # columns (processed_at, year, month, day) to fill with typed NULLs.
+    ev = fx.events_x1(spark, d)
+    ev = ev.select(row_hash_of("id", "event_timestamp").alias("row_hash"),
+                   "event_timestamp", "event_data", "user_id", "event_type", "id")
+    return P.conform_schema(ev, P.EVENT_TABLE_SCHEMA)
 
 
 # --- merge (J) -------------------------------------------------------------
