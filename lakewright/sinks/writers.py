@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,27 @@ def write_table(df: DataFrame, path: str, mode: str = "append",
     w.parquet(path)
 
 
+# How partition directories name NULL and escape characters.
+_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+_PATH_ESCAPES = set('"#%\'*/:=?\\\x7f{[]^')
+
+
+def _escape_path_name(v: str) -> str:
+    return "".join(f"%{ord(ch):02X}" if ch in _PATH_ESCAPES or ord(ch) < 0x20 else ch for ch in v)
+
+
+def _partition_dir_value(v) -> str:
+    return _NULL_PARTITION if v is None or v == "" else _escape_path_name(str(v))
+
+
+def _delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a directory through the cluster's Hadoop file system (driver
+    side, one call per path: metadata, not data)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
                     partition_columns: list[str], update_columns: list[str] | None = None,
                     op_column: str | None = None, staging_path: str | None = None) -> DataFrame:
@@ -84,6 +106,8 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
         new = upsert(target, source, keys, update_columns=update_columns, op_column=op_column)
         write_table(new.select(*target.columns), staging, "overwrite")
         write_table(spark.read.schema(target.schema).parquet(staging), target_path, "overwrite")
+        if staging_path is None:
+            _delete_path(spark, staging)
         return spark.createDataFrame([(True,)], "kept boolean")
     src_keys = source.select(*keys).distinct()
     hit = target.select(*keys, *parts).join(src_keys, keys, "left_semi").select(*parts)
@@ -92,20 +116,21 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     if not touched_rows:
         return touched.withColumn("kept", F.lit(True))
     small = len(touched_rows) <= DEFAULT_MAX_BROADCAST_ROWS
-    old = target.join(F.broadcast(touched) if small else touched, parts, "left_semi")
+    tb = F.broadcast(touched) if small else touched
+    # NULL-safe: a NULL partition value is a partition like any other.
+    same_part = reduce(lambda a, b: a & b, [target[c].eqNullSafe(tb[c]) for c in parts])
+    old = target.join(tb, same_part, "left_semi")
     new = upsert(old, source, keys, update_columns=update_columns, op_column=op_column)
     write_table(new.select(*target.columns), staging, "overwrite", parts)
     staged = spark.read.schema(target.schema).parquet(staging)
     write_table(staged, target_path, "overwrite", parts)
     kept = {tuple(r) for r in staged.select(*parts).distinct().collect()}
     emptied = [r for r in touched_rows if tuple(r) not in kept]
-    if emptied:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for r in emptied:
-            sub = "/".join(f"{c}={r[c]}" for c in parts)
-            p = jvm.org.apache.hadoop.fs.Path(f"{target_path.rstrip('/')}/{sub}")
-            p.getFileSystem(conf).delete(p, True)
+    for r in emptied:
+        sub = "/".join(f"{_escape_path_name(c)}={_partition_dir_value(r[c])}" for c in parts)
+        _delete_path(spark, f"{target_path.rstrip('/')}/{sub}")
+    if staging_path is None:
+        _delete_path(spark, staging)
     schema = StructType(touched.schema.fields + [StructField("kept", BooleanType(), False)])
     return spark.createDataFrame([(*tuple(r), tuple(r) in kept) for r in touched_rows], schema)
 

@@ -272,3 +272,17 @@ def test_table_summary_with_files(spark):
     r = table_summary([("customer", full, full.drop("c_acctbal"))], with_files=True).first()
     assert r.files == 1 and r.bytes == os.path.getsize(f"{SF_SMALL}/customer.parquet")
     assert r.visible_rows == full.count() and r.hidden_columns == 1
+
+
+def test_merge_into_path_null_and_escaped_partitions(spark, tmp):
+    from lakewright.sinks.writers import merge_into_path
+    path = os.path.join(tmp, "t")
+    t = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", "x/y"), (4, "d", "x/y")],
+                              "k int, v string, part string")
+    t.write.partitionBy("part").parquet(path)
+    src = spark.createDataFrame([(1, "a2", None, "U"), (3, None, "x/y", "D"), (4, None, "x/y", "D")],
+                                "k int, v string, part string, op string")
+    merge_into_path(src, path, ["k"], ["part"], op_column="op")
+    got = sorted((r.k, r.v, r.part) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "a2", None), (2, "b", None)]
+    assert not os.path.exists(os.path.join(path, "part=x%2Fy"))
