@@ -312,6 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "row_count": "SELECT count(*) AS row_count FROM events",
         "top_n": ev + f"SELECT * FROM ev ORDER BY event_timestamp DESC, id DESC LIMIT {fx.TOP_N}",
         "verify_equal": _verify_sql(),
+        "verify_fingerprint": f"SELECT left_rows, right_rows, equal FROM ({_verify_sql()})",
         "check_results": _check_results_sql(),
         "status_rollup": f"WITH cr AS ({_check_results_sql()}) SELECT run_id, {_rollup_cols()} FROM cr GROUP BY run_id",
         "run_report": (

@@ -21,7 +21,7 @@ from lakewright.operators import versions as V
 from lakewright.operators.maintenance import compaction_plan
 from lakewright.plans import fixtures as fx
 from lakewright.sources import tables as S
-from lakewright.sources.files import file_inventory
+from lakewright.sources.files import file_inventory, list_objects
 from lakewright.etl import etl_transform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def sample_access(spark, d):
     return S.sample_access(fx.events_x1(spark, d), fx.SAMPLE_N, ["id"])
 
 
+def object_listing(spark, d):
+    """S10 listing: every data file under the folder of the given tables."""
+    return list_objects(spark, d).select("name", "bytes")
+
+
 def file_inventory_q(spark, d):
     return file_inventory(fx.table(spark, d, "events")).select("file_name", "rows", "bytes")
 
@@ -206,6 +211,15 @@ def verify_equal(spark, d):
     return C.verify_equal(before, after)
 
 
+def verify_fingerprint(spark, d):
+    """R1 without a shuffle: the same retention invariant by row fingerprints."""
+    log = fx.event_log(spark, d)
+    before = V.state_as_of(log, fx.EVENT_LOG, timestamp=fx.RETAIN_CHECK_AT)
+    after = V.state_as_of(V.expire_log(log, fx.EVENT_LOG, fx.AS_OF, fx.RETAIN_DAYS),
+                          fx.EVENT_LOG, timestamp=fx.RETAIN_CHECK_AT)
+    return C.verify_equal(before, after, method="fingerprint")
+
+
 def _governed_tables(spark, d):
     ev = fx.table(spark, d, "events")
     orders = fx.table(spark, d, "orders")
@@ -285,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "incremental_next_mark": incremental_next_mark,
     "sample_access": sample_access,
     "file_inventory": file_inventory_q,
+    "object_listing": object_listing,
     "governed_rows_predicate": governed_rows_predicate,
     "governed_rows_entitled": governed_rows_entitled,
     "governed_columns": governed_columns,
@@ -313,6 +328,7 @@ QUERIES: dict[str, Query] = {
     "row_count": row_count,
     "top_n": top_n,
     "verify_equal": verify_equal,
+    "verify_fingerprint": verify_fingerprint,
     "check_results": check_results,
     "status_rollup": status_rollup,
     "run_report": run_report,

@@ -47,7 +47,7 @@ def duck():
 
 def test_every_query_has_an_oracle_or_is_file_metadata():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"file_inventory", "compaction_plan"}
+    assert missing == {"file_inventory", "compaction_plan", "object_listing"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
@@ -70,3 +70,10 @@ def test_rows_only_queries(spark, name):
     rows = E.queries()[name](spark, SF_SMALL).collect()
     assert len(rows) == 1
     assert rows[0]["rows"] == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+
+
+def test_object_listing(spark):
+    import os
+    rows = E.queries()["object_listing"](spark, SF_SMALL).collect()
+    assert sorted(r.name for r in rows) == sorted(os.listdir(SF_SMALL))
+    assert all(r.bytes == os.path.getsize(os.path.join(SF_SMALL, r.name)) for r in rows)
