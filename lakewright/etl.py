@@ -41,6 +41,10 @@ def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse
 
     ``mode="append"`` adds the rows; ``mode="merge"`` upserts them on
     ``merge_keys`` (default ``id``), rewriting only touched partitions.
+    Each write is one job under Spark's commit protocol.  A rerun of the
+    same input after a failure is idempotent in ``merge`` mode; in
+    ``append`` mode it would add the rows again, so jobs that may be rerun
+    should merge.
     """
     if mode not in ("append", "merge"):
         raise ValueError(f"Unsupported mode: {mode}. Use 'append' or 'merge'")
