@@ -35,14 +35,15 @@ def ts_literal(ts: _dt.datetime) -> Column:
 
 
 def processing_time(as_of: _dt.datetime | None = None) -> Column:
-    """Processing time, one value for the whole query.
+    """Processing time (UTC wall time), one value for the whole query.
 
-    ``current_timestamp()`` is folded to one constant per query; passing
-    ``as_of`` makes the result repeatable (reruns, tests, oracles).
+    ``localtimestamp()`` is folded to one constant per query and, under the
+    UTC session, is the current UTC time as TIMESTAMP_NTZ; passing ``as_of``
+    makes the result repeatable (reruns, tests, oracles).
     """
     if as_of is None:
-        return F.current_timestamp()
-    return ts_literal(as_of).cast("timestamp")
+        return F.localtimestamp()
+    return ts_literal(as_of)
 
 
 def partition_columns(ts: str | Column) -> dict[str, Column]:

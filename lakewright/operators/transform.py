@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+    IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
 from lakewright.functions.columns import (
@@ -16,13 +16,16 @@ from lakewright.functions.columns import (
 
 # The event table (fixed schema).  ``row_hash`` is part of the target: the
 # transform adds it, so a target without it could not take the append.
+# Timestamps are stored as TIMESTAMP_NTZ holding UTC wall time: the same
+# values as a session-zone TIMESTAMP under a UTC session, but they read the
+# same in any session zone and in any engine.
 EVENT_SCHEMA = StructType([
     StructField("id", LongType(), False),
     StructField("event_type", StringType(), True),
     StructField("user_id", StringType(), True),
     StructField("event_data", StringType(), True),
-    StructField("event_timestamp", TimestampType(), True),
-    StructField("processed_at", TimestampType(), True),
+    StructField("event_timestamp", TimestampNTZType(), True),
+    StructField("processed_at", TimestampNTZType(), True),
     StructField("year", StringType(), True),
     StructField("month", StringType(), True),
     StructField("day", StringType(), True),

@@ -95,12 +95,11 @@ LOG_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props", "commit
 PAYLOAD = [c for c in LOG_COLS if c != "user_id"]
 
 
-def _transform_sql(where: str = "", conform: bool = False) -> str:
+def _transform_sql(where: str = "") -> str:
     hashed = _spark_hash_sql(f"(SELECT * FROM ev {where})", ["id", "epoch_us(event_timestamp)"], "row_hash")
-    ts = "CAST(event_timestamp AS TIMESTAMP)" if conform else "event_timestamp"
     return (f"WITH {EV}, h AS ({hashed}) "
             f"SELECT id, coalesce(event_type, 'unknown') AS event_type, user_id, event_data, "
-            f"{ts} AS event_timestamp, {_ts(fx.AS_OF)} AS processed_at, "
+            f"event_timestamp, {_ts(fx.AS_OF)} AS processed_at, "
             f"CAST(year(event_timestamp) AS VARCHAR) AS year, CAST(month(event_timestamp) AS VARCHAR) AS month, "
             f"CAST(day(event_timestamp) AS VARCHAR) AS day, row_hash FROM h")
 
@@ -325,5 +324,5 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{t}' AS table_name, count(*) AS visible_rows, CAST({v} AS INTEGER) AS visible_columns, "
             f"CAST({h} AS INTEGER) AS hidden_columns FROM ({src})"
             for t, src, v, h, _ in _CHECK_TABLES),
-        "etl_job": _transform_sql(where="WHERE CAST(user_id AS BIGINT) < 50", conform=True),
+        "etl_job": _transform_sql(where="WHERE CAST(user_id AS BIGINT) < 50"),
     }

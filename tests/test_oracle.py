@@ -52,8 +52,13 @@ def test_every_query_has_an_oracle_or_is_file_metadata():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    got = E.queries()[name](spark, SF_SMALL).toPandas()
-    want = duck.execute(E.oracle_sql()[name]).df()
+    sdf = E.queries()[name](spark, SF_SMALL)
+    got_arrow = sdf.toArrow()
+    want_arrow = duck.sql(E.oracle_sql()[name]).to_arrow_table()
+    # Same column types as Arrow sees them (int32/int64, timestamp[us] without zone, ...).
+    assert {f.name: str(f.type) for f in got_arrow.schema} == {f.name: str(f.type) for f in want_arrow.schema}
+    got = got_arrow.to_pandas()
+    want = want_arrow.to_pandas()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert _rows(got) == _rows(want)

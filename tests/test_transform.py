@@ -96,7 +96,7 @@ def test_conform_refuses_extra_fills_missing(spark):
     df = events(spark, [(1, "a", "u", "{}", dt.datetime(2024, 1, 1))])
     out = conform_schema(df, EVENT_TABLE_SCHEMA)
     assert out.schema.names == EVENT_TABLE_SCHEMA.names
-    assert out.schema["event_timestamp"].dataType.simpleString() == "timestamp"
+    assert out.schema["event_timestamp"].dataType.simpleString() == "timestamp_ntz"
     assert out.first().row_hash is None
     with pytest.raises(ValueError, match="not in the table schema"):
         conform_schema(df.withColumn("extra", F.lit(1)), EVENT_TABLE_SCHEMA)
