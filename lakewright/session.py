@@ -24,10 +24,9 @@ _DEFAULTS = {
     # Partition columns year/month/day are strings; path discovery must not
     # turn them into integers.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-    # Dynamic partition overwrite: only partitions present in the data.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.parquet.compression.codec": "zstd",
 }
+# Writers pass dynamic partition overwrite and zstd as write options, so the
+# session's own settings for other writes stay as they are.
 
 
 def get_session(master: str | None = None, app_name: str = "lakewright",
