@@ -87,15 +87,28 @@ def next_mark(df: DataFrame, timestamp_column: str) -> DataFrame:
     return df.agg(F.max(timestamp_column).alias("next_mark"))
 
 
-def sample_access(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
+def sample_access(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:
     """Bounded sample read that really reads every visible column.
 
     ``SELECT * LIMIT n`` followed by ``count()`` lets the optimizer prune
-    every column (an empty read schema), so nothing would be read.  Here
-    the first ``n`` rows by ``order_by`` (a per-task top-n, merged once)
-    are read and each column's non-NULL values are counted.
+    every column (an empty read schema), so nothing would be read.  Here the
+    sample rows are read whole and each column's non-NULL values counted.
+
+    Without ``order_by`` (the access check): ``take(n)`` scans incrementally
+    -- one split first, more only if needed -- so the cost is O(n) rows even
+    on a very large table, and the n sampled rows (the sample itself, bounded)
+    are summarised on the driver.  With ``order_by`` the first ``n`` rows in
+    that order are used (deterministic, but a per-task top-n over the whole
+    table).
     """
     cols = df.columns
+    spark = df.sparkSession
+    schema = ("rows_returned bigint, column_count int, columns_visible string, "
+              "values_read bigint")
+    if order_by is None:
+        rows = df.take(n)
+        values = sum(1 for r in rows for v in r if v is not None)
+        return spark.createDataFrame([(len(rows), len(cols), ",".join(cols), values)], schema)
     sample = df.orderBy(*[F.col(c) for c in order_by]).limit(n)
     values_read = reduce(lambda a, b: a + b, [F.count(F.col(c)) for c in cols]) if cols else F.lit(0)
     return sample.agg(

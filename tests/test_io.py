@@ -286,3 +286,10 @@ def test_merge_into_path_null_and_escaped_partitions(spark, tmp):
     got = sorted((r.k, r.v, r.part) for r in spark.read.parquet(path).collect())
     assert got == [(1, "a2", None), (2, "b", None)]
     assert not os.path.exists(os.path.join(path, "part=x%2Fy"))
+
+
+def test_sample_access_unordered_is_incremental(spark):
+    df = read_table(spark, f"{SF_SMALL}/events.parquet")
+    r = sample_access(df, 10).first()
+    assert r.rows_returned == 10 and r.column_count == 6 and r.values_read == 60
+    assert r.columns_visible == ",".join(df.columns)
