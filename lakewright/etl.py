@@ -70,3 +70,29 @@ def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse
     spark.catalog.refreshTable(target_table)
     spark.sql(f"ALTER TABLE {target_table} RECOVER PARTITIONS")
     return EtlResult(int(obs.get["rows"]), False, target_table)
+
+
+def main(argv: list[str] | None = None) -> EtlResult:
+    """``python -m lakewright.etl --source-table ... --target-table ... --warehouse-path ...``"""
+    import argparse
+
+    from lakewright.session import get_session
+    from lakewright.sources.tables import read_table
+    ap = argparse.ArgumentParser(description="Governed read -> transform -> event table.")
+    ap.add_argument("--source-table", required=True, help="catalog name or parquet path (event columns)")
+    ap.add_argument("--target-table", required=True, help="catalog name of the event table")
+    ap.add_argument("--warehouse-path", required=True)
+    ap.add_argument("--row-filter", default=None, help="policy predicate (SQL)")
+    ap.add_argument("--mode", default="append", choices=["append", "merge"])
+    ap.add_argument("--merge-keys", default="id")
+    a = ap.parse_args(argv)
+    spark = get_session()
+    policy = Policy("etl", row_filter=a.row_filter) if a.row_filter else None
+    res = run_etl(spark, read_table(spark, a.source_table), a.target_table, a.warehouse_path,
+                  policy=policy, mode=a.mode, merge_keys=a.merge_keys.split(","))
+    print(res)
+    return res
+
+
+if __name__ == "__main__":
+    main()

@@ -293,3 +293,16 @@ def test_sample_access_unordered_is_incremental(spark):
     r = sample_access(df, 10).first()
     assert r.rows_returned == 10 and r.column_count == 6 and r.values_read == 60
     assert r.columns_visible == ",".join(df.columns)
+
+
+def test_etl_cli(spark, tmp):
+    from lakewright.etl import main as etl_main
+    src = os.path.join(tmp, "x1")
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
+        F.col("event_id").alias("id"), "event_type", F.col("user_id").cast("string").alias("user_id"),
+        F.col("props").alias("event_data"), F.col("ts").alias("event_timestamp")).write.parquet(src)
+    res = etl_main(["--source-table", src, "--target-table", "default.events_cli",
+                    "--warehouse-path", os.path.join(tmp, "wh"), "--row-filter", "CAST(user_id AS INT) < 10"])
+    assert res.rows_written == spark.read.parquet(src).where("CAST(user_id AS INT) < 10").count()
+    assert spark.table("default.events_cli").count() == res.rows_written
+    spark.sql("DROP TABLE default.events_cli")
