@@ -86,26 +86,50 @@ def table_location(spark: SparkSession, table: str) -> str | None:
     return None
 
 
+def _partition_spec(path_part: str) -> str:
+    """``day=1/hour=%3A`` -> ``day = '1', hour = ':'`` (values unescaped)."""
+    from urllib.parse import unquote
+    items = []
+    for kv in path_part.split("/"):
+        k, v = kv.split("=", 1)
+        v = unquote(v).replace("\\", "\\\\").replace("'", "\\'")
+        items.append(f"`{unquote(k)}` = '{v}'")
+    return ", ".join(items)
+
+
 def relocate(spark: SparkSession, table: str, new_location: str) -> DataFrame:
     """M3: point a table at a new location holding the same data.
 
     Refused when the location is not a URI (``scheme://...``), or when the
     data there differs from the table's current data (R1): after SET
-    LOCATION to an empty path a table silently has 0 rows.  Then the
-    location is set, re-read from the catalog and confirmed.  Returns the
-    one-row verification.
+    LOCATION to an empty path a table silently has 0 rows.  Then the table
+    location is set, every partition of a partitioned table is pointed at
+    its folder under the new location (partitions keep their own locations
+    otherwise), the location is re-read from the catalog, and the table as
+    the catalog now reads it is compared with the new data once more.
+    Returns the one-row verification.
     """
     if not _URI.match(new_location):
         raise ValueError(f"new location must be a URI such as hdfs://... or file:///...: {new_location}")
     current = spark.table(table)
-    moved = spark.read.schema(current.schema).parquet(new_location).select(*current.columns)
+    part_cols = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    moved = (spark.read.option("basePath", new_location).schema(current.schema)
+             .parquet(new_location).select(*current.columns))
     check = verify_equal(current, moved).collect()[0]
     if not check["equal"]:
         raise ValueError(f"data at {new_location} differs from {table}: {check.asDict()}")
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_location}'")
+    if part_cols:
+        base = new_location.rstrip("/")
+        for r in spark.sql(f"SHOW PARTITIONS {table}").collect():   # one row per partition
+            spark.sql(f"ALTER TABLE {table} PARTITION ({_partition_spec(r[0])}) "
+                      f"SET LOCATION '{base}/{r[0]}'")
     spark.catalog.refreshTable(table)
     now = table_location(spark, table)
     if not same_location(now, new_location):
         raise RuntimeError(f"location not updated: {now}")
+    after = verify_equal(spark.table(table), moved).collect()[0]
+    if not after["equal"]:
+        raise RuntimeError(f"{table} at its new location reads differently: {after.asDict()}")
     return spark.createDataFrame([(table, now, check["left_rows"], True)],
                                  "table_name string, location string, rows bigint, verified boolean")

@@ -306,3 +306,19 @@ def test_etl_cli(spark, tmp):
     assert res.rows_written == spark.read.parquet(src).where("CAST(user_id AS INT) < 10").count()
     assert spark.table("default.events_cli").count() == res.rows_written
     spark.sql("DROP TABLE default.events_cli")
+
+
+def test_relocate_partitioned_table(spark, tmp):
+    schema = StructType([StructField("id", IntegerType()), StructField("day", StringType())])
+    a, b = "file://" + os.path.join(tmp, "a"), "file://" + os.path.join(tmp, "b")
+    create_table(spark, "default.rp", schema, a, partition_columns=["day"])
+    insert_into(spark.createDataFrame([(1, "1"), (2, "2"), (3, "x:y")], schema), "default.rp")
+    spark.table("default.rp").write.partitionBy("day").parquet(b)
+    assert relocate(spark, "default.rp", b).first().verified
+    # every partition now lives under the new location
+    for spec in ("day='1'", "day='2'", "day='x:y'"):
+        loc = [r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED default.rp PARTITION ({spec})").collect()
+               if r.col_name == "Location"][0]
+        assert same_location(loc.rsplit("/", 1)[0], b), loc
+    assert sorted(tuple(r) for r in spark.table("default.rp").collect()) == [(1, "1"), (2, "2"), (3, "x:y")]
+    spark.sql("DROP TABLE default.rp")
