@@ -9,6 +9,7 @@ the SQL oracle.
 from __future__ import annotations
 
 import datetime as _dt
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,24 @@ COMPACTION_TARGET_BYTES = 134_217_728
 EVENT_LOG = ChangeLog(keys=("user_id",), commit_id="commit_id", committed_at="ts", tie="event_id")
 
 
+_HANDLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A read handle of a given table, opened once per session.
+
+    Opening a parquet path lists files and reads a footer on the driver
+    (~0.1 s each); the handle -- a plan, not data -- is reused, as a
+    catalog table's file listing would be.  Entries die with the session.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        handles = _HANDLES.setdefault(spark, {})
+    except TypeError:                      # session object not weak-referenceable
+        return spark.read.parquet(path)
+    if path not in handles:
+        handles[path] = spark.read.parquet(path)
+    return handles[path]
 
 
 def events_x1(spark: SparkSession, sf_dir: str) -> DataFrame:
