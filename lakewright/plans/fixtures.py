@@ -128,13 +128,16 @@ def grant_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grants per customer: DESCRIBE on the database for customers with a
     non-negative balance; SELECT and DESCRIBE on the table for two
-    market segments."""
+    market segments.  One scan of ``customer``: each row emits its grants
+    with ``explode`` of the applicable (table, permission) pairs."""
     c = table(spark, sf_dir, "customer")
-    principal = F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("principal")
-    db = F.lit(GRANT_DATABASE).alias("database_name")
-    db_grants = c.where(F.col("c_acctbal") >= 0).select(
-        principal, db, F.lit("*").alias("table_name"), F.lit("DESCRIBE").alias("permission"))
-    seg = c.where(F.col("c_mktsegment").isin(*GRANT_SEGMENTS))
-    tbl = [seg.select(principal, db, F.lit(GRANT_TABLE).alias("table_name"), F.lit(p).alias("permission"))
-           for p in ("SELECT", "DESCRIBE")]
-    return db_grants.unionByName(tbl[0]).unionByName(tbl[1])
+    seg = F.col("c_mktsegment").isin(*GRANT_SEGMENTS)
+    pair = lambda t, p: F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"))
+    options = F.array(
+        F.when(F.col("c_acctbal") >= 0, pair("*", "DESCRIBE")),
+        F.when(seg, pair(GRANT_TABLE, "SELECT")),
+        F.when(seg, pair(GRANT_TABLE, "DESCRIBE")))
+    return (c.select(F.concat(F.lit("cust_"), F.col("c_custkey").cast("string")).alias("principal"),
+                     F.explode(F.filter(options, lambda g: g.isNotNull())).alias("g"))
+            .select("principal", F.lit(GRANT_DATABASE).alias("database_name"),
+                    F.col("g.t").alias("table_name"), F.col("g.p").alias("permission")))
