@@ -162,6 +162,15 @@ def run_report(results: DataFrame, job_name: str, timestamp: str, version: str)
              "results")
 
 
+def _comparable(df: DataFrame) -> DataFrame:
+    """Maps can be neither grouped nor hashed: compare a top-level map as the
+    sorted array of its entries (equal maps give equal arrays)."""
+    from pyspark.sql.types import MapType
+    return df.select(*[
+        F.array_sort(F.map_entries(F.col(f.name))).alias(f.name) if isinstance(f.dataType, MapType)
+        else F.col(f.name) for f in df.schema.fields])
+
+
 def verify_equal(left: DataFrame, right: DataFrame, method: str = "exact") -> DataFrame:
     """Are two DataFrames the same multiset of rows?
 
@@ -175,7 +184,7 @@ def verify_equal(left: DataFrame, right: DataFrame, method: str = "exact") -> Da
     cols = left.columns
     if sorted(cols) != sorted(right.columns):
         raise ValueError(f"different columns: {cols} vs {right.columns}")
-    right = right.select(*cols)
+    left, right = _comparable(left), _comparable(right.select(*cols))
     if method == "fingerprint":
         h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)").alias("h")
         both = (left.select(F.lit(True).alias("__l"), h)

@@ -58,3 +58,12 @@ def test_a_failing_check_becomes_a_row(spark):
     assert st["ok"][0] == "PASS"
     assert st["hidden column"][0] == "WARNING" and "UNRESOLVED_COLUMN" in st["hidden column"][1]
     assert st["broken fail"][0] == "FAIL"
+
+
+@pytest.mark.parametrize("method", ["exact", "fingerprint"])
+def test_verify_equal_with_map_columns(spark, method):
+    a = spark.createDataFrame([(1, {"x": "1", "y": "2"})], "i int, m map<string,string>")
+    b = spark.sql("SELECT 1 AS i, map('y', '2', 'x', '1') AS m")
+    assert verify_equal(a, b, method).first().equal
+    c = spark.sql("SELECT 1 AS i, map('y', '3', 'x', '1') AS m")
+    assert not verify_equal(a, c, method).first().equal
