@@ -51,20 +51,33 @@ def transform_events(df: DataFrame, as_of: _dt.datetime | None = None) -> DataFr
     })
 
 
+def _orderable(dtype) -> bool:
+    from pyspark.sql.types import ArrayType, MapType, StructType
+    if isinstance(dtype, MapType):
+        return False
+    if isinstance(dtype, ArrayType):
+        return _orderable(dtype.elementType)
+    if isinstance(dtype, StructType):
+        return all(_orderable(f.dataType) for f in dtype.fields)
+    return dtype.typeName() not in ("variant",)
+
+
 def dedup_latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """One row per key; the greatest ``order_by`` wins, remaining
-    columns break ties (so the result does not depend on the plan).
+    (orderable) columns break ties, so the result does not depend on the
+    plan.
 
-    Written as an aggregate, ``max(struct(order..., rest...))``: the
+    Written as an aggregate, ``max_by(row, struct(order..., rest...))``: the
     aggregate is partial per map task, so a key that holds a third of all
     rows leaves each task as one row and no task sorts the hot key whole.
-    NULLs order lowest (as ``DESC NULLS LAST`` in a window).
+    NULLs order lowest (as ``DESC NULLS LAST`` in a window).  Map columns
+    are carried along but cannot break ties.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order_by]
-    ranked = F.struct(*[F.col(c) for c in order_by + rest]).alias("_w")
-    out = df.groupBy(*keys).agg(F.max(ranked).alias("_w"))
-    return out.select(*[F.col(k) for k in keys],
-                      *[F.col(f"_w.{c}").alias(c) for c in order_by + rest]).select(*df.columns)
+    rest = [c for c in df.columns
+            if c not in keys and c not in order_by and _orderable(df.schema[c].dataType)]
+    ranking = F.struct(*[F.col(c) for c in order_by + rest])
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*keys).agg(F.max_by(row, ranking).alias("_w")).select("_w.*")
 
 
 def conform_schema(df: DataFrame, schema: StructType) -> DataFrame:

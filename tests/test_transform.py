@@ -115,3 +115,10 @@ def test_conform_keeps_decimal_and_array(spark):
 def test_minus_days(spark):
     r = spark.range(1).select(minus_days(dt.datetime(2024, 1, 31), 7).alias("t")).first()
     assert r.t == dt.datetime(2024, 1, 24)
+
+
+def test_dedup_latest_carries_map_columns(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 1, map('a', 'x')), (1, 2, map('a', 'y')), (2, 1, map()) "
+                   "AS t(k, ts, m)")
+    out = {r.k: r.m for r in dedup_latest(df, ["k"], ["ts"]).collect()}
+    assert out == {1: {"a": "y"}, 2: {}}
