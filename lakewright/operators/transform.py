@@ -73,9 +73,14 @@ def dedup_latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFra
     NULLs order lowest (as ``DESC NULLS LAST`` in a window).  Map columns
     are carried along but cannot break ties.
     """
-    rest = [c for c in df.columns
-            if c not in keys and c not in order_by and _orderable(df.schema[c].dataType)]
+    others = [c for c in df.columns if c not in keys and c not in order_by]
+    rest = [c for c in others if _orderable(df.schema[c].dataType)]
     ranking = F.struct(*[F.col(c) for c in order_by + rest])
+    if len(rest) == len(others):
+        # Every column orders: the ranking struct is the row (one buffer).
+        out = df.groupBy(*keys).agg(F.max(ranking).alias("_w"))
+        return out.select(*[F.col(k) for k in keys],
+                          *[F.col(f"_w.{c}").alias(c) for c in order_by + rest]).select(*df.columns)
     row = F.struct(*[F.col(c) for c in df.columns])
     return df.groupBy(*keys).agg(F.max_by(row, ranking).alias("_w")).select("_w.*")
 
