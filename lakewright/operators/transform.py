@@ -62,27 +62,51 @@ def _orderable(dtype) -> bool:
     return dtype.typeName() not in ("variant",)
 
 
+def latest_aggregate(df: DataFrame, keys: list[str], order_by: list[str],
+                     within: Column | None = None) -> tuple[Column, list[str]]:
+    """The aggregate behind every latest-per-key operator, and the fields of
+    the struct it returns (all non-key columns).
+
+    ``max(struct(order..., rest...))`` when every column orders (one buffer
+    per key), else ``max_by(row, struct(order..., orderable rest...))``.
+    With ``within``, rows where it does not hold are ignored (the result is
+    NULL for a key without such rows), so several states can be taken in
+    one aggregation.
+    """
+    others = [c for c in df.columns if c not in keys and c not in order_by]
+    rest = [c for c in others if _orderable(df.schema[c].dataType)]
+    ranking = F.struct(*[F.col(c) for c in order_by + rest])
+    if len(rest) == len(others):
+        value = ranking if within is None else F.when(within, ranking)
+        return F.max(value), order_by + rest
+    fields = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in fields])
+    return F.max_by(row, ranking if within is None else F.when(within, ranking)), fields
+
+
+def latest_per_key(df: DataFrame, keys: list[str], order_by: list[str],
+                   within: Column | None = None) -> DataFrame:
+    """One row per key: the row with the greatest ``order_by`` (remaining
+    orderable columns break ties), among rows where ``within`` holds."""
+    agg, fields = latest_aggregate(df, keys, order_by, within)
+    out = df.groupBy(*keys).agg(agg.alias("_w"))
+    if within is not None:
+        out = out.where(F.col("_w").isNotNull())
+    return out.select(*[F.col(k) for k in keys],
+                      *[F.col(f"_w.{c}").alias(c) for c in fields]).select(*df.columns)
+
+
 def dedup_latest(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
     """One row per key; the greatest ``order_by`` wins, remaining
     (orderable) columns break ties, so the result does not depend on the
     plan.
 
-    Written as an aggregate, ``max_by(row, struct(order..., rest...))``: the
-    aggregate is partial per map task, so a key that holds a third of all
-    rows leaves each task as one row and no task sorts the hot key whole.
-    NULLs order lowest (as ``DESC NULLS LAST`` in a window).  Map columns
-    are carried along but cannot break ties.
+    An aggregate, not a window: partial per map task, so a key that holds a
+    third of all rows leaves each task as one row and no task sorts the hot
+    key whole.  NULLs order lowest (as ``DESC NULLS LAST`` in a window).
+    Map columns are carried along but cannot break ties.
     """
-    others = [c for c in df.columns if c not in keys and c not in order_by]
-    rest = [c for c in others if _orderable(df.schema[c].dataType)]
-    ranking = F.struct(*[F.col(c) for c in order_by + rest])
-    if len(rest) == len(others):
-        # Every column orders: the ranking struct is the row (one buffer).
-        out = df.groupBy(*keys).agg(F.max(ranking).alias("_w"))
-        return out.select(*[F.col(k) for k in keys],
-                          *[F.col(f"_w.{c}").alias(c) for c in order_by + rest]).select(*df.columns)
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(*keys).agg(F.max_by(row, ranking).alias("_w")).select("_w.*")
+    return latest_per_key(df, keys, order_by)
 
 
 def conform_schema(df: DataFrame, schema: StructType) -> DataFrame:

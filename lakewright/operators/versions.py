@@ -5,9 +5,10 @@ A log holds one row per change: key column(s), payload, ``commit_id``,
 The state as of a version or a time is the latest row per key at or before
 it, without the keys whose latest row is a delete.
 
-Latest-per-key is an aggregate, ``max_by(row, (commit_id, committed_at,
-tie))``: partial per map task, so one key holding a third of the log costs
-one row per task in the shuffle, and two states can be taken in one pass.
+Latest-per-key is an aggregate over (commit_id, committed_at, tie), see
+``transform.latest_aggregate``: partial per map task, so one key holding a
+third of the log costs one row per task in the shuffle, and two states can
+be taken in one pass.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions.columns import minus_days, ts_literal
+from lakewright.operators.transform import latest_aggregate, latest_per_key
 
 DELETE_OP = "D"
 DEFAULT_RETAIN_DAYS = 7
@@ -34,8 +36,8 @@ class ChangeLog:
     tie: str = "id"
     op: str | None = None
 
-    def order(self) -> Column:
-        return F.struct(F.col(self.commit_id), F.col(self.committed_at), F.col(self.tie))
+    def order_columns(self) -> list[str]:
+        return [self.commit_id, self.committed_at, self.tie]
 
 
 def _mark(version: int | None, timestamp: _dt.datetime | None, log: ChangeLog) -> Column:
@@ -50,11 +52,7 @@ def _mark(version: int | None, timestamp: _dt.datetime | None, log: ChangeLog) -
 
 def latest_rows(df: DataFrame, log: ChangeLog, within: Column | None = None) -> DataFrame:
     """Latest row per key among rows where ``within`` holds (all rows if None)."""
-    payload = F.struct(*[F.col(c) for c in df.columns])
-    order = log.order() if within is None else F.when(within, log.order())
-    out = (df.groupBy(*log.keys).agg(F.max_by(payload, order).alias("_r"))
-           .where(F.col("_r").isNotNull()).select("_r.*"))
-    return out
+    return latest_per_key(df, list(log.keys), log.order_columns(), within)
 
 
 def state_as_of(df: DataFrame, log: ChangeLog, version: int | None = None,
@@ -139,19 +137,18 @@ def state_diff(df: DataFrame, log: ChangeLog, t1: _dt.datetime, t2: _dt.datetime
     """V5: changes between the states at ``t1`` and ``t2``: 'I', 'U', 'D'.
 
     Both states come from one scan and one shuffle: two conditional
-    ``max_by`` aggregates per key.  Columns compare NULL-safely.  Output:
+    latest-row aggregates per key.  Columns compare NULL-safely.  Output:
     keys, ``change``, then ``old_<c>`` / ``new_<c>`` for each payload column.
     """
     payload_cols = [c for c in df.columns if c not in log.keys]
     compare = payload_cols if compare is None else compare
-    payload = F.struct(*[F.col(c) for c in payload_cols])
     at = F.col(log.committed_at)
+    old_state, _ = latest_aggregate(df, list(log.keys), log.order_columns(), at <= ts_literal(t1))
+    new_state, _ = latest_aggregate(df, list(log.keys), log.order_columns(), at <= ts_literal(t2))
     agg = (df.where(at <= ts_literal(max(t1, t2)))
-           .groupBy(*log.keys)
-           .agg(F.max_by(payload, F.when(at <= ts_literal(t1), log.order())).alias("o"),
-                F.max_by(payload, F.when(at <= ts_literal(t2), log.order())).alias("n")))
+           .groupBy(*log.keys).agg(old_state.alias("o"), new_state.alias("n")))
     if log.op:
-        gone = lambda s: F.coalesce(F.col(f"{s}.{log.op}") == DELETE_OP, F.lit(False))
+        gone = lambda s: F.coalesce(F.col(f"{s}.{log.op}") == DELETE_OP, F.lit(False))
         agg = agg.select(*log.keys,
                          F.when(~gone("o"), F.col("o")).alias("o"),
                          F.when(~gone("n"), F.col("n")).alias("n"))
