@@ -17,12 +17,14 @@ Plan choice.  A change batch is usually small next to the table.  The batch
 is profiled in one job -- rows, measured bytes, and (for the duplicate
 check) the largest number of rows sharing a key.  When rows and bytes are
 within bounds the batch is broadcast and the target is read in place by a
-left join, never shuffled.  Beyond the bounds both sides are shuffled on the
-keys for the same left join, plus a keys-only shuffle of the target to find
-the matched batch keys.  Inserts are the batch rows whose key was not
-matched (an anti join with at most one row per batch key).  No full outer
-join is used: AQE can split a skewed target key partition of a left or
-semi join, not of a full outer one.
+left join, never shuffled; inserts are the batch rows whose key is not
+among the matched keys (at most one row per batch key, broadcast back).
+Beyond the bounds both sides are shuffled on the keys for the same left
+join, and inserts are the batch rows without a key among the target's
+distinct keys (a keys-only shuffle of the target, pre-aggregated per task,
+so a hot key is one row per task).  No full outer join is used:
+AQE can split a skewed target key partition of a left join, not of a full
+outer one.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ from lakewright.operators.sizing import (
 )
 
 _S = "__src_"          # prefix of source columns inside the join
-_S_HIT = "__s_present"
 DELETE_OP = "D"
 
 
@@ -130,25 +131,30 @@ def upsert(target: DataFrame, source: DataFrame, keys: str | list[str],
     if largest > 1:
         raise ValueError(f"source has several rows for one target key ({largest} rows share a key)")
 
-    s = source.select(*[F.col(c).alias(_S + c) for c in source.columns],
-                      F.lit(True).alias(_S_HIT))
+    s = source.select(*[F.col(c).alias(_S + c) for c in source.columns])
     is_delete = (F.coalesce(F.col(_S + op_column) == DELETE_OP, F.lit(False))
                  if op_column else F.lit(False))
+    # Keys never match when NULL, so a matched row has a non-NULL batch key.
+    hit = F.col(_S + ks[0]).isNotNull()
 
     small = rows <= max_broadcast_rows and nbytes <= max_broadcast_bytes
     t = target
     j = t.join(F.broadcast(s) if small else s, _cond(t, s, ks), "left")
-    hit = F.col(_S_HIT).isNotNull()
     updated = j.where(~(hit & is_delete)).select(*[
         (F.when(hit, F.col(_S + c)).otherwise(t[c]) if c in updates else t[c]).alias(c)
         for c in target.columns])
-    # Batch keys found in the target: at most one row per batch key.  The
-    # optimizer reads only the target's key columns for it (a keys-only
-    # shuffle on the large path).
-    matched = j.where(hit).select(*[F.col(_S + k) for k in ks]).distinct()
-    ins = (s.join(F.broadcast(matched) if small else matched, [_S + k for k in ks], "left_anti")
-           .where(~is_delete))
-    inserted = ins.select(*[
+    s_key_cols = [_S + k for k in ks]
+    if small:
+        # Batch keys found in the target (a keys-only read of the target),
+        # at most one row per batch key, broadcast back to the batch.
+        matched = j.where(hit).select(*[F.col(c) for c in s_key_cols]).distinct()
+        ins = s.join(F.broadcast(matched), s_key_cols, "left_anti")
+    else:
+        # The target's distinct keys (partial per task, so a hot key is one
+        # row per task).
+        tkeys = target.select(*[F.col(k).alias(_S + k) for k in ks]).distinct()
+        ins = s.join(tkeys, s_key_cols, "left_anti")
+    inserted = ins.where(~is_delete).select(*[
         (F.col(_S + c) if c in src_cols else F.lit(None).cast(target.schema[c].dataType)).alias(c)
         for c in target.columns])
     return updated.unionByName(inserted)
