@@ -97,7 +97,8 @@ def _partition_spec(path_part: str) -> str:
     return ", ".join(items)
 
 
-def relocate(spark: SparkSession, table: str, new_location: str) -> DataFrame:
+def relocate(spark: SparkSession, table: str, new_location: str,
+             method: str = "fingerprint") -> DataFrame:
     """M3: point a table at a new location holding the same data.
 
     Refused when the location is not a URI (``scheme://...``), or when the
@@ -107,7 +108,8 @@ def relocate(spark: SparkSession, table: str, new_location: str) -> DataFrame:
     its folder under the new location (partitions keep their own locations
     otherwise), the location is re-read from the catalog, and the table as
     the catalog now reads it is compared with the new data once more.
-    Returns the one-row verification.
+    ``method`` is R1's: ``fingerprint`` (default: no shuffle, one pass over
+    each copy) or ``exact``.  Returns the one-row verification.
     """
     if not _URI.match(new_location):
         raise ValueError(f"new location must be a URI such as hdfs://... or file:///...: {new_location}")
@@ -115,7 +117,7 @@ def relocate(spark: SparkSession, table: str, new_location: str) -> DataFrame:
     part_cols = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
     moved = (spark.read.option("basePath", new_location).schema(current.schema)
              .parquet(new_location).select(*current.columns))
-    check = verify_equal(current, moved).collect()[0]
+    check = verify_equal(current, moved, method=method).collect()[0]
     if not check["equal"]:
         raise ValueError(f"data at {new_location} differs from {table}: {check.asDict()}")
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{new_location}'")
@@ -128,7 +130,7 @@ def relocate(spark: SparkSession, table: str, new_location: str) -> DataFrame:
     now = table_location(spark, table)
     if not same_location(now, new_location):
         raise RuntimeError(f"location not updated: {now}")
-    after = verify_equal(spark.table(table), moved).collect()[0]
+    after = verify_equal(spark.table(table), moved, method=method).collect()[0]
     if not after["equal"]:
         raise RuntimeError(f"{table} at its new location reads differently: {after.asDict()}")
     return spark.createDataFrame([(table, now, check["left_rows"], True)],
