@@ -56,6 +56,21 @@ def list_objects(spark: SparkSession, path: str, recursive: bool = True) -> Data
                      F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+def listing_summary(objects: DataFrame, n: int = 5) -> DataFrame:
+    """S10 summary: number of objects and the first ``n`` names (sorted).
+
+    A partial count and a per-task top-n; the two one-row results are
+    combined by a grouping, not a join, and no unbounded list is collected.
+    """
+    count = objects.agg(F.count(F.lit(1)).alias("objects")).select(
+        "objects", F.lit(None).cast("array<string>").alias("first_names"))
+    first = (objects.select("name").orderBy("name").limit(n)
+             .agg(F.array_sort(F.collect_list("name")).alias("first_names"))
+             .select(F.lit(None).cast("bigint").alias("objects"), "first_names"))
+    return count.unionByName(first).agg(F.max("objects").alias("objects"),
+                                         F.max("first_names").alias("first_names"))
+
+
 def file_inventory(df: DataFrame, partition_columns: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """One row per data file: partition values, name, rows, bytes.
 

@@ -82,3 +82,11 @@ def test_object_listing(spark):
     rows = E.queries()["object_listing"](spark, SF_SMALL).collect()
     assert sorted(r.name for r in rows) == sorted(os.listdir(SF_SMALL))
     assert all(r.bytes == os.path.getsize(os.path.join(SF_SMALL, r.name)) for r in rows)
+
+
+def test_listing_summary(spark):
+    import os
+    from lakewright.sources.files import list_objects, listing_summary
+    r = listing_summary(list_objects(spark, SF_SMALL)).first()
+    assert r.objects == len(os.listdir(SF_SMALL))
+    assert r.first_names == sorted(os.listdir(SF_SMALL))[:5]
