@@ -49,6 +49,8 @@ JOB_NAME = "lakewright-checks"
 REPORT_TIME = "2024-01-31T00:00:00"
 VERSION = "1"
 COMPACTION_TARGET_BYTES = 134_217_728
+KNOWN_EVENT_TYPES = ("click", "view", "purchase", "signup", "error")
+KNOWN_ORDER_STATUSES = ("F", "O", "P")
 
 EVENT_LOG = ChangeLog(keys=("user_id",), commit_id="commit_id", committed_at="ts", tie="event_id")
 

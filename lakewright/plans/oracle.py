@@ -154,6 +154,10 @@ def _audit_rows_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _in_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 # (table, governed source SQL, visible column count, hidden column count, data checks)
 # data check = (name, violation predicate, severity, message, recommendation)
 _CHECK_TABLES = [
@@ -161,12 +165,13 @@ _CHECK_TABLES = [
         ("event_id not null", "event_id IS NULL", "FAIL", "rows violate the check", None),
         ("ts not null", "ts IS NULL", "FAIL", "rows violate the check", None),
         ("known event_type",
-         "NOT event_type IN ('click', 'view', 'purchase', 'signup', 'error') OR event_type IS NULL",
+         f"NOT event_type IN ({_in_list(fx.KNOWN_EVENT_TYPES)}) OR event_type IS NULL",
          "WARNING", "rows with an unknown event type", "Map new event types before loading"),
         ("value not negative", "value < 0", "WARNING", "rows violate the check", None)]),
     ("orders", ENTITLED, 6, 0, [
         ("total price positive", "o_totalprice <= 0", "FAIL", "rows violate the check", None),
-        ("known order status", "NOT o_orderstatus IN ('F', 'O', 'P')", "WARNING", "rows violate the check", None)]),
+        ("known order status", f"NOT o_orderstatus IN ({_in_list(fx.KNOWN_ORDER_STATUSES)})", "WARNING",
+         "rows violate the check", None)]),
     ("customer", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer", 4, 1, [
         ("market segment present", "c_mktsegment IS NULL", "FAIL", "rows violate the check", None),
         ("nation key present", "c_nationkey IS NULL", "WARNING", "rows violate the check", None)]),

@@ -237,12 +237,12 @@ def _data_checks(name: str) -> list[C.Check]:
         return [C.Check("event_id not null", F.count_if(col("event_id").isNull())),
                 C.Check("ts not null", F.count_if(col("ts").isNull())),
                 C.Check("known event_type", F.count_if(~col("event_type").isin(
-                    "click", "view", "purchase", "signup", "error") | col("event_type").isNull()), C.WARNING,
+                    *fx.KNOWN_EVENT_TYPES) | col("event_type").isNull()), C.WARNING,
                     "rows with an unknown event type", "Map new event types before loading"),
                 C.Check("value not negative", F.count_if(col("value") < 0), C.WARNING)]
     if name == "orders":
         return [C.Check("total price positive", F.count_if(col("o_totalprice") <= 0)),
-                C.Check("known order status", F.count_if(~col("o_orderstatus").isin("F", "O", "P")), C.WARNING)]
+                C.Check("known order status", F.count_if(~col("o_orderstatus").isin(*fx.KNOWN_ORDER_STATUSES)), C.WARNING)]
     return [C.Check("market segment present", F.count_if(col("c_mktsegment").isNull())),
             C.Check("nation key present", F.count_if(col("c_nationkey").isNull()), C.WARNING)]
 
