@@ -168,6 +168,8 @@ def write_verified(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     and ``equal``; a write that loses or changes rows is not equal."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}: use one of {FORMATS}")
+    if fmt == "text" and [f.dataType.simpleString() for f in df.schema.fields] != ["string"]:
+        raise ValueError("the text format takes exactly one string column")
     spark = df.sparkSession
     w = df.write.mode(mode)
     if fmt == "csv":

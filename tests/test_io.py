@@ -51,6 +51,8 @@ def test_unknown_mode_and_format(spark, tmp):
         write_table(x3(spark), os.path.join(tmp, "x"), "merge")
     with pytest.raises(ValueError):
         write_verified(x3(spark), os.path.join(tmp, "x"), "avro")
+    with pytest.raises(ValueError, match="one string column"):
+        write_verified(x3(spark), os.path.join(tmp, "x"), "text")
 
 
 def test_append_by_name_and_dynamic_overwrite(spark, tmp):
