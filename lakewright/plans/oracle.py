@@ -329,5 +329,9 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT '{t}' AS table_name, count(*) AS visible_rows, CAST({v} AS INTEGER) AS visible_columns, "
             f"CAST({h} AS INTEGER) AS hidden_columns FROM ({src})"
             for t, src, v, h, _ in _CHECK_TABLES),
+        **{f"sink_{fmt}_round_trip": ("SELECT count(*) AS left_rows, count(*) AS right_rows, "
+                                      "true AS equal FROM events") for fmt in ("json", "parquet", "csv")},
+        "sink_partitioned_table": ("SELECT count(*) AS left_rows, count(*) AS right_rows, "
+                                   "true AS equal FROM events"),
         "etl_job": _transform_sql(where="WHERE CAST(user_id AS BIGINT) < 50"),
     }

@@ -23,6 +23,7 @@ from lakewright.plans import fixtures as fx
 from lakewright.sources import tables as S
 from lakewright.sources.files import file_inventory, list_objects
 from lakewright.etl import etl_transform
+from lakewright.sinks.writers import write_table, write_verified
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -278,6 +279,35 @@ def table_summary(spark, d):
     return C.table_summary(_governed_tables(spark, d))
 
 
+# --- sinks (K1, K2, K5-K7): verified writes of the whole event table -------
+
+def _scratch(spark, kind: str) -> str:
+    import uuid
+    from lakewright.session import require_checkpoint_dir
+    return f"{require_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def _round_trip(fmt: str):
+    def q(spark, d):
+        return write_verified(fx.events_x1(spark, d), _scratch(spark, f"sink-{fmt}"), fmt).select(
+            "left_rows", "right_rows", "equal")
+    q.__name__ = f"sink_{fmt}_round_trip"
+    return q
+
+
+def sink_partitioned_table(spark, d):
+    """K1 + K2: append the transformed events partitioned by year/month/day,
+    overwrite the partitions present again (must not change the table), and
+    verify the table against the data written."""
+    out = etl_transform(fx.events_x1(spark, d), as_of=fx.AS_OF)
+    path = _scratch(spark, "sink-table")
+    parts = ["year", "month", "day"]
+    write_table(out, path, "append", parts)
+    write_table(out, path, "overwrite", parts)
+    back = spark.read.schema(out.schema).parquet(path).select(*out.columns)
+    return C.verify_equal(out, back).select("left_rows", "right_rows", "equal")
+
+
 # --- maintenance and the ETL job (M1, L1) ----------------------------------
 
 def compaction_plan_q(spark, d):
@@ -333,6 +363,10 @@ QUERIES: dict[str, Query] = {
     "status_rollup": status_rollup,
     "run_report": run_report,
     "table_summary": table_summary,
+    "sink_json_round_trip": _round_trip("json"),
+    "sink_parquet_round_trip": _round_trip("parquet"),
+    "sink_csv_round_trip": _round_trip("csv"),
+    "sink_partitioned_table": sink_partitioned_table,
     "compaction_plan": compaction_plan_q,
     "etl_job": etl_job,
 }

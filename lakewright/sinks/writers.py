@@ -26,6 +26,13 @@ from lakewright.operators.transform import conform_schema
 WRITE_MODES = ("append", "overwrite")
 FORMATS = ("json", "parquet", "csv", "text")
 
+# Timestamp text formats for JSON/CSV.  Spark's defaults keep
+# milliseconds only, which silently drops the microseconds of a timestamp.
+TEXT_TIMESTAMP_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def write_table(df: DataFrame, path: str, mode: str = "append",
                 partition_columns: list[str] | None = None,
@@ -165,7 +172,9 @@ def write_verified(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
                    method: str = "exact") -> DataFrame:
     """K5-K7 (+ text) with R1: write, read back with the same schema and
     compare.  Returns one row: left_rows (written), right_rows (read back),
-    and ``equal``; a write that loses or changes rows is not equal."""
+    and ``equal``; a write that loses or changes rows is not equal.  JSON
+    and CSV carry timestamps with microseconds (Spark's default text format
+    would cut them to milliseconds, which this check would report)."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}: use one of {FORMATS}")
     if fmt == "text" and [f.dataType.simpleString() for f in df.schema.fields] != ["string"]:
@@ -173,11 +182,11 @@ def write_verified(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     spark = df.sparkSession
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
-        back = spark.read.schema(df.schema).option("header", True).csv(path)
+        w.options(**TEXT_TIMESTAMP_OPTIONS).option("header", True).csv(path)
+        back = spark.read.schema(df.schema).options(**TEXT_TIMESTAMP_OPTIONS).option("header", True).csv(path)
     elif fmt == "json":
-        w.json(path)
-        back = spark.read.schema(df.schema).json(path)
+        w.options(**TEXT_TIMESTAMP_OPTIONS).json(path)
+        back = spark.read.schema(df.schema).options(**TEXT_TIMESTAMP_OPTIONS).json(path)
     elif fmt == "text":
         w.text(path)
         back = spark.read.text(path).toDF(*df.columns)

@@ -324,3 +324,11 @@ def test_relocate_partitioned_table(spark, tmp):
         assert same_location(loc.rsplit("/", 1)[0], b), loc
     assert sorted(tuple(r) for r in spark.table("default.rp").collect()) == [(1, "1"), (2, "2"), (3, "x:y")]
     spark.sql("DROP TABLE default.rp")
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_text_formats_keep_microseconds(spark, tmp, fmt):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 0, 7, 179575), dt.datetime(2024, 1, 1, 0, 0, 0, 1))],
+                               "id int, ntz timestamp_ntz, ltz timestamp")
+    r = write_verified(df, os.path.join(tmp, fmt), fmt).first()
+    assert r.equal
