@@ -333,5 +333,9 @@ def oracle_sql() -> dict[str, str]:
                                       "true AS equal FROM events") for fmt in ("json", "parquet", "csv")},
         "sink_partitioned_table": ("SELECT count(*) AS left_rows, count(*) AS right_rows, "
                                    "true AS equal FROM events"),
+        "merge_into_table": (
+            f"WITH {ORDERS_T}, {ORDERS_S}, u AS (SELECT * FROM s UNION ALL "
+            f"SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = t.o_orderkey)) "
+            f"SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS year FROM u"),
         "etl_job": _transform_sql(where="WHERE CAST(user_id AS BIGINT) < 50"),
     }

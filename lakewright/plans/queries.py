@@ -23,7 +23,7 @@ from lakewright.plans import fixtures as fx
 from lakewright.sources import tables as S
 from lakewright.sources.files import file_inventory, list_objects
 from lakewright.etl import etl_transform
-from lakewright.sinks.writers import write_table, write_verified
+from lakewright.sinks.writers import merge_into_path, write_table, write_verified
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -308,6 +308,19 @@ def sink_partitioned_table(spark, d):
     return C.verify_equal(out, back).select("left_rows", "right_rows", "equal")
 
 
+def merge_into_table(spark, d):
+    """J1 on a stored table: the orders target written partitioned by year,
+    the batch merged in by rewriting only the touched partitions, and the
+    table read back."""
+    year = F.year("o_orderdate").cast("string").alias("year")
+    target = fx.orders_target(spark, d).select("*", year)
+    batch = fx.orders_batch(spark, d).select("*", year)
+    path = _scratch(spark, "merge-table")
+    write_table(target, path, "overwrite", ["year"])
+    merge_into_path(batch, path, ["o_orderkey"], ["year"])
+    return spark.read.schema(target.schema).parquet(path).select(*target.columns)
+
+
 # --- maintenance and the ETL job (M1, L1) ----------------------------------
 
 def compaction_plan_q(spark, d):
@@ -367,6 +380,7 @@ QUERIES: dict[str, Query] = {
     "sink_parquet_round_trip": _round_trip("parquet"),
     "sink_csv_round_trip": _round_trip("csv"),
     "sink_partitioned_table": sink_partitioned_table,
+    "merge_into_table": merge_into_table,
     "compaction_plan": compaction_plan_q,
     "etl_job": etl_job,
 }
