@@ -332,3 +332,17 @@ def test_text_formats_keep_microseconds(spark, tmp, fmt):
                                "id int, ntz timestamp_ntz, ltz timestamp")
     r = write_verified(df, os.path.join(tmp, fmt), fmt).first()
     assert r.equal
+
+
+def test_stream_batch_replay_is_idempotent(spark, tmp):
+    from lakewright.streaming.incremental import _commit_writer
+    log = os.path.join(tmp, "log")
+    write = _commit_writer(log)
+    b0 = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    b1 = spark.createDataFrame([(3, "c")], "k int, v string")
+    write(b0, 0)
+    write(b1, 1)
+    first = sorted((r.k, r.commit_id) for r in spark.read.parquet(log).collect())
+    write(b1, 1)                       # the same batch again after a failure
+    again = sorted((r.k, r.commit_id) for r in spark.read.parquet(log).collect())
+    assert first == again == [(1, 0), (2, 0), (3, 1)]
