@@ -8,7 +8,8 @@ a batch job that picks up where the previous run ended.
 Each micro-batch becomes one commit of an append-only change log
 (partition ``commit_id = batch id``), written with dynamic partition
 overwrite.  A batch replayed after a failure rewrites the same partition,
-so the load is idempotent; the table state is ``state_as_of`` over the log.
+so the load is idempotent; the table state is ``state_as_of`` over the log
+read back with ``read_change_log``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ from pyspark.sql.types import StructType
 from lakewright.session import require_checkpoint_dir
 
 
+def read_change_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """The change log written by ``incremental_load``, with ``commit_id`` as
+    BIGINT.  Partition values are read as strings (so ``'10' < '2'``); the
+    cast restores numeric commit order, and filters on it still prune
+    partitions."""
+    return spark.read.parquet(log_path).withColumn("commit_id", F.col("commit_id").cast("bigint"))
+
+
 def _commit_writer(log_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         out = batch.withColumn("commit_id", F.lit(batch_id).cast("bigint"))

@@ -177,8 +177,10 @@ def test_incremental_stream_is_idempotent(spark, tmp):
     assert spark.read.parquet(log).count() == first
     ev.where("ts >= '2024-01-15'").write.parquet(os.path.join(src, "part2"))
     incremental_load(spark, src + "/*", ev.schema, log, ck)
-    full = spark.read.parquet(log)
+    from lakewright.streaming.incremental import read_change_log
+    full = read_change_log(spark, log)
     assert full.count() == ev.count()
+    assert full.schema["commit_id"].dataType.simpleString() == "bigint"
     lg = ChangeLog(keys=("user_id",), commit_id="commit_id", committed_at="committed_at", tie="event_id")
     assert state_as_of(full, lg, timestamp=dt.datetime(2100, 1, 1)).count() == ev.select("user_id").distinct().count()
 
@@ -342,7 +344,19 @@ def test_stream_batch_replay_is_idempotent(spark, tmp):
     b1 = spark.createDataFrame([(3, "c")], "k int, v string")
     write(b0, 0)
     write(b1, 1)
-    first = sorted((r.k, r.commit_id) for r in spark.read.parquet(log).collect())
+    from lakewright.streaming.incremental import read_change_log
+    first = sorted((r.k, r.commit_id) for r in read_change_log(spark, log).collect())
     write(b1, 1)                       # the same batch again after a failure
-    again = sorted((r.k, r.commit_id) for r in spark.read.parquet(log).collect())
+    again = sorted((r.k, r.commit_id) for r in read_change_log(spark, log).collect())
     assert first == again == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_change_log_orders_commits_numerically(spark, tmp):
+    from lakewright.streaming.incremental import _commit_writer, read_change_log
+    log = os.path.join(tmp, "log")
+    write = _commit_writer(log)
+    for b in range(12):
+        write(spark.createDataFrame([(1, f"v{b}", b)], "k int, v string, id int"), b)
+    lg = ChangeLog(keys=("k",), commit_id="commit_id", committed_at="committed_at", tie="id")
+    state = state_as_of(read_change_log(spark, log), lg, timestamp=dt.datetime(2100, 1, 1)).first()
+    assert state.v == "v11" and state.commit_id == 11
