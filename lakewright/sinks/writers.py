@@ -22,6 +22,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from lakewright.functions.columns import sql_type
 from lakewright.operators.checks import verify_equal
 from lakewright.operators.transform import conform_schema
+from lakewright.sources.files import read_csv, read_json, read_parquet, read_text
 
 WRITE_MODES = ("append", "overwrite")
 FORMATS = ("json", "parquet", "csv", "text")
@@ -183,16 +184,16 @@ def write_verified(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     w = df.write.mode(mode)
     if fmt == "csv":
         w.options(**TEXT_TIMESTAMP_OPTIONS).option("header", True).csv(path)
-        back = spark.read.schema(df.schema).options(**TEXT_TIMESTAMP_OPTIONS).option("header", True).csv(path)
+        back = read_csv(spark, path, df.schema, header=True, **TEXT_TIMESTAMP_OPTIONS)
     elif fmt == "json":
         w.options(**TEXT_TIMESTAMP_OPTIONS).json(path)
-        back = spark.read.schema(df.schema).options(**TEXT_TIMESTAMP_OPTIONS).json(path)
+        back = read_json(spark, path, df.schema, **TEXT_TIMESTAMP_OPTIONS)
     elif fmt == "text":
         w.text(path)
-        back = spark.read.text(path).toDF(*df.columns)
+        back = read_text(spark, path).toDF(*df.columns)
     else:
         w.option("compression", "zstd").parquet(path)
-        back = spark.read.schema(df.schema).parquet(path)
+        back = read_parquet(spark, path, df.schema)
     return verify_equal(df, back.select(*df.columns), method=method)
 
 

@@ -17,9 +17,9 @@ def read_text(spark: SparkSession, path: str, wholetext: bool = False) -> DataFr
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None,
-              multiline: bool = False) -> DataFrame:
+              multiline: bool = False, **options: str) -> DataFrame:
     """JSON lines (or one multi-line document per file)."""
-    reader = spark.read.option("multiLine", multiline)
+    reader = spark.read.option("multiLine", multiline).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
@@ -34,9 +34,9 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             header: bool = True) -> DataFrame:
+             header: bool = True, **options: str) -> DataFrame:
     """CSV with a header row; without a schema every column is a string."""
-    reader = spark.read.option("header", header)
+    reader = spark.read.option("header", header).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
