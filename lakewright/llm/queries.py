@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import exact_dedup, ngram_join, packing, wavelet
+from lakewright.llm import exact_dedup, ngram_join, packing, quality, toxicity, wavelet
 from lakewright.llm.common import read
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "")
@@ -19,6 +19,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"), words=4, threshold=85)
 
@@ -40,6 +50,6 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_shards(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_exact_dedup, op8_packing, op9_wavelet_shards)}
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_ngram_jaccard_join, op3_noisy_channel_toxicity, op4_exact_dedup, op8_packing, op9_wavelet_shards)}
 
 ORACLE_SQL: dict[str, str] = {}
