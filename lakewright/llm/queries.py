@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import exact_dedup, ngram_join, packing, quality, toxicity, wavelet
+from lakewright.llm import (decontaminate, exact_dedup, license_scan, ngram_join, packing, pii, quality, toxicity,
+                            url_filter, wavelet)
 from lakewright.llm.common import read
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "")
@@ -37,6 +38,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).drop("row")
 
 
+def op5_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), True, 0)
 
@@ -50,6 +63,11 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_shards(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_ngram_jaccard_join, op3_noisy_channel_toxicity, op4_exact_dedup, op8_packing, op9_wavelet_shards)}
+def op10_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_ngram_jaccard_join, op3_noisy_channel_toxicity, op4_exact_dedup,
+                                  op5_link_graph_url_filter, op6_simhash_decontamination, op7_bootstrapped_pii, op8_packing, op9_wavelet_shards, op10_license_set_join)}
 
 ORACLE_SQL: dict[str, str] = {}

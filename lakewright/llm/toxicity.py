@@ -43,30 +43,28 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 MARKS = ".-_*~'`"
 SUBSTITUTION, COLLAPSE, DROP = 0.7, 0.4, 0.5
 _EDGE = "".join(c for c in "!|+(.,;:?\"')[]{}<>#%&*=~`^/\\-_$@€£")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0134578@$!|])(?: (?:[^\W\d_]|[0134578@$!|])){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0134578@$!|])(?: (?:[^\W\d_]|[0134578@$!|])){2,}(?![^\s.,;:!?])")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€£.\-_*~'`]+[^\W\d_]|^[0-9@$!|(€£]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]{1,2}$")
 
 
-def restore_candidates(text: str) -> tuple[list[str], list[str]]:
-    """(plain words, suspicious tokens) of a text, lower-cased."""
-    text = text.lower()
-    spaced = [m[0].replace(" ", "") for m in _SPACED.finditer(text)]
-    if spaced:
-        text = _SPACED.sub(" ", text)
-    plain, odd = [], spaced
-    for w in set(text.split()):
-        core = w.strip(_EDGE)
-        if core.isalpha():
-            plain.append(core)
-            if w != core and w[0] in "@$!|(€£" and len(w) - len(core) == 1:
-                odd.append(w)
-        elif core and _MIXED.search(w.rstrip(".,;:?!")):
-            odd.append(w.rstrip(".,;:?!"))
-        elif core:
-            plain.extend(x for x in re.split(r"[^\w]+", core) if x.isalpha())
-    odd += [w for w in plain if _TRIPLE.search(w)]
-    return plain, odd
+def readings(token: str) -> tuple[list[str], str]:
+    """A written token's plain words, and the text to decode if the token is
+    suspicious (else empty)."""
+    core = token.strip(_EDGE)
+    if core.isalpha():
+        if token[0] in "@$!|(€£" and len(token) - len(core) == 1:
+            return [core], token
+        return [core], core if _TRIPLE.search(core) else ""
+    bare = token.rstrip(".,;:?!")
+    if core and _MIXED.search(bare):
+        return [], bare
+    return [x for x in re.split(r"[^\w]+", core) if x.isalpha()], ""
+
+
+def spaced_runs(text: str) -> list[str]:
+    """Runs of single letters, joined."""
+    return [m[0].replace(" ", "") for m in _SPACED.finditer(text)]
 
 
 # --- character language model -------------------------------------------------
@@ -88,7 +86,7 @@ class CharModel:
         self.grams, self.contexts = grams, contexts
         self.memo: dict[tuple[bytes, bytes], float] = {}
 
-    def __getstate__(self):
+    def __getstate__(self):                                # memos stay at home
         return {"grams": self.grams, "contexts": self.contexts, "memo": {}}
 
     def cost(self, word: str) -> float:
@@ -171,39 +169,49 @@ def _parts(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in range(3, 7) if len(word) >= n)]
 
 
-class Restorer:
-    """Restored words of texts; decoded tokens are kept for the worker."""
-
-    def __init__(self, model: CharModel, size: int = 200_000):
-        self.model, self.known, self.size = model, {}, size
+class ToxicityModel:
+    """Weights of words and beginnings behind the channel.  What a token of
+    the text comes to is kept for the worker (``size`` tokens)."""
+
+    def __init__(self, model: CharModel, weights: dict[str, float], calibration: np.ndarray, size: int = 400_000):
+        self.model, self.weights, self.calibration, self.size = model, weights, calibration, size
+        self.known: dict[str, tuple[str, float] | bool] = {}
+        self.heads = {p[1:4] for p in weights}                   # first letters of anything that weighs
+
+    def restored(self, token: str, joined: bool = False) -> list[str]:
+        words, odd = ([], token) if joined else readings(token)
+        return words + [decode(odd, self.model)] if odd else words
+
+    def _weigh(self, token: str, joined: bool = False) -> tuple[str, float] | bool:
+        """The token's heaviest restored word and its weight, or False."""
+        core = token if token.isalpha() else token.strip(_EDGE)
+        if not joined and core.isalpha() and core[:3] not in self.heads and token[0] not in LOOKALIKES \
+                and not _TRIPLE.search(core):
+            return False
+        best = max(((self.weights.get(p, 0.0), w) for w in self.restored(token, joined) for p in _parts(w)),
+                   default=(0.0, ""))
+        return (best[1], best[0]) if best[0] else False
+
+    def evidence(self, text: str) -> list[float]:
+        text = text.lower()
+        tokens = set(text.split())
+        if len(self.known) >= self.size:
+            self.known.clear()
+        found = list(map(self.known.get, tokens))
+        if None in found:
+            for w in tokens:
+                if w not in self.known:
+                    self.known[w] = self._weigh(w)
+            found = list(map(self.known.get, tokens))
+        found += [self._weigh(w, True) for w in spaced_runs(text)]
+        weight = dict(v for v in found if v)
+        return [sum(weight.values()), max(weight.values(), default=0.0), len(weight) / np.sqrt(1.0 + len(tokens)),
+                np.log1p(len(tokens)) / 5]
 
     def words(self, text: str) -> set[str]:
-        plain, odd = restore_candidates(text)
-        out = set(plain)
-        for token in odd:
-            if token not in self.known:
-                if len(self.known) >= self.size:
-                    self.known = {}
-                self.known[token] = decode(token, self.model)
-            out.add(self.known[token])
-        return out
-
-
-class ToxicityModel:
-    def __init__(self, model: CharModel, weights: dict[str, float], calibration: np.ndarray):
-        self.model, self.weights, self.calibration = model, weights, calibration
-
-    def evidence(self, words: set[str], known: dict[str, float], size: int = 300_000) -> list[float]:
-        found = []
-        for w in words:
-            v = known.get(w)
-            if v is None:
-                if len(known) >= size:
-                    known.clear()
-                v = known[w] = max((self.weights.get(p, 0.0) for p in _parts(w)), default=0.0)
-            if v:
-                found.append(v)
-        return [sum(found), max(found, default=0.0), len(found) / np.sqrt(1.0 + len(words)), np.log1p(len(words)) / 5]
+        text = text.lower()
+        return {r for w in set(text.split()) for r in self.restored(w)}.union(
+            *[self.restored(w, True) for w in spaced_runs(text)])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if not len(self.calibration):
@@ -243,18 +251,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
     sample = training_sample(labels, "toxic", fold(modulus) != held, per_class)
     rows = with_texts(d, sample).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": b.column("doc_id"), "y": b.column("y"),
-                "words": pa.array([sorted(restorer.words(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))})
+    channel = ToxicityModel(model, {}, np.empty(0))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for b in batches:
-            for half, y, ws in zip(*(b.column(c).to_pylist() for c in ("half", "y", "words"))):
-                counts[y].update((half, p) for p in {p for w in ws for p in _parts(w)})
+            for half, y, text in zip(*(b.column(c).to_pylist() for c in ("half", "y", "text"))):
+                counts[y].update((half, p) for p in {p for w in channel.words(text) for p in _parts(w)})
         keys = [k for k in counts[1]]
         yield pa.RecordBatch.from_pydict({
             "half": pa.array([k[0] for k in keys], pa.int64()), "part": pa.array([k[1] for k in keys], pa.string()),
@@ -265,8 +268,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
             "toxic": pa.array([-counts[0][k] for k in keys], pa.int64())})
 
     from lakewright.llm.common import stage
-    sampled = stage(rows.mapInArrow(words, "doc_id long, y int, words array<string>")
-                    .withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))), "toxic-sample")
+    sampled = stage(rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("long")), "toxic-sample")
     sizes = {(r["half"], r["y"]): r["n"] for r in sampled.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     if not any(y == 1 for _, y in sizes) or not any(y == 0 for _, y in sizes):
         return ToxicityModel(model, {}, np.empty(0))
@@ -281,21 +283,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
                          sum(n[h, 1] for h in halves), sum(n[h, 0] for h in halves))
     # Each half is judged by the other half's weights, so that calibration sees honest evidence.
     cross = {h: ToxicityModel(model, weights([1 - h]), np.empty(0)) for h in (0, 1)}
-    x, y = [], []
-    for r in sampled.orderBy("doc_id").toLocalIterator():
-        x.append(cross[r["half"]].evidence(set(r["words"]), {}))
-        y.append(r["y"])
-    return ToxicityModel(model, weights([0, 1]), _logistic(np.array(x), np.array(y, float)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [cross[h].evidence(t) for h, t in zip(b.column("half").to_pylist(), b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": b.column("y"),
+                                              "x": pa.array(x, pa.list_(pa.float64()))})
+    seen = sampled.mapInArrow(judge, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
+    fit = _logistic(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float))
+    return ToxicityModel(model, weights([0, 1]), fit)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, modulus: int = 5, held: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, known = Restorer(model.model), {}
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                x = np.array([model.evidence(restorer.words(t), known) for t in part.column("text").to_pylist()])
+                x = np.array([model.evidence(t) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"),
                                                   "score": pa.array(model.score(x), pa.float64())})
     return (docs_of(docs).mapInArrow(run, "doc_id long, score double")
