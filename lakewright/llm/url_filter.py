@@ -88,11 +88,12 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
                  .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("p") * damping).alias("rank")))
         both = moved.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")))
         ranks = both.groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 4 == 3:
+        if i % 4 == 3 and i < rounds - 1:
             ranks = stage(ranks, "ranks")
-    total = ranks.agg(F.sum("rank").alias("mass"))
+    ranks = stage(ranks, "ranks")
+    mass = ranks.agg(F.sum("rank")).first()[0] or 1.0
     # Lost mass is spread as the seeds: a common factor here, as only the seeds receive it.
-    return ranks.join(total.hint("broadcast")).select("host", (F.col("rank") / F.col("mass")).alias("rank"))
+    return ranks.select("host", (F.col("rank") / F.lit(mass)).alias("rank"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, margin: float = MARGIN) -> DataFrame:
@@ -111,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     def seeds(column: str) -> DataFrame:
         # A host's seed is the share of its pages the rules judge, so size alone gives no weight.
         s = votes.where(f"{column} > 0").select("host", (F.col(column) / F.col("pages")).alias("x"))
-        return s.join(s.agg(F.sum("x").alias("all")).hint("broadcast")).select("host", (F.col("x") / F.col("all")).alias("seed"))
+        return s.select("host", (F.col("x") / F.lit(s.agg(F.sum("x")).first()[0] or 1.0)).alias("seed"))
     trust = spread(edges, seeds("allowed"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     distrust = spread(back, seeds("blocked"))
