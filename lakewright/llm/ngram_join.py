@@ -9,10 +9,12 @@ found:
    sets share a shingle among their first ``n - ceil(t * n) + 1``.  A shingle's
    classes, sorted by size, form a tile; a size band (ratio at least t) slides
    over it.
-3. Tiles first give only pairs of neighbours.  Verified neighbours are
-   contracted to components; then all pairs of a tile's band that still lie in
-   different components are candidates, so a large group of near copies costs
-   one chain and no quadratic list.
+3. Tiles of a class's first FIRST prefix places give pairs of neighbours, a few
+   for each class.  Verified neighbours are contracted to components; then all
+   pairs of a tile's band that still lie in different components are
+   candidates, in all tiles.  So a large group of near copies costs a few pairs
+   for each copy and no quadratic list.  Counts of shingles by 64 hash classes
+   bound a pair's overlap inside the tile, before it is written.
 4. A candidate's hashed bitmaps bound its overlap from above,
    ``|A & B| <= |A| - bits(A and not B)``; the rest is decided by
    the exact intersection of the sorted arrays.
@@ -41,6 +43,8 @@ COUNT_BUCKETS = 1 << 18
 CHUNKS = 16
 SUB_BATCH_BYTES = 1 << 20
 SCREEN_BITS = 1 << 23
+FIRST = 8                           # prefix places that give neighbours
+CLASSES = 64
 
 _R = np.random.default_rng(20240229)
 _BYTE = _R.integers(1, 2**63, 256, dtype=np.uint64)
@@ -167,6 +171,12 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(hit, bitorder="little").tobytes()
 
 
+def class_counts(s: np.ndarray) -> bytes:
+    """Shingles by hash class, one byte each; empty if one doesn't fit."""
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
     """Upper bound of the overlap; the wider bitmap is folded first."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -189,14 +199,16 @@ def _signatures(docs: DataFrame, words: int, threshold: int, levels: np.ndarray)
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "k1": pa.array([_key(s) for s in sets], pa.int64()),
                     "prefix": pa.array(prefixes, pa.list_(pa.int64())),
-                    "bits": pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())})
-    return docs.mapInArrow(run, "id long, n long, k1 long, prefix array<long>, bits binary")
+                    "bits": pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()),
+                    "counts": pa.array([class_counts(s) for s in sets], pa.binary())})
+    return docs.mapInArrow(run, "id long, n long, k1 long, prefix array<long>, bits binary, counts binary")
 
 
 def _tiles(postings: DataFrame, threshold: int) -> DataFrame:
     """Tiles of at least two classes: tok, n, id, and ``prev``, the next
-    smaller class of the tile if it is within the size band.  ``postings``
-    (tok, n, id) stream by in order; no tile is ever held."""
+    smaller class of the tile if it is within the size band and the place ``nr``
+    is one of the first.  ``postings`` (tok, nr, n, id) stream by in order; no
+    tile is ever held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(tok, n, i, prev, has_prev, keep) -> pa.RecordBatch:
             near = has_prev[keep]
@@ -207,21 +219,23 @@ def _tiles(postings: DataFrame, threshold: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            tok, n, i = (b.column(c).to_numpy() for c in ("tok", "n", "id"))
+            tok, n, i, early = (b.column(c).to_numpy() for c in ("tok", "n", "id", "nr"))
+            early = early < FIRST
             if last is not None:
                 tok, n, i = (np.concatenate([x, y]) for x, y in zip(last[:3], (tok, n, i)))
             same = tok[1:] == tok[:-1]
             first = last[3] if last is not None else np.zeros(1, bool)
             in_tile = np.concatenate([first, same])
             prev = np.concatenate([last[4] if last is not None else i[:1], i[:-1]])
-            band = np.concatenate([last[5] if last is not None else first, same & (100 * n[:-1] >= threshold * n[1:])])
+            near = same & (100 * n[:-1] >= threshold * n[1:]) & early[len(early) - len(same):]
+            band = np.concatenate([last[5] if last is not None else first, near])
             keep = in_tile | np.concatenate([same, [False]])
             keep[-1] = False
             yield rows(tok, n, i, prev, band, keep)
             last = (tok[-1:], n[-1:], i[-1:], in_tile[-1:], prev[-1:], band[-1:])
         if last is not None and last[3][0]:
             yield rows(last[0], last[1], last[2], last[4], last[5], np.ones(1, bool))
-    return (postings.repartition("tok").sortWithinPartitions("tok", "n", "id").select("tok", "n", "id")
+    return (postings.repartition("tok").sortWithinPartitions("tok", "n", "id").select("tok", "n", "id", "nr")
             .mapInArrow(run, "tok long, n long, id long, prev long"))
 
 
@@ -229,24 +243,57 @@ def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _tile_cross_pairs(n, ids, comp, counts, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one tile (sorted by n) whose components differ, that lie in the
+    size band and pass the class counts' bound.  Only members outside the
+    tile's largest component look for partners."""
+    known, where, size = np.unique(comp, return_inverse=True, return_counts=True)
+    main = known[np.argmax(size)]
+    a, b = [], []
+    for r in np.flatnonzero(comp != main):
+        lo = np.searchsorted(n, -(-threshold * n[r] // 100))
+        hi = np.searchsorted(n, 100 * n[r] // threshold, "right")
+        other = np.arange(lo, hi)
+        other = other[(comp[lo:hi] != comp[r]) & ((other < r) | (comp[lo:hi] == main))]
+        if counts[r]:
+            mine = np.frombuffer(counts[r], np.uint8)
+            theirs = [counts[j] for j in other]
+            fits = np.array([len(x) > 0 for x in theirs], bool)
+            bound = np.full(len(other), np.iinfo(np.int64).max)
+            if fits.any():
+                m = np.frombuffer(b"".join(theirs), np.uint8).reshape(-1, CLASSES)
+                bound[fits] = np.minimum(m, mine).sum(1, dtype=np.int64)
+            other = other[bound >= -(-threshold * (n[r] + n[other]) // (100 + threshold))]
+        a.append(np.full(len(other), ids[r]))
+        b.append(ids[other])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
 def _cross_pairs(postings: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of a tile's size band whose components differ."""
+    """All candidates of tiles that hold several components.  ``postings``:
+    tok, n, id, comp, counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, held = None, []
+        def out(tile) -> pa.RecordBatch:
+            n, ids, comp = (np.concatenate([t[j] for t in tile]) for j in range(3))
+            a, b = _tile_cross_pairs(n, ids, comp, [c for t in tile for c in t[3]], threshold)
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        tok, tile = None, []
         for batch in batches:
-            a, b = [], []
-            for t, n, i, c in zip(*(batch.column(x).to_pylist() for x in ("tok", "n", "id", "comp"))):
-                if t != tok:
-                    tok, held = t, []
-                while held and 100 * held[0][0] < threshold * n:
-                    held.pop(0)
-                for _, other, oc in held:
-                    if oc != c:
-                        a.append(other)
-                        b.append(i)
-                held.append((n, i, c))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-    return (postings.repartition("tok").sortWithinPartitions("tok", "n", "id").select("tok", "n", "id", "comp")
+            toks, n, ids, comp = (batch.column(c).to_numpy() for c in ("tok", "n", "id", "comp"))
+            counts = batch.column("counts").to_pylist()
+            cuts = [0, *(np.flatnonzero(toks[1:] != toks[:-1]) + 1), len(toks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if tile and toks[lo] != tok:
+                        yield out(tile)
+                        tile = []
+                    tok = toks[lo]
+                    tile.append((n[lo:hi], ids[lo:hi], comp[lo:hi], counts[lo:hi]))
+        if tile:
+            yield out(tile)
+    return (postings.repartition("tok").sortWithinPartitions("tok", "n", "id").select("tok", "n", "id", "comp", "counts")
             .mapInArrow(run, "a long, b long").select(*_pairs("a", "b")).distinct())
 
 
@@ -318,22 +365,36 @@ def ngram_components(docs: DataFrame, words: int = 5, threshold: int = 80) -> Da
     levels = _levels(summary.where("chunk is not null"))
     sigs = stage(_signatures(d, words, threshold, levels)
                  .join(classes.select("id", "n", "k1"), ["id", "n", "k1"], "left_semi"), "signatures")
-    tiles = stage(_tiles(sigs.select("id", "n", F.explode("prefix").alias("tok")), threshold), "tiles")
+    tiles = stage(_tiles(sigs.select("id", "n", F.posexplode("prefix").alias("nr", "tok")), threshold), "tiles")
     near = _verify(d, tiles.where("prev is not null").select(*_pairs("id", "prev")).distinct(), sigs, words, threshold)
     found = stage(components(near), "first")
     placed = (tiles.join(found, "id", "left")
               .select("tok", "n", "id", F.coalesce("component_id", "id").alias("comp")).repartition("tok"))
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
-    far = _verify(d, _cross_pairs(placed.join(mixed, "tok", "left_semi"), threshold), sigs, words, threshold)
-    member = rows.where("n > 0 and doc_id is not null").join(classes, ["n", "k1", "k2"])
-    edges = (near.unionByName(far)
-             .unionByName(member.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))))
-    groups = components(edges)
-    return (rows.join(groups, rows["doc_id"] == groups["id"], "left")
+    mixed = stage(placed.join(mixed, "tok", "left_semi"), "mixed")
+    far = _verify(d, _cross_pairs(mixed.join(sigs.select("id", "n", "counts"), ["id", "n"]), threshold), sigs, words, threshold)
+    # What is linked already counts as one node: few edges are left.
+    ties = far.unionByName(_shared_ids(rows, classes))
+    one = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}"))
+    rest = (ties.join(one("a"), "a", "left").join(one("b"), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    second = components(rest).select(F.col("id").alias("first"), F.col("component_id").alias("second"))
+    groups = (rows.where("n > 0 and doc_id is not null").join(classes, ["n", "k1", "k2"]).select("doc_id", "id").distinct()
+              .join(found, "id", "left").withColumn("first", F.coalesce("component_id", "id")).drop("component_id")
+              .join(second, "first", "left")
+              .groupBy(F.col("doc_id").alias("node")).agg(F.min(F.coalesce("second", "first")).alias("component_id")))
+    return (rows.join(groups, rows["doc_id"] == groups["node"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def _shared_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between classes that rows of one doc_id tie together."""
+    own = rows.where("n > 0 and doc_id is not null").join(classes, ["n", "k1", "k2"])
+    spread = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
+    return own.join(spread, "doc_id").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def keep_one_per_component(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` that no linked document with a smaller doc_id
     precedes, all columns; rows without doc_id stay."""
