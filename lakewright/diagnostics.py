@@ -56,12 +56,14 @@ def access_diagnostics(spark: SparkSession, tables: list[str], run_id: str,
             full = read_table(spark, name)
             pol = (policies or {}).get(name)
             visible = governed_scan(full, pol) if pol else full
-            parts.append(run_checks(visible, name, access_checks(visible, full.columns), run_id))
+            # Run here, inside the guard: a file that can't be read fails its own table only.
+            rows = run_checks(visible, name, access_checks(visible, full.columns), run_id)
+            parts.append(spark.createDataFrame(rows.collect(), rows.schema))          # one row a check
         except Exception as e:  # noqa: BLE001
             cond = _condition(e)
-            hint = ("Verify the table exists in the catalog" if "NOT_FOUND" in cond
-                    else "Check permissions and the table definition")
-            parts.append(_row(spark, run_id, name, "Table Read Access Test", FAIL,
+            hint = ("No table or path of this name: check the spelling" if "NOT_FOUND" in cond
+                    else "Ask for a grant, or repair the table or its files")
+            parts.append(_row(spark, run_id, name, "readable rows", FAIL,
                               f"Cannot read {name}: {cond}", {"error": cond}, hint))
     return reduce(DataFrame.unionByName, parts)
 
@@ -87,22 +89,23 @@ def write_diagnostics(df: DataFrame, base_path: str, run_id: str,
         except Exception as e:  # noqa: BLE001
             cond = _condition(e)
             parts.append(_row(spark, run_id, path, name, FAIL, f"Cannot write {fmt}: {cond}",
-                              {"error": cond}, "Check write permissions on the path"))
+                              {"error": cond}, "The path must be writable for this job"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def run_diagnostics(spark: SparkSession, tables: list[str], run_id: str, job_name: str,
-                    write_path: str | None = None, sample: int = 1000,
+                    write_path: str | None = None,
                     policies: dict[str, Policy] | None = None) -> DataFrame:
     """All checks of one run, rolled up into the run report (one row)."""
     results = access_diagnostics(spark, tables, run_id, policies)
-    if write_path and tables:
+    for i, name in enumerate(tables if write_path else []):
+        # Every table, whole: a sample could miss the row that doesn't survive.
+        path = f"{write_path.rstrip('/')}/{i}"
         try:
-            probe = read_table(spark, tables[0]).limit(sample)
-            results = results.unionByName(write_diagnostics(probe, write_path, run_id))
+            results = results.unionByName(write_diagnostics(read_table(spark, name), path, run_id))
         except Exception as e:  # noqa: BLE001
-            results = results.unionByName(_row(spark, run_id, write_path, "Write Checks", FAIL,
-                                               f"Cannot prepare write checks: {_condition(e)}"))
+            results = results.unionByName(_row(spark, run_id, path, "Write Checks", FAIL,
+                                               f"{name} could not be written for checking: {_condition(e)}"))
     return run_report(results, job_name, _dt.datetime.now(_dt.timezone.utc).isoformat(), spark.version)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.operators.governance import Policy, governed_scan
+from lakewright.operators.merge import duplicate_keys
 from lakewright.operators.transform import (
     EVENT_PARTITION_COLUMNS, EVENT_TABLE_SCHEMA, conform_schema, transform_events,
 )
@@ -34,7 +35,7 @@ class EtlResult:
 
 def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse_path: str,
             policy: Policy | None = None, as_of: _dt.datetime | None = None,
-            comment: str = "Events processed by the governed ETL job",
+            comment: str = "Event rows after policy and transform",
             mode: str = "append", merge_keys: list[str] | None = None) -> EtlResult:
     """L1.  ``source`` is the event table (X1 columns); ``policy`` is the
     principal's row/column policy.  Empty input stops before any write.
@@ -47,9 +48,9 @@ def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse
     should merge.
     """
     if mode not in ("append", "merge"):
-        raise ValueError(f"Unsupported mode: {mode}. Use 'append' or 'merge'")
+        raise ValueError(f"mode is {mode!r}, but only 'append' and 'merge' exist")
     governed = governed_scan(source, policy) if policy else source
-    if governed.limit(1).count() == 0:          # reads at most one row
+    if not governed.take(1):                    # stops at the first row found
         return EtlResult(0, True, target_table)
     location = f"{warehouse_path.rstrip('/')}/{target_table.replace('.', '/')}"
     create_table(spark, target_table, EVENT_TABLE_SCHEMA, location,
@@ -58,7 +59,11 @@ def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse
     out = etl_transform(governed, as_of=as_of).observe(obs, F.count(F.lit(1)).alias("rows"))
     # Partition columns go last, as the catalog table orders them.
     cols = [c for c in out.columns if c not in EVENT_PARTITION_COLUMNS] + EVENT_PARTITION_COLUMNS
-    empty_target = spark.table(target_table).limit(1).count() == 0
+    empty_target = not spark.table(target_table).take(1)
+    if mode == "merge" and empty_target:
+        several = duplicate_keys(out, merge_keys or ["id"]).take(1)       # the same rule as in a merge
+        if several:
+            raise ValueError(f"source has several rows for one target key: {several[0]}")
     if mode == "append" or empty_target:
         write_table(out.select(*cols), location, "append", EVENT_PARTITION_COLUMNS)
     else:

@@ -53,10 +53,14 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def measure(df: DataFrame, max_rows: int) -> tuple[int, int]:
-    """(rows, bytes) of at most ``max_rows + 1`` rows of ``df``."""
-    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
-                                   F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
-    return int(r["n"]), int(r["b"])
+    """(rows, bytes) of ``df``, the rows counted up to ``max_rows + 1``.
+
+    One aggregate with partial sums in every task: a task sends one row.  A
+    ``limit`` below it would send up to ``max_rows + 1`` rows of every task
+    to a single one.
+    """
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
+    return min(int(r["n"]), max_rows + 1), int(r["b"])
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,

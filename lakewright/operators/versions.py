@@ -79,16 +79,20 @@ def _commits(df: DataFrame, log: ChangeLog) -> DataFrame:
 def _ordered_commit_scan(commits: DataFrame) -> DataFrame:
     """Previous/next commit and running row total, without one global window.
 
-    Commits are range-partitioned by id; each range computes lag, lead and
-    its running total with a window partitioned by the range; each range's
-    boundary rows are then completed from a per-range summary (one row per
-    non-empty range, at most ``spark.sql.shuffle.partitions`` rows, so it
-    is broadcast).  No task holds more than one range of commits.
+    Commits fall into ranges of ids.  The borders are drawn once, as
+    quantiles, and become part of the plan, so that the range is a function of the
+    commit id alone and every branch sees the same ranges, whatever is
+    reused, retried or evaluated again.  Each range computes lag, lead and
+    its running total with a window partitioned by the range; the rows at its
+    edges are then completed from a per-range summary (one row per non-empty
+    range, at most ``spark.sql.shuffle.partitions`` rows, so it is
+    broadcast).  No task holds more than one range of commits.
     """
     spark = commits.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    r = (commits.repartitionByRange(n, "commit_id")
-         .withColumn("_seg", F.spark_partition_id()))
+    cuts = commits.agg(F.percentile_approx("commit_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    borders = F.array(*[F.lit(b) for b in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    r = commits.withColumn("_seg", F.size(F.filter(borders, lambda b: b < F.col("commit_id"))))
     w = Window.partitionBy("_seg").orderBy("commit_id")
     local = r.select(
         "_seg", "commit_id", "committed_at", "rows_changed",
@@ -179,7 +183,7 @@ def expire_log(df: DataFrame, log: ChangeLog, as_of: _dt.datetime,
     """
     at = F.col(log.committed_at)
     cutoff = minus_days(as_of, retain_days)
-    recent = df.where(at > cutoff)
+    recent = df.where((at > cutoff) | at.isNull())         # a row without a time is in no version: it stays
     baseline = latest_rows(df.where(at <= cutoff), log)
     if log.op:
         baseline = baseline.where(~F.coalesce(F.col(log.op) == DELETE_OP, F.lit(False)))

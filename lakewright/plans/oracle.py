@@ -186,10 +186,10 @@ def _check_results_sql() -> str:
     """Every check row reads one aggregate row of its table, as in Spark."""
     parts = []
     for table, src, _vis, hidden, data_checks in _CHECK_TABLES:
-        info = [("Table Read Access Test", "__rows", "rows readable", None),
-                ("Column-Level Filtering Test", f"CAST({hidden} AS BIGINT)", "columns hidden", None),
-                ("Row-Level Filtering Test", "__rows", "accessible rows",
-                 "Compare with the expected count to verify row filtering")]
+        info = [("readable rows", "__rows", "rows readable", None),
+                ("hidden columns", f"CAST({hidden} AS BIGINT)", "columns hidden", None),
+                ("rows behind the row policy", "__rows", "accessible rows",
+                 "Hold this number against what the policy should let through")]
         agg = f"(SELECT count(*) AS __rows FROM ({src}))"
         for name, obs, msg, rec in info:
             parts.append(

@@ -76,6 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            return None                    # a folder of this machine is no shared folder
         d = tempfile.mkdtemp(prefix="lakewright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

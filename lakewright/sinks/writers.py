@@ -49,7 +49,7 @@ def write_table(df: DataFrame, path: str, mode: str = "append",
     large share of the rows into several tasks instead of one.
     """
     if mode not in WRITE_MODES:
-        raise ValueError(f"Unsupported write mode: {mode}. Use one of {', '.join(WRITE_MODES)}")
+        raise ValueError(f"write mode is {mode!r}, but only {' and '.join(map(repr, WRITE_MODES))} exist")
     if schema is not None:
         df = conform_schema(df, schema)
     if partition_columns and rebalance:

@@ -15,8 +15,8 @@ def test_check_statuses_and_rollup(spark):
     ]
     res = run_checks(df, "t", checks, "r1")
     st = {r.check_name: (r.status, r.observed) for r in res.collect()}
-    assert st["Column-Level Filtering Test"] == ("INFO", 1)
-    assert st["Row-Level Filtering Test"] == ("INFO", 3)
+    assert st["hidden columns"] == ("INFO", 1)
+    assert st["rows behind the row policy"] == ("INFO", 3)
     assert st["id not null"] == ("FAIL", 1)
     assert st["v positive"] == ("WARNING", 1)
     assert st["v finite"] == ("PASS", 0)

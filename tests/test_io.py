@@ -47,7 +47,7 @@ def test_text_round_trip_and_read(spark, tmp):
 
 
 def test_unknown_mode_and_format(spark, tmp):
-    with pytest.raises(ValueError, match="Unsupported write mode: merge"):
+    with pytest.raises(ValueError, match="write mode is 'merge'"):
         write_table(x3(spark), os.path.join(tmp, "x"), "merge")
     with pytest.raises(ValueError):
         write_verified(x3(spark), os.path.join(tmp, "x"), "avro")

@@ -46,7 +46,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle_or_is_file_metadata():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    from lakewright.plans.queries import QUERIES
+    missing = set(QUERIES) - set(E.oracle_sql())
     assert missing == {"file_inventory", "compaction_plan", "object_listing"}
 
 

@@ -10,7 +10,7 @@ def test_measure_counts_rows_and_string_bytes(spark):
     assert 10 * 1000 < size < 10 * 1100          # 8 (long) + 1000 + overhead per row
 
 
-def test_probe_reads_at_most_bound_plus_one(spark):
+def test_probe_counts_up_to_bound_plus_one(spark):
     big = spark.range(1_000_000)
     rows, _ = measure(big, 5)
     assert rows == 6
