@@ -70,4 +70,14 @@ def op10_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_ngram_jaccard_join, op3_noisy_channel_toxicity, op4_exact_dedup,
                                   op5_link_graph_url_filter, op6_simhash_decontamination, op7_bootstrapped_pii, op8_packing, op9_wavelet_shards, op10_license_set_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+# The other queries are models, iterations, joins over sets or files: they are tested
+# against brute force, round trips and held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+             n AS (SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars,
+                          sha256(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS s FROM d)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
+               row_number() OVER w = 1 AS kept, s AS text_sha256, n_chars
+        FROM n WINDOW w AS (PARTITION BY s ORDER BY n_chars DESC, doc_id)""",
+}
