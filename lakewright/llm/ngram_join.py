@@ -9,12 +9,16 @@ found:
    sets share a shingle among their first ``n - ceil(t * n) + 1``.  A shingle's
    classes, sorted by size, form a tile; a size band (ratio at least t) slides
    over it.
-3. Tiles of a class's first FIRST prefix places give pairs of neighbours, a few
-   for each class.  Verified neighbours are contracted to components; then all
-   pairs of a tile's band that still lie in different components are
-   candidates, in all tiles.  So a large group of near copies costs a few pairs
-   for each copy and no quadratic list.  Counts of shingles by 64 hash classes
-   bound a pair's overlap inside the tile, before it is written.
+3. In a tile, classes of one size stand in an order of the tile's own.  A
+   class's neighbours in its first FIRST shared tiles are a few pairs for each
+   class; those that verify are contracted to components.  Then rounds follow
+   over tiles that hold several components: each class outside a tile's largest
+   component names its best partners in other components, more in each round,
+   and verified ones are contracted.  A tile is done when no list was cut, so
+   that every pair has been tested or lies in one component; the last tile ends
+   the rounds.  So a large group of near copies costs a few pairs for each copy
+   and no quadratic list.  Counts of shingles by 64 hash classes bound a pair's
+   overlap inside the tile, before it is written, and rank the partners.
 4. A candidate's hashed bitmaps bound its overlap from above,
    ``|A & B| <= |A| - bits(A and not B)``; the rest is decided by
    the exact intersection of the sorted arrays.
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import docs_of, stage
@@ -43,7 +47,9 @@ COUNT_BUCKETS = 1 << 18
 CHUNKS = 16
 SUB_BATCH_BYTES = 1 << 20
 SCREEN_BITS = 1 << 23
-FIRST = 8                           # prefix places that give neighbours
+FIRST = 8                           # shared prefix places that give neighbours
+PARTNERS = 4                        # a class's partners in a tile, first round
+MORE = 16                           # times as many in each further round
 CLASSES = 64
 
 _R = np.random.default_rng(20240229)
@@ -205,79 +211,89 @@ def _signatures(docs: DataFrame, words: int, threshold: int, levels: np.ndarray)
 
 
 def _tiles(postings: DataFrame, threshold: int) -> DataFrame:
-    """Tiles of at least two classes: tok, n, id, and ``prev``, the next
-    smaller class of the tile if it is within the size band and the place ``nr``
-    is one of the first.  ``postings`` (tok, nr, n, id) stream by in order; no
-    tile is ever held."""
+    """Tiles of at least two classes: tok, nr, n, id, and ``prev``, the class
+    before it in the tile if it is within the size band.  Classes of one size
+    stand in a hashed order that differs from tile to tile.  ``postings`` (tok,
+    nr, n, id) stream by in order; no tile is ever held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(tok, n, i, prev, has_prev, keep) -> pa.RecordBatch:
+        def rows(tok, nr, n, i, prev, has_prev, keep) -> pa.RecordBatch:
             near = has_prev[keep]
-            return pa.RecordBatch.from_pydict({"tok": pa.array(tok[keep]), "n": pa.array(n[keep]), "id": pa.array(i[keep]),
-                                               "prev": pa.array(prev[keep], mask=~near)})
+            return pa.RecordBatch.from_pydict({"tok": pa.array(tok[keep]), "nr": pa.array(nr[keep]), "n": pa.array(n[keep]),
+                                               "id": pa.array(i[keep]), "prev": pa.array(prev[keep], mask=~near)})
 
         last = None                                   # the latest row: its successor decides
         for b in batches:
             if not b.num_rows:
                 continue
-            tok, n, i, early = (b.column(c).to_numpy() for c in ("tok", "n", "id", "nr"))
-            early = early < FIRST
+            tok, nr, n, i = (b.column(c).to_numpy() for c in ("tok", "nr", "n", "id"))
             if last is not None:
-                tok, n, i = (np.concatenate([x, y]) for x, y in zip(last[:3], (tok, n, i)))
+                tok, nr, n, i = (np.concatenate([x, y]) for x, y in zip(last[:4], (tok, nr, n, i)))
             same = tok[1:] == tok[:-1]
-            first = last[3] if last is not None else np.zeros(1, bool)
+            first = last[4] if last is not None else np.zeros(1, bool)
             in_tile = np.concatenate([first, same])
-            prev = np.concatenate([last[4] if last is not None else i[:1], i[:-1]])
-            near = same & (100 * n[:-1] >= threshold * n[1:]) & early[len(early) - len(same):]
-            band = np.concatenate([last[5] if last is not None else first, near])
+            prev = np.concatenate([last[5] if last is not None else i[:1], i[:-1]])
+            near = same & (100 * n[:-1] >= threshold * n[1:])
+            band = np.concatenate([last[6] if last is not None else first, near])
             keep = in_tile | np.concatenate([same, [False]])
             keep[-1] = False
-            yield rows(tok, n, i, prev, band, keep)
-            last = (tok[-1:], n[-1:], i[-1:], in_tile[-1:], prev[-1:], band[-1:])
-        if last is not None and last[3][0]:
-            yield rows(last[0], last[1], last[2], last[4], last[5], np.ones(1, bool))
-    return (postings.repartition("tok").sortWithinPartitions("tok", "n", "id").select("tok", "n", "id", "nr")
-            .mapInArrow(run, "tok long, n long, id long, prev long"))
+            yield rows(tok, nr, n, i, prev, band, keep)
+            last = (tok[-1:], nr[-1:], n[-1:], i[-1:], in_tile[-1:], prev[-1:], band[-1:])
+        if last is not None and last[4][0]:
+            yield rows(*last[:4], last[5], last[6], np.ones(1, bool))
+    return (postings.repartition("tok").sortWithinPartitions("tok", "n", F.xxhash64("id", "tok"), "id")
+            .select("tok", "nr", "n", "id").mapInArrow(run, "tok long, nr int, n long, id long, prev long"))
 
 
 def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _tile_cross_pairs(n, ids, comp, counts, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(tiles: DataFrame) -> DataFrame:
+    """Pairs of neighbours in a class's first FIRST tiles."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("nr", "tok"))
+    return (tiles.where("prev is not null").select("id", "nr", "tok", "prev").withColumn("place", place)
+            .where(F.col("place") <= FIRST).select(*_pairs("id", "prev")).distinct())
+
+
+def _tile_cross_pairs(n, ids, comp, counts, threshold: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of one tile (sorted by n) whose components differ, that lie in the
-    size band and pass the class counts' bound.  Only members outside the
-    tile's largest component look for partners."""
-    known, where, size = np.unique(comp, return_inverse=True, return_counts=True)
+    size band and pass the class counts' bound; of each member the ``most``
+    best, and whether any had more.  Only members outside the tile's largest
+    component look for partners."""
+    known, size = np.unique(comp, return_counts=True)
     main = known[np.argmax(size)]
-    a, b = [], []
+    wide = np.array([not c for c in counts])          # counts beyond a byte: bounded by the other's size, if at all
+    m = np.frombuffer(b"".join(c or b"\xff" * CLASSES for c in counts), np.uint8).reshape(-1, CLASSES)
+    a, b, cut = [], [], False
     for r in np.flatnonzero(comp != main):
         lo = np.searchsorted(n, -(-threshold * n[r] // 100))
         hi = np.searchsorted(n, 100 * n[r] // threshold, "right")
-        other = np.arange(lo, hi)
-        other = other[(comp[lo:hi] != comp[r]) & ((other < r) | (comp[lo:hi] == main))]
-        if counts[r]:
-            mine = np.frombuffer(counts[r], np.uint8)
-            theirs = [counts[j] for j in other]
-            fits = np.array([len(x) > 0 for x in theirs], bool)
-            bound = np.full(len(other), np.iinfo(np.int64).max)
-            if fits.any():
-                m = np.frombuffer(b"".join(theirs), np.uint8).reshape(-1, CLASSES)
-                bound[fits] = np.minimum(m, mine).sum(1, dtype=np.int64)
-            other = other[bound >= -(-threshold * (n[r] + n[other]) // (100 + threshold))]
+        spare = (np.minimum(m[lo:hi], m[r]).sum(1, dtype=np.int64)
+                 + (-threshold * (n[r] + n[lo:hi]) // (100 + threshold)))       # bound less the overlap needed
+        if wide[r]:
+            spare[wide[lo:hi]] = np.iinfo(np.int64).max
+        other = np.flatnonzero((spare >= 0) & (comp[lo:hi] != comp[r]))
+        if len(other) > most:
+            cut = True
+            other = other[np.lexsort((ids[lo + other], -spare[other]))[:most]]
         a.append(np.full(len(other), ids[r]))
-        b.append(ids[other])
+        b.append(ids[lo + other])
     none = np.empty(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), cut
 
 
-def _cross_pairs(postings: DataFrame, threshold: int) -> DataFrame:
-    """All candidates of tiles that hold several components.  ``postings``:
-    tok, n, id, comp, counts."""
+def _cross_pairs(postings: DataFrame, threshold: int, most: int) -> DataFrame:
+    """Candidates (a, b) of tiles that hold several components, and a row with
+    ``tok`` for each tile where a list was cut.  ``postings``: tok, n, id, comp,
+    counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(tile) -> pa.RecordBatch:
+        def out(tok, tile) -> pa.RecordBatch:
             n, ids, comp = (np.concatenate([t[j] for t in tile]) for j in range(3))
-            a, b = _tile_cross_pairs(n, ids, comp, [c for t in tile for c in t[3]], threshold)
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a, b, cut = _tile_cross_pairs(n, ids, comp, [c for t in tile for c in t[3]], threshold, most)
+            more = [None] * cut
+            return pa.RecordBatch.from_pydict({"a": pa.array([*a.tolist(), *more], pa.int64()),
+                                               "b": pa.array([*b.tolist(), *more], pa.int64()),
+                                               "tok": pa.array([None] * len(a) + [int(tok)] * cut, pa.int64())})
 
         tok, tile = None, []
         for batch in batches:
@@ -287,14 +303,35 @@ def _cross_pairs(postings: DataFrame, threshold: int) -> DataFrame:
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo:
                     if tile and toks[lo] != tok:
-                        yield out(tile)
+                        yield out(tok, tile)
                         tile = []
                     tok = toks[lo]
                     tile.append((n[lo:hi], ids[lo:hi], comp[lo:hi], counts[lo:hi]))
         if tile:
-            yield out(tile)
+            yield out(tok, tile)
     return (postings.repartition("tok").sortWithinPartitions("tok", "n", "id").select("tok", "n", "id", "comp", "counts")
-            .mapInArrow(run, "a long, b long").select(*_pairs("a", "b")).distinct())
+            .mapInArrow(run, "a long, b long, tok long").select(*_pairs("a", "b"), "tok").distinct())
+
+
+def _of_several(placed: DataFrame) -> DataFrame:
+    """The tiles that hold several components, as a staged table."""
+    placed = placed.repartition("tok")
+    mixed = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
+    return stage(placed.join(mixed, "tok", "left_semi"), "mixed")
+
+
+def _contract(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found`` (id, component_id) after further edges (a, b).  What is linked
+    already counts as one node, so that few edges are left."""
+    one = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}"))
+    rest = (edges.join(one("a"), "a", "left").join(one("b"), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    second = components(rest).select(F.col("id").alias("first"), F.col("component_id").alias("second"))
+    moved = (found.withColumnRenamed("component_id", "first").join(second, "first", "left")
+             .select("id", F.coalesce("second", "first").alias("component_id")))
+    new = (second.join(found.select(F.col("id").alias("first")), "first", "left_anti")
+           .select(F.col("first").alias("id"), F.col("second").alias("component_id")))
+    return stage(moved.unionByName(new), "found")
 
 
 def _screen_words(ids: DataFrame) -> np.ndarray:
@@ -366,23 +403,23 @@ def ngram_components(docs: DataFrame, words: int = 5, threshold: int = 80) -> Da
     sigs = stage(_signatures(d, words, threshold, levels)
                  .join(classes.select("id", "n", "k1"), ["id", "n", "k1"], "left_semi"), "signatures")
     tiles = stage(_tiles(sigs.select("id", "n", F.posexplode("prefix").alias("nr", "tok")), threshold), "tiles")
-    near = _verify(d, tiles.where("prev is not null").select(*_pairs("id", "prev")).distinct(), sigs, words, threshold)
-    found = stage(components(near), "first")
-    placed = (tiles.join(found, "id", "left")
-              .select("tok", "n", "id", F.coalesce("component_id", "id").alias("comp")).repartition("tok"))
-    mixed = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
-    mixed = stage(placed.join(mixed, "tok", "left_semi"), "mixed")
-    far = _verify(d, _cross_pairs(mixed.join(sigs.select("id", "n", "counts"), ["id", "n"]), threshold), sigs, words, threshold)
-    # What is linked already counts as one node: few edges are left.
-    ties = far.unionByName(_shared_ids(rows, classes))
-    one = lambda c: found.select(F.col("id").alias(c), F.col("component_id").alias(f"c{c}"))
-    rest = (ties.join(one("a"), "a", "left").join(one("b"), "b", "left")
-            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    second = components(rest).select(F.col("id").alias("first"), F.col("component_id").alias("second"))
+    near = _verify(d, _neighbours(tiles), sigs, words, threshold)
+    found = stage(components(near.unionByName(_shared_ids(rows, classes))), "found")
+    left, most = tiles.select("tok", "n", "id"), PARTNERS
+    while True:
+        mixed = _of_several(left.join(found, "id", "left")
+                            .select("tok", "n", "id", F.coalesce("component_id", "id").alias("comp")))
+        far = stage(_cross_pairs(mixed.join(sigs.select("id", "n", "counts"), ["id", "n"]), threshold, most), "far")
+        links = _verify(d, far.where("tok is null").select("a", "b"), sigs, words, threshold)
+        if not links.isEmpty():
+            found = _contract(found, links)
+        cut = far.where("tok is not null").select("tok")
+        if cut.isEmpty():
+            break
+        left, most = mixed.select("tok", "n", "id").join(cut, "tok", "left_semi"), most * MORE
     groups = (rows.where("n > 0 and doc_id is not null").join(classes, ["n", "k1", "k2"]).select("doc_id", "id").distinct()
-              .join(found, "id", "left").withColumn("first", F.coalesce("component_id", "id")).drop("component_id")
-              .join(second, "first", "left")
-              .groupBy(F.col("doc_id").alias("node")).agg(F.min(F.coalesce("second", "first")).alias("component_id")))
+              .join(found, "id", "left")
+              .groupBy(F.col("doc_id").alias("node")).agg(F.min(F.coalesce("component_id", "id")).alias("component_id")))
     return (rows.join(groups, rows["doc_id"] == groups["node"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))

@@ -137,6 +137,33 @@ def test_ngram_components(spark, docs, texts, words, threshold):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_rounds_with_cut_lists_test_every_pair():
+    """However few partners a round allows, the rounds reach the same links."""
+    rng = np.random.default_rng(11)
+    n = 60
+    sets = [np.unique(rng.choice(500, rng.integers(60, 90), replace=False)).astype(np.uint64) for _ in range(n)]
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    sets, size, ids = [sets[i] for i in order], size[order], np.arange(n)
+    counts = [b"" if i % 7 == 0 else ngram_join.class_counts(ngram_join._mix(s)) for i, s in enumerate(sets)]
+    comp = np.where(ids % 3 == 0, 0, ids)
+    whole = set(zip(*(x.tolist() for x in ngram_join._tile_cross_pairs(size, ids, comp, counts, 20, 10**9)[:2])))
+    seen, most = set(), 1
+    while True:
+        a, b, cut = ngram_join._tile_cross_pairs(size, ids, comp, counts, 20, most)
+        assert np.bincount(a, minlength=n).max() <= most
+        seen |= set(zip(a.tolist(), b.tolist()))
+        if not cut:
+            break
+        most *= 4
+    assert seen == whole and all(comp[x] != comp[y] for x, y in whole)
+    for i in range(n):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if comp[i] != comp[j] and 100 * both >= 20 * (size[i] + size[j] - both):
+                assert (i, j) in whole or (j, i) in whole
+
+
 def test_bounds_never_below_overlap():
     rng = np.random.default_rng(3)
     for _ in range(200):
