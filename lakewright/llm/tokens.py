@@ -1,15 +1,20 @@
 """Token ids of whole texts with a public tokenizer.
 
-A text is cut at every space that precedes a non-space.  Both vocabularies
-start a new pre-token there, so the ids of the text are the ids of its
-chunks, one after another; each distinct chunk is encoded once per worker and
-kept in a bounded two-generation cache.
+Both vocabularies split a text into pre-tokens by a published pattern and
+encode each pre-token on its own, so the ids of a text are the ids of its
+pre-tokens, one after another; each distinct pre-token is encoded once per
+worker and kept in a bounded two-generation cache.  A text of characters below
+U+0250 without odd controls is split here by that pattern.  Any other text is
+cut at every space that precedes a non-space, where a pre-token always starts,
+and its chunks go through the whole tokenizer.  A text that holds a special
+token's string goes through it uncut.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -17,82 +22,98 @@ END_BITS = 65536
 _WIDE_GAP = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
+# Below U+0250 these are all the numbers; every other word character but "_" is a letter.
+_NUMBERS = "0-9²³¹¼½¾"
+_LETTER, _OTHER = rf"[^\W_{_NUMBERS}]", r"(?:_|[^\w\s])"
+_SUFFIX = "'(?:[stmd]|re|ve|ll)"
+_ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+_JOINED = re.compile(rf"{_SUFFIX}| ?{_LETTER}+| ?[{_NUMBERS}]+| ?{_OTHER}+|\s+(?!\S)|\s+")
+_BARE = re.compile(rf"{_LETTER}+|[{_NUMBERS}]|{_SUFFIX}|{_OTHER}+")
 
 # The vocabularies write a byte as a printable character: itself if it is one,
 # else the next free code point from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_HIDDEN = [b for b in range(256) if b not in _PRINTABLE]
+_BYTE_CHARS = [chr(b if b in _PRINTABLE else 256 + _HIDDEN.index(b)) for b in range(256)]
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian bytes (``dtype``: 16 bits if they fit).
 
-    ``space_joined``: a chunk after a space is encoded with that space (byte
-    level vocabulary); otherwise white space carries no id.
+    ``space_joined``: a pre-token takes the space before it (byte level
+    vocabulary); otherwise the text is lower-cased and white space carries no
+    id.
     """
 
     def __init__(self, path: str, space_joined: bool, cache_size: int = 400_000):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.space_joined = space_joined
         self.lead = " " if space_joined else ""
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= END_BITS else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache_size = cache_size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _pack(self, encodings) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in encodings]
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return self._pack(self.tokenizer.encode_batch(texts, add_special_tokens=False))
-
-    def _piece(self, letters: str) -> bytes:
-        """Ids of one pre-token made of letters only."""
-        norm = self.tokenizer.normalizer
-        if norm is not None:
-            letters = letters.lower() if letters.isascii() else norm.normalize_str(letters)
-            if not letters.isalpha():
-                return self._plain([letters])[0]
-        raw = (self.lead + letters).encode("utf-8").decode("latin-1").translate(_BYTE_CHARS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(raw)], self.dtype).tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        """Encode new chunks: runs of letters are one pre-token and go to the
-        BPE model directly, anything else through the whole tokenizer."""
-        rest = []
-        for k in missing:
-            v = self.old.get(k)
-            if v is not None:
-                self.young[k] = v
-            elif k.isalpha():
-                self.young[k] = self._piece(k)
-            else:
-                rest.append(k)
-        for i in range(0, len(rest), 4096):
-            part = rest[i:i + 4096]
-            self.young.update(zip(part, self._plain([self.lead + k for k in part])))
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}       # young, old
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _model(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens, by the vocabulary's merges alone."""
+        tokenize, out = self.tokenizer.model.tokenize, []
+        for p in pieces:
+            raw = (p.replace(" ", _BYTE_CHARS[32]) if p.isascii() and p.isprintable()
+                   else "".join([_BYTE_CHARS[b] for b in p.encode("utf-8")]))
+            out.append(np.array([t.id for t in tokenize(raw)], self.dtype).tobytes() if self.code == "I"
+                       else array("H", [t.id for t in tokenize(raw)]).tobytes())
+        return out
+
+    def _look_up(self, parts: list[str], cache: tuple[dict, dict], encode) -> list[bytes]:
+        young, old = cache
+        found = list(map(young.get, parts))
+        if None in found:
+            at = [i for i, v in enumerate(found) if v is None]
+            missing = {parts[i] for i in at}
+            young.update((p, old[p]) for p in missing if p in old)
+            new = [p for p in missing if p not in young]
+            young.update(zip(new, encode(new)))
+            for i in at:
+                found[i] = young[parts[i]]
+        return found
+
+    def _text(self, text: str) -> bytes | None:
+        """Ids of a text that the pattern here can split, else None."""
+        low = text if self.space_joined else text.lower()
+        if _ODD.search(low):
+            return None
+        return b"".join(self._look_up((_JOINED if self.space_joined else _BARE).findall(low), self.pieces, self._model))
+
+    def _cut(self, text: str) -> tuple[str, list[str]]:
+        head, *tail = _CUT.split(text) if _WIDE_GAP.search(text) else text.split(" ")
+        return head, tail
+
+    def _bounded(self, cache: tuple[dict, dict]) -> tuple[dict, dict]:
+        return ({}, cache[0]) if len(cache[0]) > self.cache_size else cache
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
-        for t in texts:
+        self.pieces, self.chunks = self._bounded(self.pieces), self._bounded(self.chunks)
+        out: list[bytes | None] = [None] * len(texts)
+        odd: list[tuple[int, str, list[str]]] = []
+        for i, t in enumerate(texts):
             if any(s in t for s in self.special):
-                heads.append(t)
-                tails.append([])
-                continue
-            head, *tail = _CUT.split(t) if _WIDE_GAP.search(t) else t.split(" ")
-            heads.append(head)
-            tails.append(tail)
-        if len(self.young) > self.cache_size:
-            self.old, self.young = self.young, {}
-        get = self.young.get
-        found = [list(map(get, t)) for t in tails]
-        for i, (t, f) in enumerate(zip(tails, found)):
-            if None in f:
-                self._learn({k for k, v in zip(t, f) if v is None and k not in self.young})
-                found[i] = map(get, t)
-        return [h + b"".join(f) for h, f in zip(self._plain(heads), found)]
+                odd.append((i, t, []))
+            else:
+                out[i] = self._text(t)
+                if out[i] is None:
+                    odd.append((i, *self._cut(t)))
+        heads = self._whole([head for _, head, _ in odd]) if odd else []
+        chunk_ids = lambda keys: self._whole([self.lead + k for k in keys])
+        for (i, _, tail), head in zip(odd, heads):
+            out[i] = head + b"".join(self._look_up(tail, self.chunks, chunk_ids))
+        return out
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}

@@ -233,6 +233,9 @@ def test_chunked_ids_equal_whole_text_ids():
     from lakewright.llm.tokens import encoder
     odd = ["", " ", "a  b", " a", "a \nb\n c  ", "x\t y\r\n  z", "don't  's 't we're", "́x ́ é É  İstanbul ΑΣ.",
            "a\x1c b \x1d c", "\x85 a\x85 b", "　 x 　y", "a <|endoftext|> b", "12 34  5 !! ' s's", "a​ b"]
+    rng = np.random.default_rng(5)
+    letters = np.array(list("aAbSß '\"’.,!_-1²½ \t\n\r éÉİſlrv") + [chr(i) for i in range(0xa0, 0x250, 7)])
+    odd += ["".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 5000)]
     for name, joined in ((BYTE, True), (WORD, False)):
         e = encoder(tokenizer_path(name), joined)
         want = [np.array(x.ids, e.dtype).tobytes() for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
