@@ -8,7 +8,7 @@ import datetime as _dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DateType, MapType, StructType, TimestampNTZType, TimestampType
 
 # Fixed values that results depend on.
 NULL_EVENT_TYPE_DEFAULT = "unknown"   # replaces a NULL event_type
@@ -78,26 +78,39 @@ def _field_text(c: Column, dtype: DataType | None) -> Column:
         return F.unix_micros(c.cast("timestamp")).cast("string")
     if isinstance(dtype, DateType):
         return F.unix_date(c).cast("string")
+    if isinstance(dtype, StructType):
+        inner = [_encoded(c.getField(f.name), f.dataType) for f in dtype.fields]
+        return F.when(c.isNotNull(), F.concat_ws(FINGERPRINT_SEP, *inner))
+    if isinstance(dtype, ArrayType):
+        inner = F.transform(c, lambda x: _encoded(x, dtype.elementType))
+        return F.when(c.isNotNull(), F.concat_ws(FINGERPRINT_SEP, inner))
+    if isinstance(dtype, MapType):            # entries in the order of their text: a map has none of its own
+        inner = F.transform(F.map_entries(c), lambda e: F.concat_ws(
+            FINGERPRINT_SEP, _encoded(e["key"], dtype.keyType), _encoded(e["value"], dtype.valueType)))
+        return F.when(c.isNotNull(), F.concat_ws(FINGERPRINT_SEP, F.sort_array(inner)))
     return c.cast("string")
 
 
+def _encoded(col: Column, dtype: DataType | None) -> Column:
+    """``<type>:<length>:<text>``, or ``<type>:N`` for NULL."""
+    tag = dtype.simpleString() if dtype is not None else "string"
+    text = _field_text(col, dtype)
+    return F.coalesce(
+        F.concat(F.lit(tag + ":"), F.length(text).cast("string"), F.lit(":"), text),
+        F.lit(f"{tag}:{FINGERPRINT_NULL}"))
+
+
 def row_fingerprint(fields: list[tuple[str | Column, DataType | None]]) -> Column:
     """SHA-256 row fingerprint for dedup: collision-safe, null-safe, typed.
 
     Each field is written as ``<type>:<length>:<text>`` (or ``<type>:N`` when
     NULL) and the fields are joined with ``|``.  The length prefix makes the
     encoding injective, so two different rows cannot produce the same input
-    text; the type name keeps ``1`` and ``'1'`` apart.  Timestamps are
+    text, fields of nested values included (each is written the same way); the
+    type name keeps ``1`` and ``'1'`` apart.  Timestamps are
     encoded as epoch microseconds, dates as epoch days.
     """
-    parts = []
-    for c, dtype in fields:
-        col = _col(c)
-        tag = dtype.simpleString() if dtype is not None else "string"
-        text = _field_text(col, dtype)
-        parts.append(F.coalesce(
-            F.concat(F.lit(tag + ":"), F.length(text).cast("string"), F.lit(":"), text),
-            F.lit(f"{tag}:{FINGERPRINT_NULL}")))
+    parts = [_encoded(_col(c), dtype) for c, dtype in fields]
     return F.sha2(F.concat_ws(FINGERPRINT_SEP, *parts), 256)
 
 

@@ -128,13 +128,14 @@ def audit_columns(full: DataFrame, visible: DataFrame, table_name: str) -> DataF
     are one aggregate pass over the governed view, unpivoted to one row per
     column.
     """
-    catalog_cols = [c for c in dict.fromkeys(full.columns) if c and not c.startswith("#")]
+    catalog_cols = [c for c in dict.fromkeys(full.columns) if c]
     seen = set(visible.columns)
-    counts = visible.agg(*[F.count(F.col(c)).alias(c) for c in catalog_cols if c in seen]) \
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    counts = visible.agg(*[F.count(quoted(c)).alias(c) for c in catalog_cols if c in seen]) \
         if seen else visible.agg(F.count(F.lit(1)).alias("__rows"))
     entries = []
     for c in catalog_cols:
-        val = F.col(c) if c in seen else F.lit(0)
+        val = quoted(c) if c in seen else F.lit(0)
         entries.append(F.struct(F.lit(c).alias("column_name"),
                                 F.lit(c not in seen).alias("hidden"),
                                 val.cast("bigint").alias("values_visible")))

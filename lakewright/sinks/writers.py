@@ -13,8 +13,11 @@
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
+import json
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -83,6 +86,27 @@ def _delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _finish_merge(spark: SparkSession, target_path: str, staging: str, parts: list[str]) -> list | None:
+    """Copy a completely staged merge over its target and drop the staging;
+    None if there is none.  Every step can be run again."""
+    try:
+        ready = spark.read.parquet(f"{staging}/ready").collect()        # one row per touched partition value
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        _delete_path(spark, staging)                                    # staged in part only
+        return None
+    schema = StructType.fromJson(json.loads(ready[0]["target_schema"]))
+    write_table(spark.read.schema(schema).parquet(f"{staging}/data"), target_path, "overwrite", parts)
+    for r in ready:
+        if not r["kept"]:
+            sub = "/".join(f"{_escape_path_name(c)}={_partition_dir_value(r[c])}" for c in parts)
+            _delete_path(spark, f"{target_path.rstrip('/')}/{sub}")
+    _delete_path(spark, f"{staging}/ready")
+    _delete_path(spark, staging)
+    return ready
+
+
 def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
                     partition_columns: list[str], update_columns: list[str] | None = None,
                     op_column: str | None = None, staging_path: str | None = None) -> DataFrame:
@@ -91,32 +115,36 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
 
     Touched partitions are those of the batch rows plus those of target
     rows whose key the batch matches (an update may move a row to another
-    partition).  Their new content is written to a staging folder in the
-    shared checkpoint location first (the target is never overwritten while
-    it is read), then copied over the target with dynamic partition
-    overwrite; touched partitions left without rows are removed.  Each step
-    is an idempotent overwrite, so a rerun after a lost executor or driver
-    gives the same table.  Returns the touched partition values with a
-    ``kept`` flag (False = the partition is now empty and was removed).
+    partition); only they are read.  Their new content is written to a
+    staging folder in the shared checkpoint location first (the target is
+    never overwritten while it is read), sealed by a ``ready`` table, then
+    copied over the target with dynamic partition overwrite; touched
+    partitions left without rows are removed.  The staging folder belongs to
+    the target path: a merge first finishes a sealed one that a lost driver
+    left behind and drops an unsealed one, so a rerun gives the same table.
+    One merge at a time may run on a target.  Returns the touched partition
+    values with a ``kept`` flag (False = the partition is now empty and was
+    removed).
     """
-    import uuid
-
     from lakewright.operators.merge import upsert
     from lakewright.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
     from lakewright.session import require_checkpoint_dir
 
     spark = source.sparkSession
-    target = spark.read.parquet(target_path)
     parts = list(partition_columns)
-    staging = staging_path or f"{require_checkpoint_dir(spark).rstrip('/')}/merge-staging-{uuid.uuid4().hex}"
+    place = hashlib.sha256(target_path.rstrip("/").encode()).hexdigest()
+    staging = staging_path or f"{require_checkpoint_dir(spark).rstrip('/')}/merge-staging-{place}"
+    _finish_merge(spark, target_path, staging, parts)
+    target = spark.read.parquet(target_path)
+    sealed = F.lit(target.schema.json()).alias("target_schema")
     if not parts:
         # Unpartitioned: the whole table is the one touched partition.
         new = upsert(target, source, keys, update_columns=update_columns, op_column=op_column)
-        write_table(new.select(*target.columns), staging, "overwrite")
-        write_table(spark.read.schema(target.schema).parquet(staging), target_path, "overwrite")
-        if staging_path is None:
-            _delete_path(spark, staging)
-        return spark.createDataFrame([(True,)], "kept boolean")
+        write_table(new.select(*target.columns), f"{staging}/data", "overwrite")
+        one = spark.createDataFrame([(True,)], "kept boolean")
+        one.select("kept", sealed).coalesce(1).write.parquet(f"{staging}/ready")
+        _finish_merge(spark, target_path, staging, parts)
+        return one
     src_keys = source.select(*keys).distinct()
     hit = target.select(*keys, *parts).join(src_keys, keys, "left_semi").select(*parts)
     touched = source.select(*parts).unionByName(hit).distinct()
@@ -127,20 +155,20 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     tb = F.broadcast(touched) if small else touched
     # NULL-safe: a NULL partition value is a partition like any other.
     same_part = reduce(lambda a, b: a & b, [target[c].eqNullSafe(tb[c]) for c in parts])
-    old = target.join(tb, same_part, "left_semi")
+    near = target
+    for c in parts:                           # literals, so that the scan lists touched partitions only
+        if touched.schema[c].dataType == target.schema[c].dataType:
+            near = near.where(target[c].isin(sorted({r[c] for r in touched_rows} - {None})) | target[c].isNull())
+    old = near.join(tb, same_part, "left_semi")
     new = upsert(old, source, keys, update_columns=update_columns, op_column=op_column)
-    write_table(new.select(*target.columns), staging, "overwrite", parts)
-    staged = spark.read.schema(target.schema).parquet(staging)
-    write_table(staged, target_path, "overwrite", parts)
+    write_table(new.select(*target.columns), f"{staging}/data", "overwrite", parts)
+    staged = spark.read.schema(target.schema).parquet(f"{staging}/data")
     kept = {tuple(r) for r in staged.select(*parts).distinct().collect()}
-    emptied = [r for r in touched_rows if tuple(r) not in kept]
-    for r in emptied:
-        sub = "/".join(f"{_escape_path_name(c)}={_partition_dir_value(r[c])}" for c in parts)
-        _delete_path(spark, f"{target_path.rstrip('/')}/{sub}")
-    if staging_path is None:
-        _delete_path(spark, staging)
     schema = StructType(touched.schema.fields + [StructField("kept", BooleanType(), False)])
-    return spark.createDataFrame([(*tuple(r), tuple(r) in kept) for r in touched_rows], schema)
+    result = spark.createDataFrame([(*tuple(r), tuple(r) in kept) for r in touched_rows], schema)
+    result.select("*", sealed).coalesce(1).write.parquet(f"{staging}/ready")
+    _finish_merge(spark, target_path, staging, parts)
+    return result
 
 
 def _quote(name: str) -> str:

@@ -99,3 +99,63 @@ def test_retention_keeps_rows_without_a_time(spark):
     df = spark.createDataFrame([(1, 1, None, 0), (2, 2, dt.datetime(2024, 1, 1), 0)],
                                "k long, commit_id long, ts timestamp, t int")
     assert expire_log(df, log, dt.datetime(2024, 2, 1), 7).count() == 2
+
+
+def test_merge_finishes_what_a_lost_driver_left(spark, tmp_path, monkeypatch):
+    from lakewright.sinks import writers
+    path, staging = str(tmp_path / "t"), str(tmp_path / "staging")
+    start = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (3, "c", 30)], "k int, p string, v int")
+    writers.write_table(start, path, "overwrite", ["p"])
+    batch = spark.createDataFrame([(1, "b", 11)], "k int, p string, v int")
+    real, calls = writers._delete_path, []
+
+    def lost(s, where):
+        calls.append(where)
+        if where.startswith(path):                     # the target is written, its emptied folder still there
+            raise RuntimeError("driver lost")
+        real(s, where)
+    monkeypatch.setattr(writers, "_delete_path", lost)
+    with pytest.raises(RuntimeError):
+        writers.merge_into_path(batch, path, ["k"], ["p"], staging_path=staging)
+    assert calls[-1] == f"{path}/p=a"
+    monkeypatch.setattr(writers, "_delete_path", real)
+    for _ in range(2):
+        writers.merge_into_path(batch, path, ["k"], ["p"], staging_path=staging)
+        rows = spark.read.schema(start.schema).parquet(path).select("k", "p", "v").collect()
+        assert sorted(map(tuple, rows)) == [(1, "b", 11), (2, "b", 20), (3, "c", 30)]
+    assert not (tmp_path / "staging").exists()
+
+
+def test_merge_without_partitions_survives_a_lost_target(spark, tmp_path, monkeypatch):
+    from lakewright.sinks import writers
+    path, staging = str(tmp_path / "t"), str(tmp_path / "staging")
+    start = spark.createDataFrame([(1, 10), (2, 20)], "k int, v int")
+    writers.write_table(start, path, "overwrite")
+    real = writers._finish_merge
+    monkeypatch.setattr(writers, "_finish_merge", lambda *a: None)
+    writers.merge_into_path(start.where("k = 1").withColumn("v", F.lit(11)), path, ["k"], [], staging_path=staging)
+    writers._delete_path(spark, path)                  # as if the driver died while the target was replaced
+    monkeypatch.setattr(writers, "_finish_merge", real)
+    writers.merge_into_path(start.where("k = 2").withColumn("v", F.lit(21)), path, ["k"], [], staging_path=staging)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 11), (2, 21)]
+
+
+def test_fingerprint_of_nested_fields(spark):
+    from lakewright.functions.columns import row_fingerprint
+    df = spark.sql("""SELECT * FROM VALUES
+        (1, named_struct('a', 'a, b', 'b', 'c'), array('x, y'), map('k', 1, 'l', 2)),
+        (2, named_struct('a', 'a', 'b', 'b, c'), array('x, y'), map('k', 1, 'l', 2)),
+        (3, named_struct('a', 'a', 'b', 'b, c'), array('x', 'y'), map('k', 1, 'l', 2)),
+        (4, named_struct('a', 'a', 'b', 'b, c'), array('x', 'y'), map('l', 2, 'k', 1)),
+        (5, named_struct('a', 'a', 'b', CAST(NULL AS STRING)), array('x', 'y'), map('l', 2, 'k', 1)),
+        (6, NULL, array(), NULL), (7, NULL, NULL, NULL) AS t(id, s, a, m)""")
+    fields = [(c, df.schema[c].dataType) for c in ("s", "a", "m")]
+    got = {r["id"]: r["f"] for r in df.select("id", row_fingerprint(fields).alias("f")).collect()}
+    assert got[3] == got[4] and len(set(got.values())) == 6
+
+
+def test_column_audit_keeps_odd_names(spark):
+    from lakewright.operators.governance import audit_columns
+    df = spark.createDataFrame([(1, None, 3)], "a int, `#b` int, `c.d` int")
+    rows = {r["column_name"]: (r["hidden"], r["values_visible"]) for r in audit_columns(df, df.drop("a"), "t").collect()}
+    assert rows == {"a": (True, 0), "#b": (False, 0), "c.d": (False, 1)}
