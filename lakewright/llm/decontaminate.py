@@ -2,7 +2,8 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
 lower-cased.  For an item of L words, a document's windows are its runs of L
-consecutive words, aligned at a shingle that document and item share.  A
+consecutive words, aligned at a shingle that document and item share and moved
+inside the document; a document of fewer than L words is one window.  A
 window's weighted shingles (5 words, weight = number of occurrences) give a
 64-bit SimHash.  Eight blocks of eight bits index the items' fingerprints:
 each block is listed with all its values within two bits, so that two
@@ -90,14 +91,15 @@ def _search(d: DataFrame, items: DataFrame, k: int, threshold: int) -> DataFrame
     if size[1] <= BROADCAST_ROWS:
         index = F.broadcast(index)
     places = d.select("doc_id", "words", F.posexplode(_shingles("words", k, stride)).alias("nr", "h"))
+    # A window that would stick out of the document is moved inside; a document shorter than the item is one window.
     windows = (places.join(index, "h")
-               .select("doc_id", (F.col("nr") * stride - F.col("at")).alias("start"), "n_words", "words")
-               .where((F.col("start") >= 0) & (F.col("start") + F.col("n_words") <= F.size("words")))
+               .select("doc_id", F.greatest(F.lit(0), F.least(F.col("nr") * stride - F.col("at"), F.size("words") - F.col("n_words")))
+                       .alias("start"), "n_words", "words")
                .select("doc_id", F.col("start").cast("long").alias("start"), "n_words",
                        F.slice("words", (F.col("start") + 1).cast("int"), F.col("n_words")).alias("window"))
                .distinct())
     prints = stage(windows.withColumn("shingles", _shingles("window", k)).withColumn("fp", simhash("shingles"))
-                   .drop("window"), "windows")
+                   .withColumn("size", F.size("window")).drop("window"), "windows")
     blocks = F.array(*[F.struct(F.lit(b).alias("b"), _block("fp", b).alias("v")) for b in range(8)])
     near = F.array(*[F.lit(m) for m in _NEAR])
 
@@ -112,14 +114,14 @@ def _search(d: DataFrame, items: DataFrame, k: int, threshold: int) -> DataFrame
     close = (probes.join(entries, ["n_words", "b", "v"]).where(distance <= RADIUS)
              .select("doc_id", "start", "n_words", "fp", "item_id", distance.alias("distance")).distinct())
     theirs = items.select("item_id", _counted("shingles").alias("bag_i"))
-    mine = prints.select("doc_id", "start", "n_words", "fp", _counted("shingles").alias("bag_w"))
+    mine = prints.select("doc_id", "start", "n_words", "fp", "size", _counted("shingles").alias("bag_w"))
     both = F.size(F.array_intersect("bag_w", "bag_i"))
     return (close.withColumn("id", F.coalesce("doc_id", F.lit(-1)))
             .join(mine.withColumn("id", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), ["id", "start", "n_words", "fp"])
             .join(theirs, "item_id")
             .withColumn("similarity", both / F.size(F.array_union("bag_w", "bag_i")))
             .where(100 * both >= threshold * F.size(F.array_union("bag_w", "bag_i")))
-            .select("doc_id", "item_id", "start", "n_words", "similarity", "distance"))
+            .select("doc_id", "item_id", "start", F.col("size").alias("n_words"), "similarity", "distance"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

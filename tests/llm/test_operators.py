@@ -304,6 +304,16 @@ def test_decontamination(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {3, 4}
 
 
+def test_decontamination_of_passages_cut_at_the_documents_ends(spark):
+    w = [f"w{i}" for i in range(40)]
+    pad = ["x"] * 30
+    cut = [pad + w[:-1], w[1:] + pad, w[3:] + pad, w[:-1], w[2:], w[:25]]
+    d = edge(spark, [(i, " ".join(c), "en", "s") for i, c in enumerate(cut)])
+    bench = spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["n_words"], r["similarity"]) for r in decontaminate.contaminated(d, bench).collect()}
+    assert got == {0: (29, 40, 35 / 37), 1: (0, 40, 35 / 37), 2: (0, 40, 33 / 39), 3: (0, 39, 35 / 36), 4: (0, 38, 34 / 36)}
+
+
 def test_url_rules_and_propagation(spark):
     link = '<a href="http://bad.example.com/x">b</a>'
     urls = [(1, "http://WWW.Example.NET/en/x?q", ""), (2, "https://a.net", ""), (3, "https://a.net/", ""), (4, None, None),
