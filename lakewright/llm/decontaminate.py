@@ -1,9 +1,8 @@
 """Benchmark decontamination by SimHash windows.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
-lower-cased.  For an item of L words, a document's windows are its runs of L
-consecutive words, aligned at a shingle that document and item share and moved
-inside the document; a document of fewer than L words is one window.  A
+lower-cased.  For an item of L words, a document's windows are all its runs of
+L consecutive words; a document of fewer than L words is one window.  A
 window's weighted shingles (5 words, weight = number of occurrences) give a
 64-bit SimHash.  Eight blocks of eight bits index the items' fingerprints:
 each block is listed with all its values within two bits, so that two
@@ -11,9 +10,12 @@ fingerprints at most 23 bits apart share an entry for certain.
 Candidates within that radius are decided by their exact weighted Jaccard
 similarity, at least ``threshold`` percent.
 
-Shared shingles are looked up at every third word.  A window as similar as the
-threshold asks shares all but a ninth of its shingles, so one of every three
-places is enough (items of fewer than three shingles: every place).
+A window of n shingles as similar as the threshold asks has at most
+n * (100 - threshold) / (100 + threshold) that its item has not, in whatever
+order.  So every window is fingerprinted in which the remaining places hold a
+shingle of some item of that length; no other can match.  Shared shingles are
+looked up at every third word if that leaves one for certain, else at every
+word.
 
 Only DataFrame functions are used.  Defined results: null, empty and blank
 texts and items match nothing; an item of fewer than 5 words is one shingle;
@@ -86,18 +88,31 @@ def _search(d: DataFrame, items: DataFrame, k: int, threshold: int) -> DataFrame
     items = stage(items.withColumn("shingles", _shingles("words", k)).withColumn("n_words", F.size("words"))
                   .withColumn("item_fp", simhash("shingles")).select("item_id", "n_words", "shingles", "item_fp"), "items")
     size = items.agg(F.min(F.size("shingles")), F.sum(F.size("shingles"))).first()
-    stride = 3 if size[0] >= 3 else 1
-    index = items.select("n_words", F.posexplode("shingles").alias("at", "h")).distinct()
+    # Of n places at most n * apart can hold a shingle the item has not; every third place is enough if that is under a third.
+    stride = 3 if size[0] >= 3 and threshold >= 67 else 1
+    index = items.select("n_words", F.explode("shingles").alias("h")).distinct()
     if size[1] <= BROADCAST_ROWS:
         index = F.broadcast(index)
-    places = d.select("doc_id", "words", F.posexplode(_shingles("words", k, stride)).alias("nr", "h"))
-    # A window that would stick out of the document is moved inside; a document shorter than the item is one window.
-    windows = (places.join(index, "h")
-               .select("doc_id", F.greatest(F.lit(0), F.least(F.col("nr") * stride - F.col("at"), F.size("words") - F.col("n_words")))
-                       .alias("start"), "n_words", "words")
+    same = ["doc_id", "h1", "h2", "n_words"]                       # repeated rows of one text are one
+    places = (d.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.hash("words"))
+              .select("doc_id", "h1", "h2", "words", F.posexplode(_shingles("words", k, stride)).alias("nr", "h")))
+    hits = (places.join(index, "h").groupBy(*same)
+            .agg(F.first("words").alias("words"), F.sort_array(F.collect_set(F.col("nr") * stride)).alias("at")))
+    n = F.col("n_words") - k + 1
+    fewest = F.greatest(F.lit(1), F.floor(n / stride) - F.floor(n * (100 - threshold) / (100 + threshold))).cast("int")
+    last = F.size("words") - F.col("n_words")
+
+    def starting(i: Column) -> Column:
+        """Starts of all windows whose first shared place is number ``i`` and that hold ``fewest`` of them."""
+        low = F.greatest(F.lit(0), F.coalesce(F.get("at", i - 1) + 1, F.lit(0)), F.get("at", i + fewest - 1) - n + 1)
+        high = F.least(F.get("at", i), last)
+        return F.when(F.get("at", i + fewest - 1).isNotNull() & (low <= high), F.sequence(low, high)).otherwise(
+            F.array().cast("array<int>"))
+    starts = F.when(last <= 0, F.array(F.lit(0))).otherwise(
+        F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - 1), starting)))
+    windows = (hits.select("doc_id", "n_words", "words", F.explode(starts).alias("start"))
                .select("doc_id", F.col("start").cast("long").alias("start"), "n_words",
-                       F.slice("words", (F.col("start") + 1).cast("int"), F.col("n_words")).alias("window"))
-               .distinct())
+                       F.slice("words", F.col("start") + 1, F.col("n_words")).alias("window")))
     prints = stage(windows.withColumn("shingles", _shingles("window", k)).withColumn("fp", simhash("shingles"))
                    .withColumn("size", F.size("window")).drop("window"), "windows")
     blocks = F.array(*[F.struct(F.lit(b).alias("b"), _block("fp", b).alias("v")) for b in range(8)])

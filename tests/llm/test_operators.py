@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -314,6 +314,41 @@ def test_decontamination_of_passages_cut_at_the_documents_ends(spark):
     assert got == {0: (29, 40, 35 / 37), 1: (0, 40, 35 / 37), 2: (0, 40, 33 / 39), 3: (0, 39, 35 / 36), 4: (0, 38, 34 / 36)}
 
 
+@pytest.mark.parametrize("threshold", [80, 50])
+def test_decontamination_equals_brute_force_over_all_windows(spark, threshold):
+    rng = np.random.default_rng(5)
+    items = {i: [f"w{i}x{rng.integers(60)}" for _ in range(n)] for i, n in enumerate((15, 36, 40, 40, 59))}
+
+    def pad():
+        return [f"x{j}" for j in rng.integers(0, 500, rng.integers(0, 30))]
+    texts = []
+    for w in items.values():
+        h = len(w) // 2
+        for body in (w, w[h:] + w[:h], w[h:] + w[:h - 2], w[h:] + ["mid"] + w[:h], w[9:] + w[:9], w[2:] + w[:1], w[:h] + pad() + w[h:]):
+            texts += [pad() + body + pad(), body, pad() + body]
+    texts.append(sum(items.values(), []))
+
+    def bag(w):
+        return Counter(zip(*(w[j:] for j in range(5))))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, w in items.items():
+            for at in range(max(1, len(t) - len(w) + 1)):
+                a, b = bag(t[at:at + len(w)]), bag(w)
+                both, every = sum((a & b).values()), sum((a | b).values())
+                if 100 * both >= threshold * every:
+                    want[d, i] = max(want.get((d, i), (0, 0, 0)), (both / every, -at, min(len(t), len(w))))
+    d = edge(spark, [(j, " ".join(t), "en", "s") for j, t in enumerate(texts)])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start"], r["n_words"])
+           for r in decontaminate.contaminated(d, bench, threshold).collect()}
+    missing = {k: v for k, v in want.items() if got.get(k) != v}
+    if threshold == 80:
+        assert len(want) > 40 and got == want
+    else:                                                   # at 50 % some fingerprints are beyond the radius
+        assert set(got) <= set(want) and len(missing) <= len(want) / 20
+
+
 def test_url_rules_and_propagation(spark):
     link = '<a href="http://bad.example.com/x">b</a>'
     urls = [(1, "http://WWW.Example.NET/en/x?q", ""), (2, "https://a.net", ""), (3, "https://a.net/", ""), (4, None, None),
