@@ -1,19 +1,21 @@
 """Toxicity through a noisy channel: restore obfuscated words, then score.
 
 The channel turns an intended word into what is written: letters become look-
-alike signs, are repeated, or are pulled apart by spaces and marks.  A written
-token is a lattice of characters; Viterbi search finds the restored word that
-a character language model and the channel's costs make likeliest.  Tokens
-without a look-alike, a triple letter or a spaced run have one path only,
-themselves.
-
-The language model holds hashed counts of character 4-grams and their
-contexts over the words of ALL documents, in tables of fixed size.  Weights of
-words and word beginnings come from a bounded sample of labelled documents
+alike signs, are repeated, or are pulled apart by marks and white space.  What
+is written is a lattice of characters in which white space is dropped or ends
+a word; Viterbi search finds the restored words that a character language
+model and the channel's costs make likeliest.  A token with no look-alike,
+mark or doubled letter has one path only, itself.
+
+The language model holds the exact counts of character 4-grams and of their
+contexts over ALL documents, in a staged table that grows with the input; the
+4-grams that a bucket of distinct tokens can come to are joined to it.  Weights
+of words and word beginnings come from a bounded sample of labelled documents
 (``per_class`` of either class, a fixed parameter): smoothed log odds over the
 documents that have them.  A document's evidence is the sum and the maximum
 of its distinct restored words' weights, turned into a score by logistic
-regression.
+regression.  Only tokens (or neighbouring tokens, joined) whose lattice holds
+something that weighs are decoded for it: others weigh nothing however read.
 
 Null and empty texts have no evidence and a low score; repeated rows score
 alike; without labels of both classes every score is 0.
@@ -30,136 +32,209 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.common import docs_of
+from lakewright.llm.common import docs_of, stage
 from lakewright.llm.labelled import fold, training_sample, with_texts
 
 PER_CLASS = 4_000
-TABLE_BITS = 18
-CHUNKS = 16
 MIN_DOCS = 3
+BUCKET = 1_000                      # distinct tokens decoded together
 # What a written sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
               "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 MARKS = ".-_*~'`"
 SUBSTITUTION, COLLAPSE, DROP = 0.7, 0.4, 0.5
 _EDGE = "".join(c for c in "!|+(.,;:?\"')[]{}<>#%&*=~`^/\\-_$@€£")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]|[0134578@$!|])(?: (?:[^\W\d_]|[0134578@$!|])){2,}(?![^\s.,;:!?])")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€£.\-_*~'`]+[^\W\d_]|^[0-9@$!|(€£]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|€£]{1,2}$")
+_NEUTRAL = "".join(c for c in _EDGE if c not in LOOKALIKES)
+_ODD = re.compile(r"([^\W\d_])\1|[" + re.escape("".join(LOOKALIKES) + MARKS) + "]")
+_SINGLE = re.compile(r"[^\W\d_]|[0134578@$!|]")
 
 
-def readings(token: str) -> tuple[list[str], str]:
-    """A written token's plain words, and the text to decode if the token is
-    suspicious (else empty)."""
+def readings(token: str) -> tuple[list[str], list[str]]:
+    """A written token's plain words, and the texts to decode: the token
+    without what surrounds it, and with the surrounding signs that may be
+    letters, at either end or both."""
     core = token.strip(_EDGE)
-    if core.isalpha():
-        if token[0] in "@$!|(€£" and len(token) - len(core) == 1:
-            return [core], token
-        return [core], core if _TRIPLE.search(core) else ""
-    bare = token.rstrip(".,;:?!")
-    if core and _MIXED.search(bare):
-        return [], bare
-    return [x for x in re.split(r"[^\w]+", core) if x.isalpha()], ""
+    if core == token and core.isalpha():
+        return [core], [core] if _ODD.search(core) else []
+    inner = token.strip(_NEUTRAL)
+    odd = dict.fromkeys((core, inner.rstrip(_EDGE), inner.lstrip(_EDGE), inner.rstrip("!"), inner))
+    return ([x for x in re.split(r"[^\w]+", core) if x.isalpha()], [x for x in odd if x and _ODD.search(x)])
+
+
+def _single(token: str) -> bool:
+    return _SINGLE.fullmatch(token.strip(_NEUTRAL)) is not None
+
+
+def _run_around(tokens: list[str], i: int, j: int) -> tuple[int, int]:
+    """The run of single characters that holds places i to j - 1; a comma or
+    the like ends it."""
+    while i and tokens[i - 1][-1] not in ",;:?" and _single(tokens[i - 1]):
+        i -= 1
+    while j < len(tokens) and tokens[j - 1][-1] not in ",;:?" and _single(tokens[j]):
+        j += 1
+    return i, j
+
+
+def _written(tokens: list[str]) -> str:
+    return " ".join(t.strip(_NEUTRAL) for t in tokens)
+
+
+def runs(text: str) -> list[str]:
+    """Runs of three or more single characters, whatever white space is between;
+    longer ones also without the first, which may be a word of its own."""
+    tokens, out, i = text.split(), [], 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and (j == i or tokens[j - 1][-1] not in ",;:?") and _single(tokens[j]):
+            j += 1
+        if j - i >= 3:
+            out.append(_written(tokens[i:j]))
+            if j - i > 3:
+                out.append(_written(tokens[i + 1:j]))
+        i = max(j, i + 1)
+    return out
 
 
 def spaced_runs(text: str) -> list[str]:
     """Runs of single letters, joined."""
-    return [m[0].replace(" ", "") for m in _SPACED.finditer(text)]
+    found = [r.replace(" ", "") for r in runs(text)]
+    return [r for i, r in enumerate(found) if not i or found[i - 1][1:] != r]
 
 
 # --- character language model -------------------------------------------------
 
-def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table places of all 4-grams of a byte string and of their contexts."""
-    x = raw.astype(np.uint64)
-    ctx = (x[:-3] * np.uint64(0x9E3779B1) + x[1:-2] * np.uint64(0x85EBCA77) + x[2:-1] * np.uint64(0xC2B2AE3D))
-    gram = ctx * np.uint64(0x27D4EB2F) + x[3:] * np.uint64(0x165667B1)
-    shift = np.uint64(64 - TABLE_BITS)
-    spread = np.uint64(0x9E3779B97F4A7C15)
-    return (gram * spread) >> shift, (ctx * spread) >> shift
+def _keys(before: bytes, char: bytes) -> list[int]:
+    """The 4-grams of the bytes of one more character after ``before``."""
+    raw = (b"   " + before)[-3:] + char
+    return [int.from_bytes(raw[i:i + 4], "big") for i in range(len(char))]
 
 
 class CharModel:
-    """P(character | three before it), add-k over hashed counts."""
+    """P(character | three before it), add-k over exact counts: 4-grams by
+    their number, contexts by minus theirs, less one."""
 
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray):
-        self.grams, self.contexts = grams, contexts
+    def __init__(self, counts: dict[int, int]):
+        self.counts = counts
         self.memo: dict[tuple[bytes, bytes], float] = {}
 
-    def __getstate__(self):                                # memos stay at home
-        return {"grams": self.grams, "contexts": self.contexts, "memo": {}}
-
-    def cost(self, word: str) -> float:
-        raw = np.frombuffer(b"   " + word.encode("utf-8") + b" ", np.uint8)
-        g, c = _hashes(raw)
-        return float(-np.log((self.grams[g] + 0.05) / (self.contexts[c] + 12.8)).sum())
-
     def step(self, before: bytes, char: bytes) -> float:
         """Cost of the bytes of one more character after ``before``."""
         key = (before, char)
         v = self.memo.get(key)
         if v is None:
-            if len(self.memo) >= 500_000:
-                self.memo.clear()
-            raw = np.frombuffer((b"   " + before)[-3:] + char, np.uint8)
-            g, c = _hashes(raw)
-            v = self.memo[key] = float(-np.log((self.grams[g] + 0.05) / (self.contexts[c] + 12.8)).sum())
+            n = self.counts
+            v = self.memo[key] = float(sum(np.log((n.get(-(k >> 8) - 1, 0) + 12.8) / (n.get(k, 0) + 0.05))
+                                           for k in _keys(before, char)))
         return v
 
 
-def count_characters(docs: DataFrame) -> CharModel:
-    """Counts over every text; each task sends two tables of fixed size."""
+class _Asked:
+    """In a model's place: takes down what a search asks for."""
+
+    def __init__(self):
+        self.steps: set[tuple[bytes, bytes]] = set()
+
+    def step(self, before: bytes, char: bytes) -> float:
+        self.steps.add((before, char))
+        return 0.0
+
+
+def _asked(units: list[str]) -> list[int]:
+    asked = _Asked()
+    for u in units:
+        decode(u, asked)
+    grams = {k for s in asked.steps for k in _keys(*s)}
+    return sorted(grams | {-(k >> 8) - 1 for k in grams})
+
+
+class CharCounts:
+    """The staged table of counts: key, n."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def model_of(self, units: list[str]) -> CharModel:
+        """The model as far as these few units need it, on the driver."""
+        keys = self.table.sparkSession.createDataFrame([(k,) for k in _asked(units)], "key long")
+        return CharModel({r["key"]: r["n"] for r in self.table.join(F.broadcast(keys), "key").collect()})
+
+
+def count_characters(docs: DataFrame) -> CharCounts:
+    """Exact counts over every text; words stand three spaces apart, so that
+    each begins in the same context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << TABLE_BITS
-        tables = np.zeros((2, size), np.int64)
-        fold_case = np.arange(256, dtype=np.uint8)
-        fold_case[65:91] += 32
-        fold_case[[9, 10, 11, 12, 13]] = 32
+        keys, totals = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                texts = b.column("text").slice(at, 256).to_pylist()
-                raw = fold_case[np.frombuffer("   ".join(["", *texts, ""]).encode("utf-8", "surrogatepass"), np.uint8)]
-                for t, places in zip(tables, _hashes(raw)):
-                    t += np.bincount(places.astype(np.int64), minlength=size)
-        parts = tables.reshape(2 * CHUNKS, -1).astype("<u4")
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(2 * CHUNKS), pa.int64()),
-                                          "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    def add(key, table):
-        total = sum(np.frombuffer(x, "<u4").astype(np.uint64) for x in table.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
-    rows = (docs.mapInArrow(run, "chunk long, counts binary").groupBy("chunk")
-            .applyInArrow(add, "chunk long, total binary").collect())                       # 4 MB in all
-    out = np.zeros((2 * CHUNKS, (1 << TABLE_BITS) // CHUNKS), np.float32)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["total"], np.uint64)
-    grams, contexts = out.reshape(2, -1)
-    return CharModel(grams, contexts)
-
-
-def decode(token: str, model: CharModel, beam: int = 12) -> str:
-    """Viterbi search over the token's lattice.  A state is the last three
-    bytes restored and the last written letter; ``beam`` states survive a
-    position (a lattice position has at most four ways on)."""
-    best: dict[tuple, tuple[float, str]] = {(b"", ""): (0.0, "")}
+            for at in range(0, b.num_rows, 1024):
+                texts = b.column("text").slice(at, 1024).to_pylist()
+                words = "   ".join(["", *" ".join(texts).lower().split(), ""])
+                x = np.frombuffer(words.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+                new, n = np.unique((x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:], return_counts=True)
+                every, place = np.unique(np.concatenate([keys, new.astype(np.int64)]), return_inverse=True)
+                totals = np.bincount(place, np.concatenate([totals, n]), len(every)).astype(np.int64)
+                keys = every
+                if len(keys) > 2_000_000:
+                    yield pa.RecordBatch.from_pydict({"key": keys, "n": totals})
+                    keys, totals = keys[:0], totals[:0]
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(totals, pa.int64())})
+    grams = stage(docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    contexts = grams.groupBy((-F.shiftright("key", 8) - 1).alias("key")).agg(F.sum("n").alias("n"))
+    return CharCounts(stage(grams.unionByName(contexts), "characters"))
+
+
+def decode(token: str, model) -> str:
+    """Viterbi search over the lattice of a token or of tokens with spaces in
+    between.  A state is the last three bytes restored and the last written
+    letter, so at most the readings of a few positions; none is dropped."""
+    if isinstance(model, CharCounts):
+        model = model.model_of([token])
+    best: dict[tuple, tuple[float, tuple]] = {(b"", ""): (0.0, ())}
     for ch in token:
         ways = [(ch, 0.0 if ch.isalpha() else 1.5)] + [(x, SUBSTITUTION) for x in LOOKALIKES.get(ch, "")]
         if ch in MARKS:
             ways = [("", DROP)]
-        now: dict[tuple, tuple[float, str]] = {}
+        if ch == " ":
+            ways = [("", DROP), (" ", 0.0)]
+        now: dict[tuple, tuple[float, tuple]] = {}
         for (tail, last), (cost, word) in best.items():
             for out, price in ways:
                 steps = [(out, price)]
-                if out and out == last:
+                if out and out == last and out != " ":
                     steps.append(("", COLLAPSE))               # a repeated letter may be one
                 for x, p in steps:
                     raw = x.encode("utf-8", "surrogatepass")
                     total = cost + p + (model.step(tail, raw) if raw else 0.0)
-                    key = ((tail + raw)[-3:], out or last)
+                    key = (b"", "") if x == " " else ((tail + raw)[-3:], out or last)
                     if key not in now or total < now[key][0]:
-                        now[key] = (total, word + x)
-        best = dict(sorted(now.items(), key=lambda kv: (kv[1][0], kv[1][1]))[:beam])
-    return min(((c + model.step(t, b" "), w) for (t, _), (c, w) in best.items()))[1]
+                        now[key] = (total, (word, x) if x else word)
+        best = now
+    word = min((c + model.step(t, b" "), t, last, w) for (t, last), (c, w) in best.items())[3]
+    out = []
+    while word:
+        word, x = word
+        out.append(x)
+    return "".join(reversed(out))
+
+
+def restore(units: DataFrame, counts: CharCounts) -> DataFrame:
+    """(unit, restored) of the distinct units: each bucket of them gets the
+    counts its lattices can ask for."""
+    units = stage(units.select("unit").distinct(), "units")
+    n = max(1, -(-units.count() // BUCKET))
+    units = units.withColumn("bucket", F.pmod(F.xxhash64("unit"), F.lit(n)))
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys = _asked(table.column("unit").to_pylist())
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(keys), pa.int64()),
+                         "key": pa.array(keys, pa.int64())})
+
+    def answer(units: pa.Table, counts: pa.Table) -> pa.Table:
+        model = CharModel(dict(zip(counts.column("key").to_pylist(), counts.column("n").to_pylist())))
+        written = units.column("unit").to_pylist()
+        return pa.table({"unit": pa.array(written, pa.string()), "restored": pa.array([decode(u, model) for u in written], pa.string())})
+    asked = units.groupBy("bucket").applyInArrow(ask, "bucket long, key long")
+    known = asked.join(counts.table, "key").select("bucket", "key", "n")
+    return units.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "unit string, restored string")
 
 
 # --- words to scores ----------------------------------------------------------
@@ -169,49 +244,121 @@ def _parts(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in range(3, 7) if len(word) >= n)]
 
 
+def units_of(text: str) -> set[str]:
+    """What of a text is decoded: odd tokens and runs of single characters."""
+    return {o for w in set(text.split()) for o in readings(w)[1]}.union(runs(text))
+
+
+def words_of_text(text: str, restored: dict[str, str]) -> set[str]:
+    """A text's plain words and the restored words of its units."""
+    text = text.lower()
+    plain = {x for w in set(text.split()) for x in readings(w)[0]}
+    return plain.union(*[restored[u].split() for u in units_of(text)])
+
+
 class ToxicityModel:
     """Weights of words and beginnings behind the channel.  What a token of
     the text comes to is kept for the worker (``size`` tokens)."""
 
-    def __init__(self, model: CharModel, weights: dict[str, float], calibration: np.ndarray, size: int = 400_000):
-        self.model, self.weights, self.calibration, self.size = model, weights, calibration, size
-        self.known: dict[str, tuple[str, float] | bool] = {}
-        self.heads = {p[1:4] for p in weights}                   # first letters of anything that weighs
-
-    def restored(self, token: str, joined: bool = False) -> list[str]:
-        words, odd = ([], token) if joined else readings(token)
-        return words + [decode(odd, self.model)] if odd else words
-
-    def _weigh(self, token: str, joined: bool = False) -> tuple[str, float] | bool:
-        """The token's heaviest restored word and its weight, or False."""
-        core = token if token.isalpha() else token.strip(_EDGE)
-        if not joined and core.isalpha() and core[:3] not in self.heads and token[0] not in LOOKALIKES \
-                and not _TRIPLE.search(core):
-            return False
-        best = max(((self.weights.get(p, 0.0), w) for w in self.restored(token, joined) for p in _parts(w)),
-                   default=(0.0, ""))
-        return (best[1], best[0]) if best[0] else False
-
-    def evidence(self, text: str) -> list[float]:
-        text = text.lower()
-        tokens = set(text.split())
+    def __init__(self, counts: CharCounts | None, weights: dict[str, float], calibration: np.ndarray, size: int = 400_000):
+        self.counts, self.weights, self.calibration, self.size = counts, weights, calibration, size
+        self.begin = {p[1:] for p in weights if p[0] == "^"}
+        self.whole = {p[1:] for p in weights if p[0] == "="}
+        self.alive = {w[:n] for w in self.begin | self.whole for n in range(len(w) + 1)}
+        self.known: dict[str, tuple] = {}
+        self.joined: dict[tuple, tuple] = {}
+
+    def __getstate__(self):                                # the table and what is known stay at home
+        return {**self.__dict__, "counts": None, "known": {}, "joined": {}}
+
+    def _walk(self, states: frozenset, written: str) -> tuple[bool, frozenset]:
+        """Follow the lattice of ``written`` from (letters so far, last written
+        letter): whether it holds a beginning that weighs, and where it ends."""
+        for ch in written:
+            now = set()
+            for at, last in states:
+                if ch in MARKS:
+                    now.add((at, last))
+                    continue
+                for out in (ch, *LOOKALIKES.get(ch, "")):
+                    if at + out in self.begin:
+                        return True, frozenset()
+                    if at + out in self.alive:
+                        now.add((at + out, out))
+                    if out == last:
+                        now.add((at, last))
+            states = frozenset(now)
+            if not states:
+                break
+        return any(at in self.whole for at, _ in states), states
+
+    def weigh(self, words: list[str]) -> tuple[str, float] | None:
+        """The heaviest of some words, if any weighs."""
+        weight, word = max(((self.weights.get(p, 0.0), w) for w in words for p in _parts(w)), default=(0.0, ""))
+        return (word, weight) if weight else None
+
+    def _look(self, token: str) -> tuple:
+        """A token's heaviest plain word, those of its readings that can weigh,
+        and where its letters end within something that weighs."""
+        words, odd = readings(token)
+        start = frozenset([("", "")])
+        return (self.weigh(words), [o for o in odd if self._walk(start, o)[0]],
+                frozenset(s for s in self._walk(start, token.strip(_NEUTRAL))[1] if s[0]))
+
+    def _spans(self, tokens: list[str], known: dict[str, tuple]) -> set[str]:
+        """Neighbouring tokens that can weigh when joined; runs of single
+        characters whole."""
+        out, done = set(), 0
+        for i, t in enumerate(tokens):
+            states, j = known[t][2], i + 1
+            while states and j < len(tokens):
+                key = (states, tokens[j])
+                step = self.joined.get(key)
+                if step is None:
+                    if len(self.joined) >= self.size:
+                        self.joined.clear()
+                    step = self.joined[key] = self._walk(states, tokens[j].strip(_NEUTRAL))
+                weighs, states = step
+                j += 1
+                if weighs:
+                    a, z = i, j
+                    if _single(tokens[j - 1]):
+                        if j <= done:                          # in a run taken whole
+                            break
+                        a, z = _run_around(tokens, i, j)
+                        done = z
+                        out.add(_written(tokens[i:z]))         # what comes before may be words of their own
+                    out.add(_written(tokens[a:z]))
+                    break
+        return out
+
+    def prepare(self, text: str) -> tuple[int, list[str], list[float], list[str]]:
+        """Number of distinct tokens, plain words that weigh with their
+        weights, and the units to decode."""
+        tokens = text.lower().split()
+        distinct = set(tokens)
         if len(self.known) >= self.size:
             self.known.clear()
-        found = list(map(self.known.get, tokens))
-        if None in found:
-            for w in tokens:
-                if w not in self.known:
-                    self.known[w] = self._weigh(w)
-            found = list(map(self.known.get, tokens))
-        found += [self._weigh(w, True) for w in spaced_runs(text)]
-        weight = dict(v for v in found if v)
-        return [sum(weight.values()), max(weight.values(), default=0.0), len(weight) / np.sqrt(1.0 + len(tokens)),
-                np.log1p(len(tokens)) / 5]
-
-    def words(self, text: str) -> set[str]:
-        text = text.lower()
-        return {r for w in set(text.split()) for r in self.restored(w)}.union(
-            *[self.restored(w, True) for w in spaced_runs(text)])
+        known = self.known
+        for w in distinct:
+            if w not in known:
+                known[w] = self._look(w)
+        found, units, opens = {}, set(), False
+        for plain, odd, ends in map(known.__getitem__, distinct):
+            if plain:
+                found[plain[0]] = plain[1]
+            units.update(odd)
+            opens = opens or bool(ends)
+        if opens:
+            units |= self._spans(tokens, known)
+        return len(distinct), list(found), list(found.values()), sorted(units)
+
+    def evidence(self, n: int, words: list[str], weights: list[float], units: list[str], restored: dict[str, str]) -> list[float]:
+        weight = dict(zip(words, weights))
+        for u in units:
+            if u in restored:
+                weight.update(v for w in restored[u].split() if (v := self.weigh([w])))
+        return [sum(weight.values()), max(weight.values(), default=0.0), len(weight) / np.sqrt(1.0 + n), np.log1p(n) / 5]
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if not len(self.calibration):
@@ -251,13 +398,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
     sample = training_sample(labels, "toxic", fold(modulus) != held, per_class)
     rows = with_texts(d, sample).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
 
-    channel = ToxicityModel(model, {}, np.empty(0))
+    def odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set().union(*[units_of(t.lower()) for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_pydict({"unit": pa.array(sorted(found), pa.string())})
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for b in batches:
             for half, y, text in zip(*(b.column(c).to_pylist() for c in ("half", "y", "text"))):
-                counts[y].update((half, p) for p in {p for w in channel.words(text) for p in _parts(w)})
+                counts[y].update((half, p) for p in {p for w in words_of_text(text, restored) for p in _parts(w)})
         keys = [k for k in counts[1]]
         yield pa.RecordBatch.from_pydict({
             "half": pa.array([k[0] for k in keys], pa.int64()), "part": pa.array([k[1] for k in keys], pa.string()),
@@ -267,11 +417,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
             "half": pa.array([k[0] for k in keys], pa.int64()), "part": pa.array([k[1] for k in keys], pa.string()),
             "toxic": pa.array([-counts[0][k] for k in keys], pa.int64())})
 
-    from lakewright.llm.common import stage
     sampled = stage(rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("long")), "toxic-sample")
     sizes = {(r["half"], r["y"]): r["n"] for r in sampled.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     if not any(y == 1 for _, y in sizes) or not any(y == 0 for _, y in sizes):
         return ToxicityModel(model, {}, np.empty(0))
+    restored = _collected(restore(sampled.mapInArrow(odd, "unit string"), model))           # of the bounded sample
     parts = (sampled.mapInArrow(tally, "half long, part string, toxic long").groupBy("part")
              .agg(*[F.sum(F.when((F.col("half") == h) & (F.col("toxic") > 0 if y else F.col("toxic") < 0), F.abs("toxic"))
                           .otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)])
@@ -282,27 +432,59 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int
         return _log_odds([(r["part"], sum(r[f"n{h}1"] for h in halves), sum(r[f"n{h}0"] for h in halves)) for r in parts],
                          sum(n[h, 1] for h in halves), sum(n[h, 0] for h in halves))
     # Each half is judged by the other half's weights, so that calibration sees honest evidence.
-    cross = {h: ToxicityModel(model, weights([1 - h]), np.empty(0)) for h in (0, 1)}
+    cross = {h: ToxicityModel(None, weights([1 - h]), np.empty(0)) for h in (0, 1)}
+    judged = _evidence(sampled.select("doc_id", "text", "half", F.col("y").cast("long").alias("y")), cross, model)
+    seen = judged.orderBy("doc_id").collect()
+    fit = _logistic(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float))
+    return ToxicityModel(model, weights([0, 1]), fit)
+
+
+def _collected(restored: DataFrame) -> dict[str, str]:
+    return {r["unit"]: r["restored"] for r in restored.collect()}
+
+
+def _evidence(docs: DataFrame, models: dict[int, ToxicityModel], counts: CharCounts) -> DataFrame:
+    """doc_id, y, half, x (the evidence) of doc_id, text, half, y: each text
+    is read once, then what can weigh is decoded over the whole table."""
+    schema = "doc_id long, half long, y long, n long, words array<string>, weights array<double>, units array<string>"
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                rows = [models[h].prepare(t) for h, t in zip(part.column("half").to_pylist(), part.column("text").to_pylist())]
+                n, words, weights, units = zip(*rows)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), "half": part.column("half"), "y": part.column("y"), "n": pa.array(n, pa.int64()),
+                    "words": pa.array(words, pa.list_(pa.string())), "weights": pa.array(weights, pa.list_(pa.float64())),
+                    "units": pa.array(units, pa.list_(pa.string()))})
+    prepared = stage(docs.mapInArrow(prepare, schema), "evidence")
+
+    def weighing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [any(m.weigh([w]) for m in models.values() for w in r.split()) for r in b.column("restored").to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+    # Distinct spellings that restore to something that weighs; all others come to nothing.
+    restored = _collected(restore(prepared.select(F.explode("units").alias("unit")), counts)
+                          .mapInArrow(weighing, "unit string, restored string"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [cross[h].evidence(t) for h, t in zip(b.column("half").to_pylist(), b.column("text").to_pylist())]
+            x = [models[h].evidence(*r, restored) for h, *r in zip(*(b.column(c).to_pylist() for c in (
+                "half", "n", "words", "weights", "units")))]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": b.column("y"),
                                               "x": pa.array(x, pa.list_(pa.float64()))})
-    seen = sampled.mapInArrow(judge, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
-    fit = _logistic(np.array([r["x"] for r in seen]), np.array([r["y"] for r in seen], float))
-    return ToxicityModel(model, weights([0, 1]), fit)
+    return prepared.mapInArrow(judge, "doc_id long, y long, x array<double>")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, modulus: int = 5, held: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                x = np.array([model.evidence(t) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"),
-                                                  "score": pa.array(model.score(x), pa.float64())})
-    return (docs_of(docs).mapInArrow(run, "doc_id long, score double")
+            if b.num_rows:
+                x = np.array(b.column("x").to_pylist())
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(model.score(x), pa.float64())})
+    d = docs_of(docs).withColumn("half", F.lit(0).cast("long")).withColumn("y", F.lit(0).cast("long"))
+    return (_evidence(d, {0: model}, model.counts).mapInArrow(run, "doc_id long, score double")
             .select("doc_id", F.coalesce(fold(modulus) == held, F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= 0.5).cast("int").alias("predicted")))

@@ -384,6 +384,58 @@ def test_toxic_words_are_restored(spark):
     assert toxicity.spaced_runs("you i d i o t, a b") == ["idiot"]
 
 
+@pytest.fixture(scope="module")
+def counts(spark):
+    return toxicity.count_characters(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null"))
+
+
+def read_words(spark, counts, text):
+    units = spark.createDataFrame([(u,) for u in toxicity.units_of(text.lower())], "unit string")
+    return toxicity.words_of_text(text, {r["unit"]: r["restored"] for r in toxicity.restore(units, counts).collect()})
+
+
+def test_every_odd_token_is_decoded(spark, counts):
+    for text in ("iddiioot", '"1d10t"', "(1d10t)", "[1d10t],", "'id1ot!'", "1d107"):
+        assert "idiot" in read_words(spark, counts, text), text
+    assert "hate" in read_words(spark, counts, "h473")
+    assert "455" in toxicity.units_of("a 455 b") and "a$$" in toxicity.units_of("(a$$)") and "@$$" in toxicity.units_of('"@$$"')
+
+
+def test_no_state_of_the_lattice_is_cut():
+    class Late:                                                # only the last letter tells which reading was meant
+        def __init__(self, tail):
+            self.tail = tail
+
+        def step(self, before, char):
+            return -50.0 if char == b"e" and before.endswith(self.tail) else 0.0
+    for tail in (b"1!1", b"l!1", b"1i1", b"i!1", b"lil"):
+        assert toxicity.decode("1!1e", Late(tail)) == tail.decode() + "e"
+
+
+def test_spaces_are_in_the_lattice(spark, counts):
+    for text in ("you are a s t u p i d man", "I s t u p i d", "so  s\tt\nu  p i d.", "a s 7 u p 1 d"):
+        assert "stupid" in read_words(spark, counts, text), text
+    assert toxicity.decode("stu pid", counts) == "stupid" and toxicity.decode("the man", counts) == "the man"
+    model = toxicity.ToxicityModel(None, {"=stupid": 3.0, "^stup": 2.0}, np.empty(0))
+    n, words, weights, units = model.prepare("you are stu pid, or s t u  p i d, my man")
+    assert units == ["s t u p i d", "stu pid"] and words == []
+    assert model.evidence(n, words, weights, units, {u: toxicity.decode(u, counts) for u in units})[:2] == [3.0, 3.0]
+
+
+def test_character_counts_are_exact(spark):
+    texts = ["The cat", "a catalogue\n of cats \u20ac", ""] + [chr(0x4e00 + i) * 2 + chr(0x5e00 + 3 * i) for i in range(9000)]
+    got = {r["key"]: r["n"] for r in toxicity.count_characters(spark.createDataFrame([(t,) for t in texts], "text string")
+                                                               .coalesce(1)).table.collect()}
+    raw = "   ".join(["", *" ".join(texts).lower().split(), ""]).encode()
+    want = Counter(int.from_bytes(raw[i:i + 4], "big") for i in range(len(raw) - 3))
+    assert {k: v for k, v in got.items() if k >= 0} == want
+    contexts = Counter()
+    for k, v in got.items():
+        if k >= 0:
+            contexts[-(k >> 8) - 1] += v
+    assert {k: v for k, v in got.items() if k < 0} == contexts and len(want) > 2 ** 14
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     rows = corpus_pipeline.run(spark, SF).collect()
