@@ -173,7 +173,7 @@ def count_characters(docs: DataFrame) -> CharCounts:
                 every, place = np.unique(np.concatenate([keys, new.astype(np.int64)]), return_inverse=True)
                 totals = np.bincount(place, np.concatenate([totals, n]), len(every)).astype(np.int64)
                 keys = every
-                if len(keys) > 2_000_000:
+                if len(keys) > 500_000:
                     yield pa.RecordBatch.from_pydict({"key": keys, "n": totals})
                     keys, totals = keys[:0], totals[:0]
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(totals, pa.int64())})
@@ -256,17 +256,20 @@ def words_of_text(text: str, restored: dict[str, str]) -> set[str]:
     return plain.union(*[restored[u].split() for u in units_of(text)])
 
 
+_NOTHING = (None, (), frozenset())
+
+
 class ToxicityModel:
     """Weights of words and beginnings behind the channel.  What a token of
     the text comes to is kept for the worker (``size`` tokens)."""
 
-    def __init__(self, counts: CharCounts | None, weights: dict[str, float], calibration: np.ndarray, size: int = 400_000):
+    def __init__(self, counts: CharCounts | None, weights: dict[str, float], calibration: np.ndarray, size: int = 100_000):
         self.counts, self.weights, self.calibration, self.size = counts, weights, calibration, size
         self.begin = {p[1:] for p in weights if p[0] == "^"}
         self.whole = {p[1:] for p in weights if p[0] == "="}
         self.alive = {w[:n] for w in self.begin | self.whole for n in range(len(w) + 1)}
         self.known: dict[str, tuple] = {}
-        self.joined: dict[tuple, tuple] = {}
+        self.joined: dict[tuple, bool] = {}
 
     def __getstate__(self):                                # the table and what is known stay at home
         return {**self.__dict__, "counts": None, "known": {}, "joined": {}}
@@ -294,7 +297,8 @@ class ToxicityModel:
 
     def weigh(self, words: list[str]) -> tuple[str, float] | None:
         """The heaviest of some words, if any weighs."""
-        weight, word = max(((self.weights.get(p, 0.0), w) for w in words for p in _parts(w)), default=(0.0, ""))
+        weight, word = max(((self.weights.get(p, 0.0), w) for w in words if w[:3] in self.alive for p in _parts(w)),
+                           default=(0.0, ""))
         return (word, weight) if weight else None
 
     def _look(self, token: str) -> tuple:
@@ -302,23 +306,29 @@ class ToxicityModel:
         and where its letters end within something that weighs."""
         words, odd = readings(token)
         start = frozenset([("", "")])
-        return (self.weigh(words), [o for o in odd if self._walk(start, o)[0]],
-                frozenset(s for s in self._walk(start, token.strip(_NEUTRAL))[1] if s[0]))
+        found = (self.weigh(words), tuple(o for o in odd if self._walk(start, o)[0]),
+                 frozenset(s for s in self._walk(start, token.strip(_NEUTRAL))[1] if s[0]))
+        return found if any(found) else _NOTHING
 
     def _spans(self, tokens: list[str], known: dict[str, tuple]) -> set[str]:
         """Neighbouring tokens that can weigh when joined; runs of single
         characters whole."""
         out, done = set(), 0
-        for i, t in enumerate(tokens):
-            states, j = known[t][2], i + 1
+        for i, states in enumerate([known[t][2] for t in tokens]):
+            if not states:
+                continue
+            j = i + 1
             while states and j < len(tokens):
-                key = (states, tokens[j])
-                step = self.joined.get(key)
-                if step is None:
+                key = (states, tokens[j][:2])
+                alive = self.joined.get(key)
+                if alive is None:
                     if len(self.joined) >= self.size:
                         self.joined.clear()
-                    step = self.joined[key] = self._walk(states, tokens[j].strip(_NEUTRAL))
-                weighs, states = step
+                    # Of what is joined, the first two characters mostly show that nothing weighs.
+                    alive = self.joined[key] = not key[1].isalnum() or any(self._walk(states, key[1]))
+                if not alive:
+                    break
+                weighs, states = self._walk(states, tokens[j].strip(_NEUTRAL))
                 j += 1
                 if weighs:
                     a, z = i, j
