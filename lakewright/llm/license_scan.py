@@ -5,14 +5,16 @@ A-Z lower-cased.  ``BASE`` phrases are found wherever their words stand
 consecutively.
 
 The method is a set-similarity join of text blocks with license templates.
-Blocks are windows of BLOCK_WORDS words, each starting half a window after the
-one before.  A block matches when it has at least ``threshold`` percent of a
-template's distinct tokens.  Tokens are ordered by their number of documents in
-the whole corpus, rare first; a matching block must have one of a template's
-first ``n - ceil(t * n) + 1`` tokens (prefix filter), at a place after which
-enough of the template's tokens are left (positional filter), and as many
-distinct template tokens as the threshold asks for (length filter).  Blocks
-with no prefix token are never built.
+A template's blocks are all windows of twice its words, BLOCK_WORDS at least.
+A block matches when it has at least ``threshold`` percent of a template's
+distinct tokens.  Only windows that start at a template token are tried: any
+other can be moved on to its first one and loses none.  Tokens are ordered by
+their number of documents in the whole corpus, rare first; a document that
+holds a matching block must have one of a template's first
+``n - ceil(t * n) + 1`` tokens (prefix filter) and as many of its tokens as the
+threshold asks for (length filter).  In a block, the rarest token's place bounds
+the overlap by the tokens from there on in template and block (positional
+filter) before distinct tokens are counted.
 
 Defined results: null, empty and wordless texts have 0 words, no places, empty
 labels and score 0; repeated rows are judged alike.
@@ -83,25 +85,29 @@ def template_matches(words: DataFrame, templates: dict[str, str], threshold: int
     for text, label in templates.items():
         tokens = sorted(set(text.split()), key=rank.get)
         need = ceil(threshold * len(tokens) / 100)
-        for place, token in enumerate(tokens[:len(tokens) - need + 1]):
-            rows.append((token, place, label, tokens, need))
-    index = spark.createDataFrame(rows, "token string, place int, label string, tokens array<string>, need int")
+        width = max(BLOCK_WORDS, 2 * len(text.split()))
+        for token in tokens[:len(tokens) - need + 1]:
+            rows.append((token, label, tokens, need, width))
+    index = spark.createDataFrame(rows, "token string, label string, tokens array<string>, need int, width int")
     first = F.array(*[F.lit(t) for t in sorted({r[0] for r in rows})])
-    half = BLOCK_WORDS // 2
-    # Places of prefix tokens; each lies in two blocks.
-    hits = (words.where(F.arrays_overlap("words", first))
-            .select("key", "words", F.explode(F.filter(F.transform("words", lambda w, i: F.when(
-                F.array_contains(first, w), F.struct(w.alias("token"), i.alias("at")))), lambda s: s.isNotNull())).alias("s")))
-    blocks = (hits.select("key", "s.token", "words", F.floor(F.col("s.at") / half).alias("half"))
-              .select("key", "token", "words", F.explode(F.array_distinct(F.array("half", F.greatest(F.col("half") - 1, F.lit(0)))))
-                      .alias("block"))
-              .select("key", "token", F.array_distinct(F.slice("words", F.col("block").cast("int") * half + 1, BLOCK_WORDS)).alias("block")))
-    # The index has (templates x prefix) rows, a size fixed by the templates given.
-    pairs = blocks.join(F.broadcast(index), "token").where(F.size("block") >= F.col("need"))
-    left = F.size("tokens") - F.col("place")                       # tokens from this one on
-    both = F.size(F.array_intersect("block", "tokens"))
-    return (pairs.where((left >= F.col("need") - F.col("place")) & (both >= F.col("need")))
-            .groupBy("key", "label").agg(F.max(both / F.size("tokens")).alias("containment")))
+    # The index has (templates x prefix) rows, a size fixed by the templates given.  A document meets
+    # a template once: by the rarest of its tokens that it has.
+    mine = F.array_intersect("tokens", "words")
+    pairs = (words.where(F.arrays_overlap("words", first))
+             .select("key", "words", F.explode(F.array_intersect("words", first)).alias("token"))
+             .join(F.broadcast(index), "token").where((F.size(mine) >= F.col("need")) & (F.get(mine, F.lit(0)) == F.col("token"))))
+    # Where a template's tokens stand, and each one's place in the order.
+    hits = pairs.select("key", "label", "need", "width", F.size("tokens").alias("n"), F.filter(
+        F.transform("words", lambda w, i: F.struct(i.alias("at"), F.array_position("tokens", w).cast("int").alias("place"))),
+        lambda h: h["place"] > 0).alias("hits"))
+    blocks = (hits.select("key", "label", "need", "width", "n", "hits", F.posexplode("hits").alias("i", "start"))
+              .select("key", "label", "need", "n", F.transform(
+                  F.filter(F.slice("hits", F.col("i") + 1, F.col("width")), lambda h: h["at"] < F.col("start.at") + F.col("width")),
+                  lambda h: h["place"]).alias("block")))
+    most = F.least(F.col("n") - F.array_min("block") + 1, F.size("block"))
+    both = F.size(F.array_distinct("block"))
+    return (blocks.where(most >= F.col("need")).where(both >= F.col("need"))
+            .groupBy("key", "label").agg(F.max(both / F.col("n")).alias("containment")))
 
 
 def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, str] | None = None,

@@ -259,6 +259,32 @@ def test_license_templates_by_containment(spark):
     assert "mit-notice" in rows[1]["labels"] and rows[1]["n_base"] == 1 and rows[2]["labels"] == "" and rows[2]["score"] == 0
 
 
+def test_license_blocks_equal_brute_force_over_all_offsets(spark):
+    body = " ".join(f"term{i} of the" for i in range(60))
+    templates = {**license_scan.TEMPLATES, body: "body"}
+    mit = next(t for t, label in templates.items() if label == "mit-text").split()
+    rng = np.random.default_rng(3)
+    spread = {i * 31 // 11: w for i, w in enumerate(mit[:12])}
+    texts = [["x"] * pad + [spread.get(i, "y") for i in range(32)] + ["x"] * 40 for pad in range(34)]
+    for t in map(str.split, templates):
+        for share in (0.7, 0.8, 0.9, 1.0):
+            for gap in (0, 1, 2):
+                some = [w for w in t if rng.random() < share]
+                texts.append(["x"] * int(rng.integers(40)) + [w for s in some for w in (s, *["y"] * int(rng.integers(gap + 1)))]
+                             + ["the", "of", "x"] * int(rng.integers(9)))
+    want = {}
+    for i, text in enumerate(texts):
+        for t, label in templates.items():
+            tokens, width = set(t.split()), max(32, 2 * len(t.split()))
+            best = max(len(tokens & set(text[at:at + width])) for at in range(len(text)))
+            if 100 * best >= 80 * len(tokens):
+                want[i, label] = best / len(tokens)
+    words = spark.createDataFrame(list(enumerate(texts)), "key long, words array<string>")
+    rows = license_scan.template_matches(words, templates, 80).collect()
+    assert {(r["key"], r["label"]): r["containment"] for r in rows} == want and len(rows) == len(want)
+    assert {(i, "mit-text") for i in range(34)} <= set(want) and "body" in {label for _, label in want}
+
+
 def test_personal_data_base(spark, docs, texts):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
                 "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
