@@ -438,6 +438,17 @@ def test_no_state_of_the_lattice_is_cut():
         assert toxicity.decode("1!1e", Late(tail)) == tail.decode() + "e"
 
 
+def test_decode_finds_the_cheapest_of_all_paths(counts):
+    for token in ("k!11er", "1d10t", "a$$", "s7up1dd"):
+        model, paths = counts.model_of([token]), [(0.0, b"", "", "")]
+        for ch in token:
+            ways = [(ch, 0.0 if ch.isalpha() else 1.5)] + [(x, toxicity.SUBSTITUTION) for x in toxicity.LOOKALIKES.get(ch, "")]
+            paths = [(c + p + (model.step(t, x.encode()) if x else 0.0), (t + x.encode())[-3:], out, w + x)
+                     for c, t, last, w in paths for out, price in ways
+                     for x, p in [(out, price)] + [("", toxicity.COLLAPSE)] * (out == last)]
+        assert toxicity.decode(token, counts) == min((c + model.step(t, b" "), w) for c, t, _, w in paths)[1]
+
+
 def test_spaces_are_in_the_lattice(spark, counts):
     for text in ("you are a s t u p i d man", "I s t u p i d", "so  s\tt\nu  p i d.", "a s 7 u p 1 d"):
         assert "stupid" in read_words(spark, counts, text), text
