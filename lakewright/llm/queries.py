@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import (decontaminate, exact_dedup, license_scan, ngram_join, packing, pii, quality, toxicity,
-                            url_filter, wavelet)
+from lakewright.llm import (conversations, decontaminate, exact_dedup, lexical, license_scan, nearest, ngram_join, packing, pii,
+                            quality, toxicity, url_filter, wavelet)
 from lakewright.llm.common import read
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "")
@@ -67,8 +67,21 @@ def op10_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op11_block_table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(read(spark, sf_dir, "conversations"))
+
+
+def op12_bag_dedup_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES = {f.__name__: f for f in (op1_bradley_terry_quality, op2_ngram_jaccard_join, op3_noisy_channel_toxicity, op4_exact_dedup,
-                                  op5_link_graph_url_filter, op6_simhash_decontamination, op7_bootstrapped_pii, op8_packing, op9_wavelet_shards, op10_license_set_join)}
+                                  op5_link_graph_url_filter, op6_simhash_decontamination, op7_bootstrapped_pii, op8_packing, op9_wavelet_shards, op10_license_set_join,
+                                  op11_block_table_repair, op12_bag_dedup_search, op13_collision_counting)}
 
 # The other queries are models, iterations, joins over sets or files: they are tested
 # against brute force, round trips and held-out labels.
@@ -80,4 +93,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
                row_number() OVER w = 1 AS kept, s AS text_sha256, n_chars
         FROM n WINDOW w AS (PARTITION BY s ORDER BY n_chars DESC, doc_id)""",
+    "op12_bag_dedup_search": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             total AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+             b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+             tf AS (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY r, t),
+             wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY t),
+             m AS (SELECT r, doc_id, 10 + (90 * CAST(len(w) AS BIGINT) * n_docs) // l AS m FROM d, total),
+             s AS (SELECT b.item_id, m.doc_id, CAST(sum(wt.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m))) AS BIGINT) AS score
+                   FROM b JOIN tf USING (t) JOIN wt USING (t) JOIN m USING (r) GROUP BY b.item_id, m.doc_id, r)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
