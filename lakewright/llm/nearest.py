@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from lakewright.llm.common import ship, stage
 
-SHARD = 4096            # vectors of one shard, on average
+SHARD = 8192            # vectors of one shard, on average: about 10 MB of arrays at 64 components
 GROUP = 16_384          # queries that one task holds at a time, on average
 PROJECTIONS = 64        # sorted arrays of a shard, at least (see ``frames``)
 WIDEST = 128            # and at most
