@@ -68,6 +68,19 @@ def _norms(m: np.ndarray) -> np.ndarray:
     return (top * np.sqrt(((m / top) ** 2).sum(axis=1, keepdims=True)))[:, 0]
 
 
+def _lengths(batches):
+    for b in batches:
+        column = b.column("vector")
+        starts, x = column.offsets.to_numpy()[:-1], column.values.to_numpy(zero_copy_only=False)
+        size, starts = np.diff(column.offsets.to_numpy()), starts - starts[:1]
+        x = x[column.offsets[0].as_py():column.offsets[-1].as_py()]
+        norm = np.empty(0)
+        if len(size):                                   # no vector is empty or zero
+            top = np.maximum.reduceat(np.abs(x), starts)
+            norm = top * np.sqrt(np.add.reduceat((x / np.repeat(top, size)) ** 2, starts))
+        yield pa.record_batch([b.column("dim"), b.column("asked"), pa.array(norm)], names=["dim", "asked", "longest"])
+
+
 _INDEX = "dim int, shard long, ids binary, vectors binary, places binary, members binary"
 
 
@@ -176,11 +189,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     used = stage(usable(vectors), "vectors")
-    big = F.array_max(F.transform("vector", F.abs))
-    norm = big * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / big) * (x / big)))
     asked = F.pmod("vec_id", F.lit(every)) == 0
-    sizes = used.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(asked).alias("q"),
-                                    F.max(norm).alias("longest")).collect()        # one row per vector length
+    sizes = (used.select("dim", asked.alias("asked"), "vector").mapInArrow(_lengths, "dim int, asked boolean, longest double")
+             .groupBy("dim").agg(F.count("*").alias("n"), F.count_if("asked").alias("q"), F.max("longest").alias("longest"))
+             .collect())                                                            # one row per vector length
     directions = {r["dim"]: frames(r["dim"]) for r in sizes}
     longest, totals = {r["dim"]: r["longest"] for r in sizes}, {r["dim"]: r["n"] for r in sizes}
     pieces = lambda per, count: F.coalesce(*[F.when(F.col("dim") == r["dim"], F.lit(max(1, math.ceil(r[count] / per))).cast("long"))
