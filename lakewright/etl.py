@@ -18,7 +18,8 @@ from lakewright.operators.merge import duplicate_keys
 from lakewright.operators.transform import (
     EVENT_PARTITION_COLUMNS, EVENT_TABLE_SCHEMA, conform_schema, transform_events,
 )
-from lakewright.sinks.writers import create_table, merge_into_path, write_table
+from lakewright.operators.checks import sql_string
+from lakewright.sinks.writers import append_once, create_table, merge_into_path, read_if_there, write_table
 
 
 def etl_transform(df: DataFrame, as_of: _dt.datetime | None = None) -> DataFrame:
@@ -26,6 +27,12 @@ def etl_transform(df: DataFrame, as_of: _dt.datetime | None = None) -> DataFrame
     return conform_schema(transform_events(df, as_of=as_of), EVENT_TABLE_SCHEMA)
 
 
+def read_target(spark: SparkSession, location: str) -> bool:
+    """Whether the table's files hold a row."""
+    df = read_if_there(spark, location)
+    return df is not None and bool(df.take(1))
+
+
 @dataclass
 class EtlResult:
     rows_written: int
@@ -36,16 +43,18 @@ class EtlResult:
 def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse_path: str,
             policy: Policy | None = None, as_of: _dt.datetime | None = None,
             comment: str = "Event rows after policy and transform",
-            mode: str = "append", merge_keys: list[str] | None = None) -> EtlResult:
+            mode: str = "append", merge_keys: list[str] | None = None,
+            run_id: str | None = None) -> EtlResult:
     """L1.  ``source`` is the event table (X1 columns); ``policy`` is the
     principal's row/column policy.  Empty input stops before any write.
 
     ``mode="append"`` adds the rows; ``mode="merge"`` upserts them on
     ``merge_keys`` (default ``id``), rewriting only touched partitions.
-    Each write is one job under Spark's commit protocol.  A rerun of the
-    same input after a failure is idempotent in ``merge`` mode; in
-    ``append`` mode it would add the rows again, so jobs that may be rerun
-    should merge.
+    A rerun after a failure gives the same table in ``merge`` mode, and in
+    ``append`` mode too when both runs carry the same ``run_id`` (see
+    ``append_once``); without one an append adds its rows at every run.  All
+    other steps find what is done already: the table, its partitions, a merge that
+    a lost driver left sealed.
     """
     if mode not in ("append", "merge"):
         raise ValueError(f"mode is {mode!r}, but only 'append' and 'merge' exist")
@@ -59,22 +68,27 @@ def run_etl(spark: SparkSession, source: DataFrame, target_table: str, warehouse
     out = etl_transform(governed, as_of=as_of).observe(obs, F.count(F.lit(1)).alias("rows"))
     # Partition columns go last, as the catalog table orders them.
     cols = [c for c in out.columns if c not in EVENT_PARTITION_COLUMNS] + EVENT_PARTITION_COLUMNS
-    empty_target = not spark.table(target_table).take(1)
+    once = mode == "append" and run_id is not None
+    empty_target = not once and mode == "merge" and not read_target(spark, location)
     if mode == "merge" and empty_target:
         several = duplicate_keys(out, merge_keys or ["id"]).take(1)       # the same rule as in a merge
         if several:
             raise ValueError(f"source has several rows for one target key: {several[0]}")
-    if mode == "append" or empty_target:
+    rows = None
+    if once:
+        rows = append_once(out.select(*cols), location, run_id, EVENT_PARTITION_COLUMNS)
+    elif mode == "append" or empty_target:
         write_table(out.select(*cols), location, "append", EVENT_PARTITION_COLUMNS)
     else:
         touched = merge_into_path(out.select(*cols), location, merge_keys or ["id"],
                                   EVENT_PARTITION_COLUMNS)
-        for r in touched.where(~F.col("kept")).collect():
-            spec = ", ".join(f"{c} = '{r[c]}'" for c in EVENT_PARTITION_COLUMNS)
+        emptied = [r for r in touched.collect() if not r["kept"]]
+        for r in emptied:                       # a NULL value is named as its folder is
+            spec = ", ".join(f"{c} = {sql_string(r[c])}" if r[c] is not None else f"{c} = NULL" for c in EVENT_PARTITION_COLUMNS)
             spark.sql(f"ALTER TABLE {target_table} DROP IF EXISTS PARTITION ({spec})")
     spark.catalog.refreshTable(target_table)
     spark.sql(f"ALTER TABLE {target_table} RECOVER PARTITIONS")
-    return EtlResult(int(obs.get["rows"]), False, target_table)
+    return EtlResult(int(obs.get["rows"]) if rows is None else rows, False, target_table)
 
 
 def main(argv: list[str] | None = None) -> EtlResult:

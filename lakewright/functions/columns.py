@@ -79,19 +79,19 @@ def _field_text(c: Column, dtype: DataType | None) -> Column:
     if isinstance(dtype, DateType):
         return F.unix_date(c).cast("string")
     if isinstance(dtype, StructType):
-        inner = [_encoded(c.getField(f.name), f.dataType) for f in dtype.fields]
+        inner = [encoded(c.getField(f.name), f.dataType) for f in dtype.fields]
         return F.when(c.isNotNull(), F.concat_ws(FINGERPRINT_SEP, *inner))
     if isinstance(dtype, ArrayType):
-        inner = F.transform(c, lambda x: _encoded(x, dtype.elementType))
+        inner = F.transform(c, lambda x: encoded(x, dtype.elementType))
         return F.when(c.isNotNull(), F.concat_ws(FINGERPRINT_SEP, inner))
     if isinstance(dtype, MapType):            # entries in the order of their text: a map has none of its own
         inner = F.transform(F.map_entries(c), lambda e: F.concat_ws(
-            FINGERPRINT_SEP, _encoded(e["key"], dtype.keyType), _encoded(e["value"], dtype.valueType)))
+            FINGERPRINT_SEP, encoded(e["key"], dtype.keyType), encoded(e["value"], dtype.valueType)))
         return F.when(c.isNotNull(), F.concat_ws(FINGERPRINT_SEP, F.sort_array(inner)))
     return c.cast("string")
 
 
-def _encoded(col: Column, dtype: DataType | None) -> Column:
+def encoded(col: Column, dtype: DataType | None) -> Column:
     """``<type>:<length>:<text>``, or ``<type>:N`` for NULL."""
     tag = dtype.simpleString() if dtype is not None else "string"
     text = _field_text(col, dtype)
@@ -110,7 +110,7 @@ def row_fingerprint(fields: list[tuple[str | Column, DataType | None]]) -> Colum
     type name keeps ``1`` and ``'1'`` apart.  Timestamps are
     encoded as epoch microseconds, dates as epoch days.
     """
-    parts = [_encoded(_col(c), dtype) for c, dtype in fields]
+    parts = [encoded(_col(c), dtype) for c, dtype in fields]
     return F.sha2(F.concat_ws(FINGERPRINT_SEP, *parts), 256)
 
 

@@ -16,7 +16,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, MapType, StructType
+
+from lakewright.functions.columns import encoded
 
 # The five check statuses.
 PASS = "PASS"
@@ -168,12 +170,30 @@ def run_report(results: DataFrame, job_name: str, timestamp: str, version: str)
 def _comparable(df: DataFrame) -> DataFrame:
     """Maps can be neither grouped nor hashed: compare a top-level map as the
     sorted array of its entries (equal maps give equal arrays)."""
-    from pyspark.sql.types import MapType
     return df.select(*[
         F.array_sort(F.map_entries(F.col(f.name))).alias(f.name) if isinstance(f.dataType, MapType)
         else F.col(f.name) for f in df.schema.fields])
 
 
+def _row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row.  A NULL adds nothing to a hash, so every
+    column brings its own NULL mark; nested values are hashed as the text of
+    their fingerprint, which keeps NULL fields and microseconds."""
+    marked = []
+    for f in sorted(df.schema.fields, key=lambda f: f.name):
+        c = F.col(f"`{f.name.replace('`', '``')}`")
+        marked += [c.isNull(), encoded(c, f.dataType) if isinstance(f.dataType, (StructType, ArrayType, MapType)) else c]
+    return F.xxhash64(F.lit("a"), *marked), F.xxhash64(F.lit("b"), *reversed(marked))
+
+
+def fingerprint_sums(df: DataFrame) -> list[Column]:
+    """Aggregates that tell multisets of rows with the columns of ``df`` apart:
+    the count and two exact sums of row hashes.  Usable in ``observe``."""
+    h, g = _row_hashes(df)
+    exact = lambda x: F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return [F.count(F.lit(1)).alias("n"), exact(h).alias("h"), exact(g).alias("g")]
+
+
 def verify_equal(left: DataFrame, right: DataFrame, method: str = "exact") -> DataFrame:
     """Are two DataFrames the same multiset of rows?
 
@@ -192,16 +212,9 @@ def verify_equal(left: DataFrame, right: DataFrame, method: str = "exact") -> Da
     other = [k for k in kinds if k[1] != k[2]]
     if other:
         raise ValueError(f"different types: {other}")
-    left, right = _comparable(left), _comparable(right.select(*cols))
+    right = right.select(*cols)
     if method == "fingerprint":
-        # A NULL adds nothing to a hash, so every column brings its own
-        # NULL mark; nested values are hashed as text that keeps NULL fields.
-        def part(c: str) -> Column:
-            nested = isinstance(left.schema[c].dataType, (StructType, ArrayType))
-            return F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) if nested else F.col(c)
-        marked = [x for c in cols for x in (F.col(c).isNull(), part(c))]
-        h = F.xxhash64(F.lit("a"), *marked).cast("decimal(38,0)").alias("h")
-        g = F.xxhash64(F.lit("b"), *reversed(marked)).cast("decimal(38,0)").alias("g")
+        h, g = (x.cast("decimal(38,0)").alias(n) for x, n in zip(_row_hashes(left), "hg"))
         both = (left.select(F.lit(True).alias("__l"), h, g)
                 .unionByName(right.select(F.lit(False).alias("__l"), h, g)))
         on_left, on_right = F.col("__l"), ~F.col("__l")
@@ -217,6 +230,7 @@ def verify_equal(left: DataFrame, right: DataFrame, method: str = "exact") -> Da
                             & F.col("left_sum2").eqNullSafe(F.col("right_sum2"))).alias("equal"))
     if method != "exact":
         raise ValueError(f"unknown method {method!r}: use 'exact' or 'fingerprint'")
+    left, right = _comparable(left), _comparable(right)
     tagged = (left.select(*cols, F.lit(1).alias("__l"), F.lit(0).alias("__r"))
               .unionByName(right.select(*cols, F.lit(0).alias("__l"), F.lit(1).alias("__r"))))
     per_row = tagged.groupBy(*cols).agg(F.sum("__l").alias("l"), F.sum("__r").alias("r"))

@@ -50,11 +50,11 @@ def entitled_rows(df: DataFrame, entitlements: DataFrame, on: list[tuple[str, st
     column present in both).  The list is reduced to its distinct keys and
     broadcast when it is within the row bound; otherwise it is a shuffled
     semi join.  A semi join never duplicates table rows.  The size probe
-    reads at most ``max_broadcast_rows + 1`` rows of the raw list.
+    reads the key columns of the whole list once, a row per task comes back.
     """
     pairs = [(c, c) if isinstance(c, str) else c for c in on]
     raw = entitlements.select(*[F.col(e).alias(f"__ent_{i}") for i, (_, e) in enumerate(pairs)])
-    # Probe the raw list (O(max rows) read); its distinct keys are no larger.
+    # The raw list is measured; its distinct keys are no larger.
     ent = raw.distinct()
     if fits_broadcast(raw, max_broadcast_rows, max_broadcast_bytes):
         ent = F.broadcast(ent)

@@ -75,8 +75,8 @@ def _profile(source: DataFrame, ks: list[str], check_duplicates: bool,
     """(rows, bytes, largest group of one non-NULL key) in one job.
 
     With the duplicate check the batch is grouped by key (partial counts
-    map-side, so a hot key is one row per task); without it only the first
-    ``max_rows + 1`` rows are read.
+    map-side, so a hot key is one row per task); without it the rows are only
+    counted and measured.
     """
     size = row_bytes(source).alias("__b")
     if not check_duplicates:

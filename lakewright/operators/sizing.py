@@ -1,10 +1,11 @@
 """Broadcast only behind a proven size bound.
 
-``measure(df, max_rows)`` runs one job over at most ``max_rows + 1`` rows of
-``df`` (a global limit stops the scan early, so the probe costs O(max_rows)
-whatever the size of ``df``) and returns their count and byte size: fixed
-widths for fixed-width types plus the measured length of every string,
-binary or nested value.  A side is broadcast only when both its row count
+``measure(df, max_rows)`` runs one job over ``df``: every task counts its rows
+and their byte size (fixed widths for fixed-width types plus the measured
+length of every string, binary or nested value) and sends one row.  The job
+reads the columns of the whole side once, so the probe costs what a scan of
+the side costs; it is taken of sides that are expected to be small.
+A side is broadcast only when both its row count
 and its measured bytes are within bounds; beyond them the caller takes a
 shuffle join (which AQE may still turn into a broadcast from runtime sizes).
 """

@@ -34,6 +34,7 @@ SOURCE_FROM = _dt.datetime(1999, 6, 1)                   # upsert batch: orders
 LINE_TARGET_BEFORE = _dt.datetime(1997, 1, 1)
 LINE_SOURCE_FROM = _dt.datetime(1996, 1, 1)
 AS_OF_VERSION = 15
+BASELINE_VERSION = 10
 AS_OF_TIME = _dt.datetime(2024, 1, 20, 12, 0, 0)
 DIFF_FROM = _dt.datetime(2024, 1, 10, 0, 0, 0)
 DIFF_TO = _dt.datetime(2024, 1, 20, 0, 0, 0)
@@ -52,6 +53,9 @@ COMPACTION_TARGET_BYTES = 134_217_728
 KNOWN_EVENT_TYPES = ("click", "view", "purchase", "signup", "error")
 KNOWN_ORDER_STATUSES = ("F", "O", "P")
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations")
+
 EVENT_LOG = ChangeLog(keys=("user_id",), commit_id="commit_id", committed_at="ts", tie="event_id")
 
 

@@ -95,11 +95,11 @@ LOG_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props", "commit
 PAYLOAD = [c for c in LOG_COLS if c != "user_id"]
 
 
-def _transform_sql(where: str = "") -> str:
+def _transform_sql(where: str = "", processed: str = _ts(fx.AS_OF)) -> str:
     hashed = _spark_hash_sql(f"(SELECT * FROM ev {where})", ["id", "epoch_us(event_timestamp)"], "row_hash")
     return (f"WITH {EV}, h AS ({hashed}) "
             f"SELECT id, coalesce(event_type, 'unknown') AS event_type, user_id, event_data, "
-            f"event_timestamp, {_ts(fx.AS_OF)} AS processed_at, "
+            f"event_timestamp, {processed} AS processed_at, "
             f"CAST(year(event_timestamp) AS VARCHAR) AS year, CAST(month(event_timestamp) AS VARCHAR) AS month, "
             f"CAST(day(event_timestamp) AS VARCHAR) AS day, row_hash FROM h")
 
@@ -182,8 +182,12 @@ def _lit(s: str | None) -> str:
     return "CAST(NULL AS VARCHAR)" if s is None else "'" + s.replace("'", "''") + "'"
 
 
-def _check_results_sql() -> str:
+def _check_results_sql(details: bool = False) -> str:
     """Every check row reads one aggregate row of its table, as in Spark."""
+    def more(obs: str) -> str:
+        text = lambda x: f"CAST({x} AS VARCHAR)"
+        return (f"'{{\"rows_checked\":\"' || {text('__rows')} || '\",\"observed\":\"' || {text(obs)} || '\"}}' AS details, "
+                if details else "")
     parts = []
     for table, src, _vis, hidden, data_checks in _CHECK_TABLES:
         info = [("readable rows", "__rows", "rows readable", None),
@@ -195,14 +199,14 @@ def _check_results_sql() -> str:
             parts.append(
                 f"SELECT '{fx.RUN_ID}' AS run_id, '{table}' AS table_name, '{name}' AS check_name, "
                 f"'INFO' AS status, '{msg}: ' || CAST({obs} AS VARCHAR) AS message, "
-                f"CAST({obs} AS BIGINT) AS observed, {_lit(rec)} AS recommendation FROM {agg}")
+                f"CAST({obs} AS BIGINT) AS observed, {more(obs)}{_lit(rec)} AS recommendation FROM {agg}")
         for name, pred, sev, msg, rec in data_checks:
             agg = f"(SELECT count(*) AS __rows, CAST(count_if({pred}) AS BIGINT) AS obs FROM ({src}))"
             parts.append(
                 f"SELECT '{fx.RUN_ID}' AS run_id, '{table}' AS table_name, '{name}' AS check_name, "
                 f"CASE WHEN __rows = 0 THEN 'SKIPPED' WHEN coalesce(obs, 0) = 0 THEN 'PASS' ELSE '{sev}' END AS status, "
                 f"CAST(obs AS VARCHAR) || ' of ' || CAST(__rows AS VARCHAR) || ' rows: {msg}' AS message, "
-                f"obs AS observed, {_lit(rec)} AS recommendation FROM {agg}")
+                f"obs AS observed, {more('obs')}{_lit(rec)} AS recommendation FROM {agg}")
     return " UNION ALL ".join(parts)
 
 
@@ -338,4 +342,31 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = t.o_orderkey)) "
             f"SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS year FROM u"),
         "etl_job": _transform_sql(where="WHERE CAST(user_id AS BIGINT) < 50"),
+        "inventory_rows": " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS rows, true AS has_bytes FROM {t}" for t in fx.TABLES),
+        "scan_text": "SELECT props AS value FROM events",
+        "check_results_full": _check_results_sql(details=True),
+        "run_report_results": (
+            f"WITH cr AS ({_check_results_sql()}), head AS (SELECT run_id, {_rollup_cols()} FROM cr GROUP BY run_id) "
+            f"SELECT '{fx.JOB_NAME}' AS job_name, run_id, '{fx.REPORT_TIME}' AS timestamp, '{fx.VERSION}' AS version, "
+            f"total_checks, passed, failed, warnings, table_name, check_name, status, message, observed, recommendation "
+            f"FROM head JOIN cr USING (run_id)"),
+        **{f"sink_{fmt}_rows": ev + "SELECT * FROM ev" for fmt in ("json", "parquet", "csv")},
+        "sink_append": _transform_sql(),
+        "sink_overwrite_partitions": (
+            f"WITH t AS ({_transform_sql()}), "
+            f"new AS (SELECT * FROM t WHERE event_timestamp >= {_ts(fx.AS_OF_TIME)} AND event_type = 'purchase') "
+            f"SELECT * FROM new UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM new "
+            f"WHERE new.year = t.year AND new.month = t.month AND new.day = t.day)"),
+        "catalog_table": _transform_sql(),
+        "relocated_table": "SELECT *, CAST(year(o_orderdate) AS VARCHAR) AS year FROM orders",
+        "compacted_table": _transform_sql(),
+        "as_of_version_stored": f"WITH {LOG} SELECT * FROM log WHERE commit_id <= {fx.AS_OF_VERSION} {LATEST}",
+        "as_of_timestamp_stored": f"WITH {LOG} SELECT * FROM log WHERE ts <= {_ts(fx.AS_OF_TIME)} {LATEST}",
+        "expire_log_stored": f"WITH {LOG} {EXPIRED}",
+        "incremental_load_table": ("SELECT * FROM events QUALIFY row_number() OVER "
+                                   "(PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
+        "etl_stored": _transform_sql(
+            where="WHERE CAST(user_id AS BIGINT) < 50",
+            processed=f"CASE WHEN event_timestamp >= {_ts(fx.INCREMENTAL_MARK)} THEN {_ts(fx.AS_OF)} ELSE {_ts(fx.AS_OF_TIME)} END"),
     }

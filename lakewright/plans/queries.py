@@ -6,24 +6,31 @@ given tables.  Computed columns carry the same names as in the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.functions.columns import null_default, partition_columns, row_fingerprint
+from lakewright.functions.columns import null_default, partition_columns, row_fingerprint, ts_literal
 from lakewright.functions.columns import row_hash as row_hash_of
 from lakewright.operators import checks as C
 from lakewright.operators import governance as G
 from lakewright.operators import merge as J
 from lakewright.operators import transform as P
 from lakewright.operators import versions as V
-from lakewright.operators.maintenance import compaction_plan
+from lakewright.operators import stored_log as L
+from lakewright.operators.maintenance import compact_table, compaction_plan, relocate
 from lakewright.plans import fixtures as fx
 from lakewright.sources import tables as S
-from lakewright.sources.files import file_inventory, list_objects
-from lakewright.etl import etl_transform
-from lakewright.sinks.writers import merge_into_path, write_table, write_verified
+from lakewright.sources.files import file_inventory, list_objects, partition_inventory, read_csv, read_json, read_text
+from lakewright.streaming import incremental
+from lakewright.etl import etl_transform, run_etl
+from lakewright.sinks.writers import (
+    TEXT_TIMESTAMP_OPTIONS, _delete_path, append_once, create_table, insert_into, merge_into_path, save_report, write_table,
+    write_verified,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +67,21 @@ def file_inventory_q(spark, d):
     return file_inventory(fx.table(spark, d, "events")).select("file_name", "rows", "bytes")
 
 
+def inventory_rows(spark, d):
+    """Data files and rows of every given table, from the file footers on
+    the executors (no column is read), rolled up per table."""
+    parts = [partition_inventory(fx.table(spark, d, t)).select(F.lit(t).alias("table_name"), "rows", (F.col("bytes") > 0).alias("has_bytes"))
+             for t in fx.TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scan_text(spark, d):
+    """The events' payloads written as text, read back line by line."""
+    path = _scratch(spark, "text")
+    fx.table(spark, d, "events").select("props").write.text(path)
+    return read_text(spark, path)
+
+
 # --- governed scans and audits (G) -----------------------------------------
 
 def governed_rows_predicate(spark, d):
@@ -263,6 +285,19 @@ def check_results(spark, d):
     return check_results_df(spark, d).drop("details")
 
 
+def check_results_full(spark, d):
+    """R2 with every column; the details, a map, as JSON."""
+    return check_results_df(spark, d).withColumn("details", F.to_json("details"))
+
+
+def run_report_results(spark, d):
+    """R3 + K8: the report saved as JSON, read back, one row per result."""
+    rep = C.run_report(check_results_df(spark, d), fx.JOB_NAME, fx.REPORT_TIME, fx.VERSION)
+    path = save_report(rep, _scratch(spark, "report"), now=fx.AS_OF)
+    head = ["job_name", "run_id", "timestamp", "version", "total_checks", "passed", "failed", "warnings"]
+    return read_json(spark, path, rep.schema).select(*head, F.inline("results"))
+
+
 def status_rollup(spark, d):
     return C.status_rollup(check_results_df(spark, d))
 
@@ -282,7 +317,6 @@ def table_summary(spark, d):
 # --- sinks (K1, K2, K5-K7): verified writes of the whole event table -------
 
 def _scratch(spark, kind: str) -> str:
-    import uuid
     from lakewright.session import require_checkpoint_dir
     return f"{require_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
@@ -308,6 +342,139 @@ def sink_partitioned_table(spark, d):
     return C.verify_equal(out, back).select("left_rows", "right_rows", "equal")
 
 
+def _rows_back(fmt: str):
+    def q(spark, d):
+        """K5-K7: the rows of a verified write, read back from its files."""
+        ev, path = fx.events_x1(spark, d), _scratch(spark, f"rows-{fmt}")
+        check = write_verified(ev, path, fmt, method="observed").first()
+        if not check["equal"]:
+            raise RuntimeError(f"{fmt} lost rows: {check.asDict()}")
+        if fmt == "json":
+            return read_json(spark, path, ev.schema, **TEXT_TIMESTAMP_OPTIONS)
+        if fmt == "csv":
+            return read_csv(spark, path, ev.schema, **TEXT_TIMESTAMP_OPTIONS)
+        return spark.read.schema(ev.schema).parquet(path)
+    q.__name__ = f"sink_{fmt}_rows"
+    return q
+
+
+_PARTS = ["year", "month", "day"]
+
+
+def _transformed(spark, d, as_of=fx.AS_OF):
+    return etl_transform(fx.events_x1(spark, d), as_of=as_of)
+
+
+def _stored(spark, path, schema):
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def sink_append(spark, d):
+    """K1: two halves appended, the second by a run that is started again."""
+    out, path = _transformed(spark, d), _scratch(spark, "append")
+    late = F.col("event_timestamp") >= ts_literal(fx.INCREMENTAL_MARK)
+    write_table(out.where(~late | late.isNull()), path, "append", _PARTS)
+    for _ in range(2):
+        append_once(out.where(late), path, "second", _PARTS)
+    return _stored(spark, path, out.schema)
+
+
+def sink_overwrite_partitions(spark, d):
+    """K2: purchases of the later days replace all rows of those days."""
+    out, path = _transformed(spark, d), _scratch(spark, "overwrite")
+    write_table(out, path, "append", _PARTS)
+    write_table(out.where((F.col("event_timestamp") >= ts_literal(fx.AS_OF_TIME)) & (F.col("event_type") == "purchase")),
+                path, "overwrite", _PARTS)
+    return _stored(spark, path, out.schema)
+
+
+def catalog_table(spark, d):
+    """K4 + K9: a partitioned table made in the session catalog, rows inserted
+    by name and read by the table's name."""
+    out, name = _transformed(spark, d), f"lakewright_{uuid.uuid4().hex}"
+    create_table(spark, name, out.schema, _scratch(spark, "catalog"), _PARTS, comment="events")
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        insert_into(out.where(part), name)
+    return spark.table(name).select(*out.columns)
+
+
+def relocated_table(spark, d):
+    """M3: a partitioned table of orders pointed at a copy of its files."""
+    orders = fx.table(spark, d, "orders").withColumn("year", F.year("o_orderdate").cast("string"))
+    name, old, new = f"lakewright_{uuid.uuid4().hex}", _scratch(spark, "orders"), _scratch(spark, "orders-moved")
+    create_table(spark, name, orders.schema, old, ["year"])
+    insert_into(orders, name)
+    write_table(spark.table(name), new, "append", ["year"])
+    relocate(spark, name, new if "://" in new else "file://" + new.removeprefix("file:"))
+    _delete_path(spark, old)
+    return spark.table(name).select(*orders.columns)
+
+
+def compacted_table(spark, d):
+    """M1: events in many small files of some days and one file of the others,
+    compacted by the plan, the table read back."""
+    out, path = _transformed(spark, d), _scratch(spark, "compact")
+    early = F.col("event_timestamp") < ts_literal(fx.AS_OF_TIME)
+    for part in range(3):
+        write_table(out.where(early).where(F.pmod("id", F.lit(3)) == part), path, "append", _PARTS)
+    write_table(out.where(~early), path, "append", _PARTS)
+    compact_table(spark, path, _PARTS, fx.COMPACTION_TARGET_BYTES)
+    return _stored(spark, path, out.schema)
+
+
+def _stored_log(spark, d):
+    root = _scratch(spark, "log")
+    log = fx.event_log(spark, d)
+    L.write_commits(log.where(F.col("commit_id") <= fx.AS_OF_VERSION), root, fx.EVENT_LOG)
+    L.write_baseline(spark, root, fx.EVENT_LOG, fx.BASELINE_VERSION)
+    L.write_commits(log.where(F.col("commit_id") > fx.AS_OF_VERSION), root, fx.EVENT_LOG)
+    return root, log.columns
+
+
+def as_of_version_stored(spark, d):
+    """V1 on a stored log: a baseline and the commits after it."""
+    root, cols = _stored_log(spark, d)
+    return L.read_as_of(spark, root, fx.EVENT_LOG, version=fx.AS_OF_VERSION).select(*cols)
+
+
+def as_of_timestamp_stored(spark, d):
+    root, cols = _stored_log(spark, d)
+    return L.read_as_of(spark, root, fx.EVENT_LOG, timestamp=fx.AS_OF_TIME).select(*cols)
+
+
+def expire_log_stored(spark, d):
+    """M2 on a stored log: the rows left after retention."""
+    root, cols = _stored_log(spark, d)
+    L.expire_stored(spark, root, fx.EVENT_LOG, fx.AS_OF, fx.RETAIN_DAYS)
+    return L.read_log(spark, root, fx.EVENT_LOG).select(*cols)
+
+
+def incremental_load_table(spark, d):
+    """Events arrive as files in two lots; each run of the stream loads
+    what is new into a table that keeps each user's latest event."""
+    ev, source, target = fx.table(spark, d, "events"), _scratch(spark, "arrivals"), _scratch(spark, "loaded")
+    late = F.col("ts") >= ts_literal(fx.INCREMENTAL_MARK)
+    for lot in (~late, late):
+        ev.where(lot).write.mode("append").parquet(source)
+        incremental.incremental_load(spark, source, ev.schema, target, merge_keys=["user_id"],
+                                     partition_columns=["event_type"], order_by=["ts", "event_id"])
+    return _stored(spark, target, ev.schema)
+
+
+def etl_stored(spark, d):
+    """L1 with its write: create, append (started twice, as after a failure),
+    merge of a later batch, and the stored table read by name."""
+    name, home = f"lakewright_{uuid.uuid4().hex}", _scratch(spark, "etl")
+    policy = G.Policy("etl", row_filter="CAST(user_id AS BIGINT) < 50")
+    ev = fx.events_x1(spark, d)
+    first = ev.where(F.col("event_timestamp") < ts_literal(fx.AS_OF_TIME))
+    second = ev.where(F.col("event_timestamp") >= ts_literal(fx.INCREMENTAL_MARK))
+    for _ in range(2):
+        run_etl(spark, first, name, home, policy=policy, as_of=fx.AS_OF_TIME, run_id="first")
+    run_etl(spark, second, name, home, policy=policy, as_of=fx.AS_OF, mode="merge")
+    return spark.table(name)
+
+
 def merge_into_table(spark, d):
     """J1 on a stored table: the orders target written partitioned by year,
     the batch merged in by rewriting only the touched partitions, and the
@@ -383,4 +550,21 @@ QUERIES: dict[str, Query] = {
     "merge_into_table": merge_into_table,
     "compaction_plan": compaction_plan_q,
     "etl_job": etl_job,
+    "inventory_rows": inventory_rows,
+    "scan_text": scan_text,
+    "check_results_full": check_results_full,
+    "run_report_results": run_report_results,
+    "sink_json_rows": _rows_back("json"),
+    "sink_parquet_rows": _rows_back("parquet"),
+    "sink_csv_rows": _rows_back("csv"),
+    "sink_append": sink_append,
+    "sink_overwrite_partitions": sink_overwrite_partitions,
+    "catalog_table": catalog_table,
+    "relocated_table": relocated_table,
+    "compacted_table": compacted_table,
+    "as_of_version_stored": as_of_version_stored,
+    "as_of_timestamp_stored": as_of_timestamp_stored,
+    "expire_log_stored": expire_log_stored,
+    "incremental_load_table": incremental_load_table,
+    "etl_stored": etl_stored,
 }

@@ -13,19 +13,18 @@
 from __future__ import annotations
 
 import datetime as _dt
-import hashlib
 import json
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from lakewright.functions.columns import sql_type
-from lakewright.operators.checks import verify_equal
+from lakewright.operators.checks import fingerprint_sums, verify_equal
 from lakewright.operators.transform import conform_schema
-from lakewright.sources.files import read_csv, read_json, read_parquet, read_text
+from lakewright.sources.files import list_objects, read_csv, read_json, read_parquet, read_text
 
 WRITE_MODES = ("append", "overwrite")
 FORMATS = ("json", "parquet", "csv", "text")
@@ -65,6 +64,8 @@ def write_table(df: DataFrame, path: str, mode: str = "append",
     w.parquet(path)
 
 
+FILE_NUMBER = "_file"    # of a staged row, in a change that settles the files of the target
+
 # How partition directories name NULL and escape characters.
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 _PATH_ESCAPES = set('"#%\'*/:=?\\\x7f{[]^')
@@ -86,18 +87,46 @@ def _delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _finish_merge(spark: SparkSession, target_path: str, staging: str, parts: list[str]) -> list | None:
-    """Copy a completely staged merge over its target and drop the staging;
-    None if there is none.  Every step can be run again."""
+def pending_path(target_path: str) -> str:
+    """Where a change of a stored table is staged: beside the table, under a
+    name that only depends on the table's, so that any later application
+    finds what a lost one left."""
+    return f"{target_path.rstrip('/')}_pending"
+
+
+def read_if_there(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The parquet table at ``path``; None if there is no such path or no data
+    file in it.  Any other error is raised."""
     try:
-        ready = spark.read.parquet(f"{staging}/ready").collect()        # one row per touched partition value
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def seal_change(touched: DataFrame, staging: str, schema: StructType, files: int = 0) -> None:
+    """Seal a staged change: from here on it is carried out, by this or by a
+    later application.  ``touched`` has the partition values and ``kept``;
+    ``files`` says that the staged rows carry the number of their file."""
+    (touched.select("*", F.lit(schema.json()).alias("target_schema"), F.lit(files).alias("files"))
+     .coalesce(1).write.parquet(f"{staging}/ready"))
+
+
+def _finish_merge(spark: SparkSession, target_path: str, staging: str, parts: list[str]) -> list | None:
+    """Copy a completely staged change over its target and drop the staging;
+    None if there is none.  Every step can be run again."""
+    sealed = read_if_there(spark, f"{staging}/ready")
+    if sealed is None:
         _delete_path(spark, staging)                                    # staged in part only
         return None
-    schema = StructType.fromJson(json.loads(ready[0]["target_schema"]))
-    write_table(spark.read.schema(schema).parquet(f"{staging}/data"), target_path, "overwrite", parts)
+    ready = sealed.collect()                                            # one row per touched partition value
+    schema, files = StructType.fromJson(json.loads(ready[0]["target_schema"])), ready[0]["files"]
+    if files:
+        data = spark.read.schema(StructType(schema.fields + [StructField(FILE_NUMBER, IntegerType())])).parquet(f"{staging}/data")
+        write_table(data.repartitionById(files, FILE_NUMBER).drop(FILE_NUMBER), target_path, "overwrite", parts, rebalance=False)
+    else:
+        write_table(spark.read.schema(schema).parquet(f"{staging}/data"), target_path, "overwrite", parts)
     for r in ready:
         if not r["kept"]:
             sub = "/".join(f"{_escape_path_name(c)}={_partition_dir_value(r[c])}" for c in parts)
@@ -107,6 +136,15 @@ def _finish_merge(spark: SparkSession, target_path: str, staging: str, parts: li
     return ready
 
 
+def only_partitions(df: DataFrame, parts: list[str], rows: list, types: StructType | None = None) -> DataFrame:
+    """``df`` narrowed to about the partitions of ``rows`` by literals, which
+    the scan uses to list no others."""
+    for c in parts:
+        if types is None or types[c].dataType == df.schema[c].dataType:
+            df = df.where(df[c].isin(sorted({r[c] for r in rows} - {None})) | df[c].isNull())
+    return df
+
+
 def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
                     partition_columns: list[str], update_columns: list[str] | None = None,
                     op_column: str | None = None, staging_path: str | None = None) -> DataFrame:
@@ -116,33 +154,30 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     Touched partitions are those of the batch rows plus those of target
     rows whose key the batch matches (an update may move a row to another
     partition); only they are read.  Their new content is written to a
-    staging folder in the shared checkpoint location first (the target is
-    never overwritten while it is read), sealed by a ``ready`` table, then
-    copied over the target with dynamic partition overwrite; touched
-    partitions left without rows are removed.  The staging folder belongs to
-    the target path: a merge first finishes a sealed one that a lost driver
-    left behind and drops an unsealed one, so a rerun gives the same table.
+    folder beside the target first (the target is never overwritten while it
+    is read), sealed by a ``ready`` table, then copied over the target with
+    dynamic partition overwrite; touched partitions left without rows are
+    removed.  The folder's name follows from the target's: a merge, of any
+    application, first finishes a sealed one that a lost driver left behind
+    and drops an unsealed one, so a rerun gives the same table.
     One merge at a time may run on a target.  Returns the touched partition
     values with a ``kept`` flag (False = the partition is now empty and was
     removed).
     """
     from lakewright.operators.merge import upsert
     from lakewright.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS
-    from lakewright.session import require_checkpoint_dir
 
     spark = source.sparkSession
     parts = list(partition_columns)
-    place = hashlib.sha256(target_path.rstrip("/").encode()).hexdigest()
-    staging = staging_path or f"{require_checkpoint_dir(spark).rstrip('/')}/merge-staging-{place}"
+    staging = staging_path or pending_path(target_path)
     _finish_merge(spark, target_path, staging, parts)
     target = spark.read.parquet(target_path)
-    sealed = F.lit(target.schema.json()).alias("target_schema")
     if not parts:
         # Unpartitioned: the whole table is the one touched partition.
         new = upsert(target, source, keys, update_columns=update_columns, op_column=op_column)
         write_table(new.select(*target.columns), f"{staging}/data", "overwrite")
         one = spark.createDataFrame([(True,)], "kept boolean")
-        one.select("kept", sealed).coalesce(1).write.parquet(f"{staging}/ready")
+        seal_change(one, staging, target.schema)
         _finish_merge(spark, target_path, staging, parts)
         return one
     src_keys = source.select(*keys).distinct()
@@ -155,10 +190,7 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     tb = F.broadcast(touched) if small else touched
     # NULL-safe: a NULL partition value is a partition like any other.
     same_part = reduce(lambda a, b: a & b, [target[c].eqNullSafe(tb[c]) for c in parts])
-    near = target
-    for c in parts:                           # literals, so that the scan lists touched partitions only
-        if touched.schema[c].dataType == target.schema[c].dataType:
-            near = near.where(target[c].isin(sorted({r[c] for r in touched_rows} - {None})) | target[c].isNull())
+    near = only_partitions(target, parts, touched_rows, touched.schema)
     old = near.join(tb, same_part, "left_semi")
     new = upsert(old, source, keys, update_columns=update_columns, op_column=op_column)
     write_table(new.select(*target.columns), f"{staging}/data", "overwrite", parts)
@@ -166,11 +198,50 @@ def merge_into_path(source: DataFrame, target_path: str, keys: list[str],
     kept = {tuple(r) for r in staged.select(*parts).distinct().collect()}
     schema = StructType(touched.schema.fields + [StructField("kept", BooleanType(), False)])
     result = spark.createDataFrame([(*tuple(r), tuple(r) in kept) for r in touched_rows], schema)
-    result.select("*", sealed).coalesce(1).write.parquet(f"{staging}/ready")
+    seal_change(result, staging, target.schema)
     _finish_merge(spark, target_path, staging, parts)
     return result
 
 
+def append_once(df: DataFrame, path: str, run_id: str, partition_columns: list[str] | None = None) -> int:
+    """K1 that can be run again: append ``df`` to the table at ``path`` once for
+    ``run_id``, whatever happened to earlier attempts; returns the rows added.
+
+    The files there are before the append are noted beside the table first.
+    An attempt that finds such a note without its end removes the files that
+    have come since, and appends anew; one that finds the end adds nothing.
+    One writer at a time may work on a table.
+    """
+    spark = df.sparkSession
+    run = f"{path.rstrip('/')}_runs/{run_id}"
+    done = read_if_there(spark, f"{run}/done")
+    if done is not None:
+        return done.first()["rows"]
+    note = read_if_there(spark, f"{run}/before")
+    now = _data_files(spark, path)
+    if note is None:
+        now.coalesce(1).write.mode("overwrite").parquet(f"{run}/before")
+    else:
+        for r in now.join(note, "path", "left_anti").collect():         # the files of one broken append
+            _delete_path(spark, r["path"])
+    seen = Observation("appended")
+    if partition_columns:
+        df = df.hint("rebalance", *partition_columns)
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, "append", partition_columns, rebalance=False)
+    rows = int(seen.get["rows"])
+    spark.createDataFrame([(run_id, rows)], "run_id string, rows long").coalesce(1).write.mode("overwrite").parquet(f"{run}/done")
+    return rows
+
+
+def _data_files(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return list_objects(spark, path).where("name like '%.parquet'").select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string")
+
+
 def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -203,13 +274,22 @@ def write_verified(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     compare.  Returns one row: left_rows (written), right_rows (read back),
     and ``equal``; a write that loses or changes rows is not equal.  JSON
     and CSV carry timestamps with microseconds (Spark's default text format
-    would cut them to milliseconds, which this check would report)."""
+    would cut them to milliseconds, which this check would report).
+
+    ``method="observed"`` takes the sums of the row fingerprints while the rows
+    are written, in the writing tasks, so the source is read once; they are
+    held against the sums of the rows read back.  The other methods of
+    ``verify_equal`` read the source a second time."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}: use one of {FORMATS}")
     if fmt == "text" and [f.dataType.simpleString() for f in df.schema.fields] != ["string"]:
         raise ValueError("the text format takes exactly one string column")
     spark = df.sparkSession
     w = df.write.mode(mode)
+    read = df.columns
+    if method == "observed":
+        seen = Observation("written")
+        w = df.observe(seen, *fingerprint_sums(df)).write.mode(mode)
     if fmt == "csv":
         w.options(**TEXT_TIMESTAMP_OPTIONS).option("header", True).csv(path)
         back = read_csv(spark, path, df.schema, header=True, **TEXT_TIMESTAMP_OPTIONS)
@@ -222,7 +302,12 @@ def write_verified(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     else:
         w.option("compression", "zstd").parquet(path)
         back = read_parquet(spark, path, df.schema)
-    return verify_equal(df, back.select(*df.columns), method=method)
+    if method == "observed":
+        got = back.select(*read).agg(*fingerprint_sums(df)).first().asDict()
+        put = seen.get
+        equal = all(put[k] == got[k] for k in got)
+        return spark.createDataFrame([(put["n"], got["n"], equal)], "left_rows bigint, right_rows bigint, equal boolean")
+    return verify_equal(df, back.select(*read), method=method)
 
 
 def save_report(report: DataFrame, output_path: str, prefix: str = "report",
