@@ -14,7 +14,8 @@ holds a matching block must have one of a template's first
 ``n - ceil(t * n) + 1`` tokens (prefix filter) and as many of its tokens as the
 threshold asks for (length filter).  In a block, the rarest token's place bounds
 the overlap by the tokens from there on in template and block (positional
-filter) before distinct tokens are counted.
+filter) before distinct tokens are counted.  ``MARKS`` tell the licenses of a
+family apart: a block with another one's distinguishing word does not match.
 
 Defined results: null, empty and wordless texts have 0 words, no places, empty
 labels and score 0; repeated rows are judged alike.
@@ -44,6 +45,11 @@ TEMPLATES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-text",
     "all rights reserved no part of this publication may be reproduced": "all-rights-reserved",
 }
+# Label -> (words one of which a block must have, words it may not have), which tell
+# the licenses of a family apart.
+MARKS = {"cc-by-nc-notice": (["nc", "noncommercial"], ["sa", "sharealike", "nd", "noderivatives"]),
+         "cc-by-sa-notice": (["sa", "sharealike"], ["nc", "noncommercial", "nd", "noderivatives"]),
+         "cc-by-notice": ([], ["nc", "noncommercial", "sa", "sharealike", "nd", "noderivatives"])}
 THRESHOLD = 80
 BLOCK_WORDS = 32
 
@@ -75,9 +81,11 @@ def token_order(words: DataFrame, tokens: list[str]) -> list[str]:
     return sorted(tokens, key=lambda t: (seen.get(t, 0), t))
 
 
-def template_matches(words: DataFrame, templates: dict[str, str], threshold: int) -> DataFrame:
+def template_matches(words: DataFrame, templates: dict[str, str], threshold: int,
+                     marks: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
     """(key, label, containment) of every matching block, best per label.
-    ``words``: key, words."""
+    ``words``: key, words.  ``marks``: per label the words of which a block must
+    have one, and those it may not have."""
     spark = words.sparkSession
     order = token_order(words, sorted({t for x in templates for t in x.split()}))
     rank = {t: i for i, t in enumerate(order)}
@@ -87,8 +95,9 @@ def template_matches(words: DataFrame, templates: dict[str, str], threshold: int
         need = ceil(threshold * len(tokens) / 100)
         width = max(BLOCK_WORDS, 2 * len(text.split()))
         for token in tokens[:len(tokens) - need + 1]:
-            rows.append((token, label, tokens, need, width))
-    index = spark.createDataFrame(rows, "token string, label string, tokens array<string>, need int, width int")
+            rows.append((token, label, tokens, need, width, *(marks or {}).get(label, ([], []))))
+    index = spark.createDataFrame(rows, "token string, label string, tokens array<string>, need int, width int, "
+                                  "must array<string>, may_not array<string>")
     first = F.array(*[F.lit(t) for t in sorted({r[0] for r in rows})])
     # The index has (templates x prefix) rows, a size fixed by the templates given.  A document meets
     # a template once: by the rarest of its tokens that it has.
@@ -96,29 +105,34 @@ def template_matches(words: DataFrame, templates: dict[str, str], threshold: int
     pairs = (words.where(F.arrays_overlap("words", first))
              .select("key", "words", F.explode(F.array_intersect("words", first)).alias("token"))
              .join(F.broadcast(index), "token").where((F.size(mine) >= F.col("need")) & (F.get(mine, F.lit(0)) == F.col("token"))))
-    # Where a template's tokens stand, and each one's place in the order.
-    hits = pairs.select("key", "label", "need", "width", F.size("tokens").alias("n"), F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("at"), F.array_position("tokens", w).cast("int").alias("place"))),
-        lambda h: h["place"] > 0).alias("hits"))
-    blocks = (hits.select("key", "label", "need", "width", "n", "hits", F.posexplode("hits").alias("i", "start"))
-              .select("key", "label", "need", "n", F.transform(
-                  F.filter(F.slice("hits", F.col("i") + 1, F.col("width")), lambda h: h["at"] < F.col("start.at") + F.col("width")),
-                  lambda h: h["place"]).alias("block")))
-    most = F.least(F.col("n") - F.array_min("block") + 1, F.size("block"))
-    both = F.size(F.array_distinct("block"))
+    # Where a template's tokens and marks stand: twice a token's place in the order, and one more
+    # for a word asked for; -1 for a word not allowed.
+    hits = pairs.select("key", "label", "need", "width", F.size("tokens").alias("n"), F.size("must").alias("asks"), F.filter(
+        F.transform("words", lambda w, i: F.struct(i.alias("at"), F.when(F.array_contains("may_not", w), -1).otherwise(
+            2 * F.array_position("tokens", w).cast("int") + F.array_contains("must", w).cast("int")).alias("code"))),
+        lambda h: h["code"] != 0).alias("hits"))
+    # A row of a window holds the window only, so a text needs as much as its hits times the width.
+    windows = F.transform("hits", lambda h, i: F.when(h["code"] > 1, F.transform(
+        F.filter(F.slice("hits", i + 1, F.col("width")), lambda x: x["at"] < h["at"] + F.col("width")), lambda x: x["code"])))
+    blocks = (hits.select("key", "label", "need", "n", "asks", F.explode(windows).alias("block")).where("block is not null")
+              .where("(asks = 0 or exists(block, c -> c % 2 = 1)) and not array_contains(block, -1)")
+              .select("key", "label", "need", "n", F.expr("filter(transform(block, c -> c div 2), p -> p > 0)").alias("places")))
+    most = F.least(F.col("n") - F.array_min("places") + 1, F.size("places"))
+    both = F.size(F.array_distinct("places"))
     return (blocks.where(most >= F.col("need")).where(both >= F.col("need"))
             .groupBy("key", "label").agg(F.max(both / F.col("n")).alias("containment")))
 
 
 def license_scan(docs: DataFrame, base: dict[str, str] | None = None, templates: dict[str, str] | None = None,
-                 threshold: int = THRESHOLD) -> DataFrame:
+                 threshold: int = THRESHOLD, marks: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels, score (the best containment; 1 with a base
-    phrase)."""
-    base, templates = base or BASE, templates or TEMPLATES
+    phrase).  A text of any length is scanned whole, in memory that grows with
+    it; labels are sorted, so ties leave nothing open."""
+    base, templates, marks = base or BASE, templates or TEMPLATES, MARKS if marks is None else marks
     d = (docs_of(docs).withColumn("words", words_of(F.col("text")))
          .select("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).alias("key"), "words"))
-    found = template_matches(d.select("key", "words"), templates, threshold)
+    found = template_matches(d.select("key", "words"), templates, threshold, marks)
     method = stage(found.groupBy("key").agg(F.collect_set("label").alias("method"), F.max("containment").alias("best")), "licenses")
     phrases = list(base)
     per = (d.withColumn("joined", F.when(F.arrays_overlap("words", F.array(*[F.lit(p.split()[0]) for p in phrases])), _joined(F.col("words")))
