@@ -133,7 +133,8 @@ def digests(docs: DataFrame, carry: list[str] = (), with_bytes: bool = False) ->
 
 def _best() -> Column:
     """The row that stays: most code points, smallest doc_id, null last."""
-    return F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("named"), (-F.col("doc_id")).alias("neg_id")))
+    turned = F.bitwise_not(F.col("doc_id"))                   # falls as doc_id rises, and has no sign to overflow
+    return F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("named"), turned.alias("turned_id")))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def exact_dedup(docs: DataFrame, snapshot_filter: Column | None = None) -> DataF
     bad = byte_conflicts(d, groups).select("text_sha256").first()
     if bad is not None:
         raise ValueError(f"different texts share the digest {bad[0]}")
-    keep = F.when(F.col("best.named"), -F.col("best.neg_id"))
+    keep = F.when(F.col("best.named"), F.bitwise_not(F.col("best.turned_id")))
     out = rows.join(groups, "text_sha256").withColumn("keep_id", keep)
     best = (out.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("best.n_chars")))
             .groupBy("text_sha256").agg(F.min("row").alias("keep_row")))
@@ -231,8 +232,13 @@ def exact_dedup(docs: DataFrame, snapshot_filter: Column | None = None) -> DataF
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of repeated rows with one
-    doc_id one stays."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__keep"))
-    named = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
-    return named.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stay, all columns: of equal texts one row, known
+    by its doc_id, digest and length, whatever ids the others have.  Rows that
+    agree in all three are repeats, and one of them stays."""
+    kept = (exact_dedup(docs).where("kept")
+            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), F.col("n_chars").alias("__length")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mine = (docs.withColumn("__sha", F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256))
+            .withColumn("__chars", F.length(text).cast("long")))
+    same = ((mine["__sha"] == kept["__digest"]) & mine["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (mine["__chars"] == kept["__length"]))
+    return mine.join(kept, same, "left_semi").dropDuplicates(["__sha"]).drop("__sha", "__chars")
