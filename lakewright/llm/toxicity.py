@@ -46,6 +46,7 @@ SUBSTITUTION, COLLAPSE, DROP = 0.7, 0.4, 0.5
 _EDGE = "".join(c for c in "!|+(.,;:?\"')[]{}<>#%&*=~`^/\\-_$@€£")
 _NEUTRAL = "".join(c for c in _EDGE if c not in LOOKALIKES)
 _ODD = re.compile(r"([^\W\d_])\1|[" + re.escape("".join(LOOKALIKES) + MARKS) + "]")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _SINGLE = re.compile(r"[^\W\d_]|[0134578@$!|]")
 
 
@@ -257,6 +258,7 @@ def words_of_text(text: str, restored: dict[str, str]) -> set[str]:
 
 
 _NOTHING = (None, (), frozenset())
+_START = frozenset([("", "")])
 
 
 class ToxicityModel:
@@ -265,14 +267,16 @@ class ToxicityModel:
 
     def __init__(self, counts: CharCounts | None, weights: dict[str, float], calibration: np.ndarray, size: int = 100_000):
         self.counts, self.weights, self.calibration, self.size = counts, weights, calibration, size
-        self.begin = {p[1:] for p in weights if p[0] == "^"}
-        self.whole = {p[1:] for p in weights if p[0] == "="}
+        self.begin_weight = {p[1:]: v for p, v in weights.items() if p[0] == "^"}
+        self.weight_of = {p[1:]: v for p, v in weights.items() if p[0] == "="}
+        self.begin, self.whole = set(self.begin_weight), set(self.weight_of)
         self.alive = {w[:n] for w in self.begin | self.whole for n in range(len(w) + 1)}
         self.known: dict[str, tuple] = {}
         self.joined: dict[tuple, bool] = {}
+        self.walked: dict[tuple, tuple] = {}
 
     def __getstate__(self):                                # the table and what is known stay at home
-        return {**self.__dict__, "counts": None, "known": {}, "joined": {}}
+        return {**self.__dict__, "counts": None, "known": {}, "joined": {}, "walked": {}}
 
     def _walk(self, states: frozenset, written: str) -> tuple[bool, frozenset]:
         """Follow the lattice of ``written`` from (letters so far, last written
@@ -297,17 +301,30 @@ class ToxicityModel:
 
     def weigh(self, words: list[str]) -> tuple[str, float] | None:
         """The heaviest of some words, if any weighs."""
-        weight, word = max(((self.weights.get(p, 0.0), w) for w in words if w[:3] in self.alive for p in _parts(w)),
-                           default=(0.0, ""))
-        return (word, weight) if weight else None
+        best, get, begins = (0.0, ""), self.weight_of.get, self.begin_weight.get
+        for w in words:
+            if w[:3] in self.alive:
+                weight = max(get(w, 0.0), begins(w[:3], 0.0), begins(w[:4], 0.0), begins(w[:5], 0.0), begins(w[:6], 0.0))
+                best = max(best, (weight, w))
+        return (best[1], best[0]) if best[0] else None
 
     def _look(self, token: str) -> tuple:
         """A token's heaviest plain word, those of its readings that can weigh,
         and where its letters end within something that weighs."""
+        plain = token.strip(_NEUTRAL)
+        if plain.isalpha():
+            if not _DOUBLE.search(plain):               # one reading only: the word itself
+                ends = plain in self.alive and not any(plain[:n] in self.begin for n in range(3, 7))
+                weight = self.weigh([plain])
+                return (weight, (), frozenset([(plain, plain[-1])]) if ends else frozenset()) if ends or weight else _NOTHING
+            if plain[:3] not in self.alive and not _DOUBLE.search(plain[:3]):
+                return _NOTHING                         # every reading begins with these letters
+            weighs, states = self._walk(_START, plain)
+            found = self.weigh([plain]), (plain,) if weighs else (), frozenset(s for s in states if s[0])
+            return found if any(found) else _NOTHING
         words, odd = readings(token)
-        start = frozenset([("", "")])
-        found = (self.weigh(words), tuple(o for o in odd if self._walk(start, o)[0]),
-                 frozenset(s for s in self._walk(start, token.strip(_NEUTRAL))[1] if s[0]))
+        found = (self.weigh(words), tuple(o for o in odd if self._walk(_START, o)[0]),
+                 frozenset(s for s in self._walk(_START, plain)[1] if s[0]))
         return found if any(found) else _NOTHING
 
     def _spans(self, tokens: list[str], known: dict[str, tuple]) -> set[str]:
@@ -328,7 +345,13 @@ class ToxicityModel:
                     alive = self.joined[key] = not key[1].isalnum() or any(self._walk(states, key[1]))
                 if not alive:
                     break
-                weighs, states = self._walk(states, tokens[j].strip(_NEUTRAL))
+                pair = (states, tokens[j])
+                walk = self.walked.get(pair)
+                if walk is None:
+                    if len(self.walked) >= self.size:
+                        self.walked.clear()
+                    walk = self.walked[pair] = self._walk(states, tokens[j].strip(_NEUTRAL))
+                weighs, states = walk
                 j += 1
                 if weighs:
                     a, z = i, j

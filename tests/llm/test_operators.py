@@ -482,3 +482,26 @@ def test_pipeline(spark):
     assert rows and all(n == 1024 or n & (n - 1) == 0 for n in lengths.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "exact_dedup", "near_duplicates", "decontamination", "packing"]
+
+
+def test_license_marks_tell_a_family_apart(spark):
+    texts = {1: "licensed under CC BY-SA 4.0", 2: "licensed under CC BY 4.0", 3: "licensed under CC BY-NC 4.0 now",
+             4: "This work is licensed under a Creative Commons Attribution 4.0 International License",
+             5: "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"}
+    rows = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(edge(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()}
+    assert rows == {1: "cc-by,cc-by-sa-notice", 2: "cc-by", 3: "cc-by,cc-by-nc-notice", 4: "cc-by-notice", 5: ""}
+
+
+def test_license_scan_of_a_long_text_of_template_words(spark):
+    text = "license work the under this apache licensed " * 20_000 + "this work is licensed under the gnu general public license version 3"
+    r = license_scan.license_scan(edge(spark, [(1, text, "en", "s")])).first()
+    assert r["n_words"] == 140_012 and "gpl-notice" in r["labels"] and r["base_labels"] == "gpl"
+
+
+def test_dropping_exact_duplicates_goes_by_row(spark):
+    low = -(2 ** 63)
+    rows = [(4, "a b"), (4, "ab"), (0, "b"), (1, "b"), (1, "c"), (low, "d"), (7, "d"), (8, " d"), (None, "e"), (None, "e"), (2, None), (3, "")]
+    kept = exact_dedup.drop_exact_duplicates(edge(spark, [(i, t, "en", "s") for i, t in rows])).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(4, "a b"), (0, "b"), (1, "c"), (8, " d"), (None, "e"), (2, None)], key=str)
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(edge(spark, [(low, "x", "en", "s"), (5, "x", "en", "s")])).collect()}
+    assert got == {low: low, 5: low}
