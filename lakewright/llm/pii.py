@@ -12,11 +12,15 @@ add spans at instances the base does not cover.
 
 Only DataFrame functions are used.  Positions count code points.  Defined
 results: null and empty texts have no spans (the digest is that of the empty
-string); repeated rows are judged alike; an empty table gives no rows.
+string); repeated rows are judged alike; an empty table gives no rows.  A very
+long text is cut into pieces of words, and places are taken from running sums,
+so that time and memory grow with its length and not with its square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ ROUNDS = 3
 MIN_SEEDS = 3
 CONFIDENCE = 0.8
 SPACE = r"[\x20\x09-\x0D]"
+PIECE = 128                        # words in a piece of a text, spans in a group
+BLOCK = 64
 
 
 def _digits(m: Column) -> Column:
@@ -69,22 +75,44 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(values: Column, length: int) -> Column:
+    """An array cut into arrays of ``length``; an empty one is one empty block."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / length).cast("int"))),
+                       lambda j: F.slice(values, j * length + 1, F.lit(length)))
+
+
+def running_starts(lengths: Column, levels: int = 2) -> Column:
+    """For every element the sum of all before it.  Sums are taken in blocks and
+    blocks of blocks, so the work is a constant number of steps an element."""
+    def inside(block: Column, first: Column) -> Column:
+        return F.transform(block, lambda _, i: first + F.aggregate(
+            F.slice(block, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    if levels == 0:
+        return _let(lengths, lambda ls: inside(ls, F.lit(0)))
+    return _let(_blocks(lengths, BLOCK), lambda bs: _let(
+        running_starts(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), levels - 1),
+        lambda firsts: F.flatten(F.transform(bs, lambda b, j: inside(b, F.get(firsts, j))))))
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """Valid matches as structs (start, kind number, end).  The gaps that
     ``split`` leaves and the matches alternate, which gives their places."""
     pattern = PATTERNS[kind]
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.arrays_zip(F.transform(gaps, F.length).alias("g"), matches.alias("m"))
-    none = F.array().cast("array<struct<start:int,k:int,end:int>>")
-    walk = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNotNull() & _valid(kind, x["m"]), F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + x["g"]).alias("start"), F.lit(KINDS.index(kind)).alias("k"),
-                (acc["at"] + x["g"] + F.length(x["m"])).alias("end"))))).otherwise(acc["out"]).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(_WORTH[kind](text), walk).otherwise(none)
+    parts = F.arrays_zip(F.transform(gaps, F.length).alias("g"), matches.alias("m"))
+
+    def placed(ps: Column) -> Column:
+        lengths = F.transform(ps, lambda x: x["g"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+        return _let(running_starts(lengths), lambda at: F.filter(F.transform(ps, lambda x, i: F.when(
+            x["m"].isNotNull() & _valid(kind, x["m"]), F.struct(
+                (F.get(at, i) + x["g"]).alias("start"), F.lit(KINDS.index(kind)).alias("k"),
+                (F.get(at, i) + x["g"] + F.length(x["m"])).alias("end")))), lambda s: s.isNotNull()))
+    return F.when(_WORTH[kind](text), _let(parts, placed)).otherwise(F.array().cast("array<struct<start:int,k:int,end:int>>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -98,22 +126,48 @@ def _written(spans: Column) -> Column:
         ":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _pieces(text: Column, base: Column) -> Column:
+    """The text's words in pieces of ``PIECE``: at (place of the first word), words,
+    the words next to the piece (prev2, prev1, next1) and the base spans that touch it."""
+    def touching(spans: Column, low: Column, high: Column) -> Column:
+        return F.filter(spans, lambda s: (s["start"] < high) & (s["end"] > low))
+
+    def cut(ws: Column, groups: Column, lengths: Column, starts: Column) -> Column:
+        def piece(length: Column, j: Column) -> Column:
+            low = F.get(starts, j)
+            near = F.filter(groups, lambda g: (g["low"] < low + length) & (g["high"] > low))
+            return F.struct(low.alias("at"), F.slice(ws, j * PIECE + 1, F.lit(PIECE)).alias("words"),
+                            F.get(ws, j * PIECE - 2).alias("prev2"), F.get(ws, j * PIECE - 1).alias("prev1"),
+                            F.get(ws, j * PIECE + PIECE).alias("next1"),
+                            F.flatten(F.transform(near, lambda g: touching(g["spans"], low, low + length))).alias("base"))
+        return F.transform(lengths, piece)
+    # Base spans go by start, so blocks of them with their outer borders need not be searched one by one.
+    groups = F.transform(F.filter(_blocks(base, PIECE), lambda b: F.size(b) > 0), lambda b: F.struct(
+        F.get(b, F.lit(0))["start"].alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("spans")))
+    return _let(F.split(text, SPACE), lambda ws: _let(groups, lambda gs: _let(
+        F.transform(_blocks(ws, PIECE), lambda b: F.aggregate(b, F.lit(0), lambda a, w: a + F.length(w) + 1)),
+        lambda ls: _let(running_starts(ls), lambda at: cut(ws, gs, ls, at)))))
+
+
 def _tokens(d: DataFrame) -> DataFrame:
     """Identifier-like tokens of texts that have any, with their places and the
     words around them: key, start, end, instance, k (of the base span that
     begins in the token, else null), covered, left1, left2, right1."""
-    words = F.split("text", SPACE)
-    some = d.where(F.col("text").rlike("[0-9@]")).select("key", "base", words.alias("words"))
-    hits = some.select("key", "base", "words", F.explode(F.filter(
+    pieces = (d.where(F.col("text").rlike("[0-9@]")).select("key", F.explode(_pieces(F.col("text"), F.col("base"))).alias("p"))
+              .select("key", "p.*"))
+    hits = pieces.select("*", F.explode(F.filter(
         F.transform("words", lambda w, i: F.when(w.rlike("[0-9@]"), i)), lambda i: i.isNotNull())).alias("i"))
     clean = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^\W+|\W+$", "")
-    word = F.get("words", F.col("i"))
+    i = F.col("i")
+    word = F.get("words", i)
     lead = F.length(word) - F.length(F.regexp_replace(word, r"^[^\w@+]+", ""))
     core = F.regexp_replace(F.regexp_replace(word, r"^[^\w@+]+", ""), r"[^\w]+$", "")
-    before = F.when(F.col("i") > 0, F.length(F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")) + 1).otherwise(0)
-    back = lambda n: clean(F.when(F.col("i") >= n, F.get("words", F.col("i") - n)))
-    t = hits.select("key", "base", (before + lead).alias("start"), core.alias("instance"),
-                    back(1).alias("left1"), back(2).alias("left2"), clean(F.get("words", F.col("i") + 1)).alias("right1"))
+    before = F.when(i > 0, F.length(F.array_join(F.slice("words", F.lit(1), i), " ")) + 1).otherwise(0)
+    left1 = F.when(i > 0, F.get("words", i - 1)).otherwise(F.col("prev1"))
+    left2 = F.when(i > 1, F.get("words", i - 2)).when(i == 1, F.col("prev1")).otherwise(F.col("prev2"))
+    right1 = F.when(i + 1 < F.size("words"), F.get("words", i + 1)).otherwise(F.col("next1"))
+    t = hits.select("key", "base", (F.col("at") + before + lead).alias("start"), core.alias("instance"),
+                    clean(left1).alias("left1"), clean(left2).alias("left2"), clean(right1).alias("right1"))
     t = t.where("instance <> ''").withColumn("end", F.col("start") + F.length("instance"))
     mine = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     return (t.withColumn("mine", mine).select(
