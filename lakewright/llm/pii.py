@@ -6,9 +6,11 @@ patterns (one or two words to the left, or one on either side), a pattern
 points at identifier-like tokens (with a digit or ``@``), and a bipartite graph
 of patterns and instances is scored for a few rounds in Spark.  A pattern's
 confidence in a kind is the occurrence-weighted mean of its instances' belief,
-an instance's belief the confidence of its best pattern (1 for seeds, 0 for
-seeds of another kind).  Patterns with enough distinct seeds and confidence
-add spans at instances the base does not cover.
+an instance's belief the confidence of its best pattern that is ``LEARN`` or
+more for certain (1 for seeds, 0 for seeds of another kind): unseen identifiers
+in a context of mostly seeds are missing evidence, seeds of another kind are
+evidence against.  Patterns with enough distinct seeds and confidence add spans
+at instances the base does not cover.
 
 Only DataFrame functions are used.  Positions count code points.  Defined
 results: null and empty texts have no spans (the digest is that of the empty
@@ -47,6 +49,8 @@ _WORTH = {
 ROUNDS = 3
 MIN_SEEDS = 3
 CONFIDENCE = 0.8
+LEARN = 0.6                        # confidence from which a pattern's unseen instances are believed as much as it is,
+SURE = 1.64                        # less so many standard errors: few occurrences prove little
 SPACE = r"[\x20\x09-\x0D]"
 PIECE = 128                        # words in a piece of a text, spans in a group
 BLOCK = 64
@@ -202,13 +206,14 @@ def score_patterns(tokens: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN
         scored = (edges.select("pattern", "instance", "n").join(belief, "instance")
                   .groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("belief")).alias("good"))
                   .join(total, "pattern").join(support, ["pattern", "k"])
-                  .select("pattern", "k", "seeds", (F.col("good") / (F.col("total") + 0.5)).alias("confidence")))
+                  .select("pattern", "k", "seeds", "total", (F.col("good") / (F.col("total") + 0.5)).alias("confidence")))
         scored = stage(scored, "patterns")
-        strong = scored.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= confidence))
-        learnt = (edges.select("pattern", "instance").join(strong, "pattern")
+        c = F.least(F.col("confidence"), F.lit(1.0))
+        likely = scored.where((F.col("seeds") >= min_seeds) & (c - SURE * F.sqrt(c * (1 - c) / F.col("total")) >= LEARN))
+        learnt = (edges.select("pattern", "instance").join(likely, "pattern")
                   .groupBy("instance", "k").agg(F.max("confidence").alias("belief")).join(fixed, "instance", "left_anti"))
         belief = stage(seeds.select("instance", "k").distinct().withColumn("belief", F.lit(1.0)).unionByName(learnt), "belief")
-    return scored.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= confidence))
+    return scored.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= confidence)).drop("total")
 
 
 def _count(kind: int) -> Column:
