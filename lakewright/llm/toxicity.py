@@ -386,11 +386,10 @@ class ToxicityModel:
             units |= self._spans(tokens, known)
         return len(distinct), list(found), list(found.values()), sorted(units)
 
-    def evidence(self, n: int, words: list[str], weights: list[float], units: list[str], restored: dict[str, str]) -> list[float]:
+    def evidence(self, n: int, words: list[str], weights: list[float], restored: list[str] | None) -> list[float]:
         weight = dict(zip(words, weights))
-        for u in units:
-            if u in restored:
-                weight.update(v for w in restored[u].split() if (v := self.weigh([w])))
+        for r in restored or ():
+            weight.update(v for w in r.split() if (v := self.weigh([w])))
         return [sum(weight.values()), max(weight.values(), default=0.0), len(weight) / np.sqrt(1.0 + n), np.log1p(n) / 5]
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -491,23 +490,26 @@ def _evidence(docs: DataFrame, models: dict[int, ToxicityModel], counts: CharCou
                     "doc_id": part.column("doc_id"), "half": part.column("half"), "y": part.column("y"), "n": pa.array(n, pa.int64()),
                     "words": pa.array(words, pa.list_(pa.string())), "weights": pa.array(weights, pa.list_(pa.float64())),
                     "units": pa.array(units, pa.list_(pa.string()))})
-    prepared = stage(docs.mapInArrow(prepare, schema), "evidence")
+    prepared = stage(docs.mapInArrow(prepare, schema).withColumn("row", F.monotonically_increasing_id()), "evidence")
 
     def weighing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [any(m.weigh([w]) for m in models.values() for w in r.split()) for r in b.column("restored").to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
-    # Distinct spellings that restore to something that weighs; all others come to nothing.
-    restored = _collected(restore(prepared.select(F.explode("units").alias("unit")), counts)
-                          .mapInArrow(weighing, "unit string, restored string"))
+    # Distinct spellings that restore to something that weighs; all others come to nothing.  They
+    # go back to the texts by a join: how many there are grows with the corpus.
+    restored = restore(prepared.select(F.explode("units").alias("unit")), counts).mapInArrow(weighing, "unit string, restored string")
+    told = (prepared.select("row", F.explode("units").alias("unit")).join(restored, "unit")
+            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("unit", "restored"))).alias("told"))
+            .select("row", F.col("told.restored").alias("restored")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [models[h].evidence(*r, restored) for h, *r in zip(*(b.column(c).to_pylist() for c in (
-                "half", "n", "words", "weights", "units")))]
+            x = [models[h].evidence(*r) for h, *r in zip(*(b.column(c).to_pylist() for c in (
+                "half", "n", "words", "weights", "restored")))]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": b.column("y"),
                                               "x": pa.array(x, pa.list_(pa.float64()))})
-    return prepared.mapInArrow(judge, "doc_id long, y long, x array<double>")
+    return prepared.drop("units").join(told, "row", "left").mapInArrow(judge, "doc_id long, y long, x array<double>")
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, modulus: int = 5, held: int = 0) -> DataFrame:
