@@ -272,11 +272,12 @@ class ToxicityModel:
         self.begin, self.whole = set(self.begin_weight), set(self.weight_of)
         self.alive = {w[:n] for w in self.begin | self.whole for n in range(len(w) + 1)}
         self.known: dict[str, tuple] = {}
+        self.nothing: set[str] = set()                     # tokens that come to nothing: most of them
         self.joined: dict[tuple, bool] = {}
         self.walked: dict[tuple, tuple] = {}
 
     def __getstate__(self):                                # the table and what is known stay at home
-        return {**self.__dict__, "counts": None, "known": {}, "joined": {}, "walked": {}}
+        return {**self.__dict__, "counts": None, "known": {}, "nothing": set(), "joined": {}, "walked": {}}
 
     def _walk(self, states: frozenset, written: str) -> tuple[bool, frozenset]:
         """Follow the lattice of ``written`` from (letters so far, last written
@@ -311,8 +312,11 @@ class ToxicityModel:
     def _look(self, token: str) -> tuple:
         """A token's heaviest plain word, those of its readings that can weigh,
         and where its letters end within something that weighs."""
-        plain = token.strip(_NEUTRAL)
+        plain = token if token.isalpha() else token.strip(_NEUTRAL)
         if plain.isalpha():
+            first, second, third = (plain[:3] + "  ")[:3]
+            if first != second != third and plain[:3] not in self.alive:
+                return _NOTHING                         # every reading begins with these letters
             if not _DOUBLE.search(plain):               # one reading only: the word itself
                 ends = plain in self.alive and not any(plain[:n] in self.begin for n in range(3, 7))
                 weight = self.weigh([plain])
@@ -327,14 +331,12 @@ class ToxicityModel:
                  frozenset(s for s in self._walk(_START, plain)[1] if s[0]))
         return found if any(found) else _NOTHING
 
-    def _spans(self, tokens: list[str], known: dict[str, tuple]) -> set[str]:
+    def _spans(self, tokens: list[str], opens: dict[str, frozenset]) -> set[str]:
         """Neighbouring tokens that can weigh when joined; runs of single
-        characters whole."""
+        characters whole.  ``opens``: the tokens that begin something, with where they end in it."""
         out, done = set(), 0
-        for i, states in enumerate([known[t][2] for t in tokens]):
-            if not states:
-                continue
-            j = i + 1
+        for i in [i for i, t in enumerate(tokens) if t in opens]:
+            states, j = opens[tokens[i]], i + 1
             while states and j < len(tokens):
                 key = (states, tokens[j][:2])
                 alive = self.joined.get(key)
@@ -372,19 +374,27 @@ class ToxicityModel:
         distinct = set(tokens)
         if len(self.known) >= self.size:
             self.known.clear()
-        known = self.known
-        for w in distinct:
-            if w not in known:
-                known[w] = self._look(w)
-        found, units, opens = {}, set(), False
-        for plain, odd, ends in map(known.__getitem__, distinct):
+        if len(self.nothing) >= 4 * self.size:
+            self.nothing.clear()
+        found, units, opens = {}, set(), {}
+        for w in distinct - self.nothing:
+            known = self.known.get(w)
+            if known is None:
+                known = self._look(w)
+                if known is _NOTHING:
+                    self.nothing.add(w)
+                    continue
+                self.known[w] = known
+            plain, odd, ends = known
             if plain:
                 found[plain[0]] = plain[1]
             units.update(odd)
-            opens = opens or bool(ends)
+            if ends:
+                opens[w] = ends
         if opens:
-            units |= self._spans(tokens, known)
-        return len(distinct), list(found), list(found.values()), sorted(units)
+            units |= self._spans(tokens, opens)
+        words = sorted(found)                              # one order of summing, whatever the sets' order
+        return len(distinct), words, [found[w] for w in words], sorted(units)
 
     def evidence(self, n: int, words: list[str], weights: list[float], restored: list[str] | None) -> list[float]:
         weight = dict(zip(words, weights))
