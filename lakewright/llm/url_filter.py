@@ -10,7 +10,8 @@ pages: a link to another host, and the tie of a host to its parent domain.
 Personalised PageRank spreads trust along the edges from hosts whose pages
 rules allow, and distrust against them from hosts whose pages rules block;
 a host is blocked when its distrust exceeds its trust by more than the margin,
-counted in average ranks (1 / hosts).
+counted in average ranks (1 / hosts).  Ranks are worked out until what is left
+is a hundredth of that margin, however long the chains of hosts are.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule, and the verdict allow; repeated rows are judged alike; an empty table
@@ -27,8 +28,9 @@ from lakewright.llm.common import ship, stage
 # Host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DAMPING = 0.85
-ROUNDS = 12
 MARGIN = 1.0
+SETTLED = 0.01                     # ranks are exact to this share of the margin
+HOPS = 4                           # hops between two staged tables
 _LINK = r"(?i)\bhref\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"
 
 
@@ -77,23 +79,36 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(ties).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank (host, rank) from ``seeds`` (host, seed), which
-    sum to 1.  Mass of a host without outgoing edges returns to the seeds."""
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    step = stage(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "steps")
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
-    for i in range(rounds):
-        moved = (ranks.join(step, ranks["host"] == step["src"])
-                 .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("p") * damping).alias("rank")))
-        both = moved.unionByName(seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")))
-        ranks = both.groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 4 == 3 and i < rounds - 1:
-            ranks = stage(ranks, "ranks")
-    ranks = stage(ranks, "ranks")
-    mass = ranks.agg(F.sum("rank")).first()[0] or 1.0
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRank (kind, host, rank) from ``seeds`` (kind, host, seed),
+    which sum to 1 in every kind, along ``edges`` (kind, src, dst, w).  Mass of a
+    host without outgoing edges returns to the seeds.
+
+    A wave leaves the seeds and grows weaker by the damping at every hop, so the
+    rounds end by themselves: when all that is still on its way, in every kind,
+    is at most ``tolerance`` of the mass that has arrived.
+    """
+    if not tolerance > 0:
+        raise ValueError("tolerance must be above 0")
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
+    step = stage(edges.join(out, ["kind", "src"]).select(
+        "kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total") * damping).alias("p")), "steps")
+    state = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), (F.col("seed") * (1 - damping)).alias("wave"))
+    while True:
+        for _ in range(HOPS):
+            moved = (state.where("wave > 0").join(step, ["kind", "host"])
+                     .groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("wave") * F.col("p")).alias("wave")))
+            state = (state.select("kind", "host", "rank", F.lit(0.0).alias("wave"))
+                     .unionByName(moved.select("kind", "host", F.col("wave").alias("rank"), "wave"))
+                     .groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("wave").alias("wave")))
+        state = stage(state, "ranks")
+        mass = state.groupBy("kind").agg(F.sum("rank").alias("mass"), F.sum("wave").alias("wave"))
+        found = mass.collect()                                    # a row a kind
+        # What a wave can still bring is a geometric series.
+        if all(r["wave"] * damping / (1 - damping) <= tolerance * r["mass"] for r in found):
+            break
     # Lost mass is spread as the seeds: a common factor here, as only the seeds receive it.
-    return ranks.select("host", (F.col("rank") / F.lit(mass)).alias("rank"))
+    return state.join(F.broadcast(mass.select("kind", "mass")), "kind").select("kind", "host", (F.col("rank") / F.col("mass")).alias("rank"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, margin: float = MARGIN) -> DataFrame:
@@ -109,16 +124,20 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
         F.count_if(F.col("fit.verdict") == "allow").cast("double").alias("allowed"),
         F.count_if(F.col("fit.verdict") == "block").cast("double").alias("blocked"), F.count("*").alias("pages")), "votes")
 
-    def seeds(column: str) -> DataFrame:
-        # A host's seed is the share of its pages the rules judge, so size alone gives no weight.
-        s = votes.where(f"{column} > 0").select("host", (F.col(column) / F.col("pages")).alias("x"))
-        return s.select("host", (F.col("x") / F.lit(s.agg(F.sum("x")).first()[0] or 1.0)).alias("seed"))
-    trust = spread(edges, seeds("allowed"))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    distrust = spread(back, seeds("blocked"))
-    hosts = stage(votes.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left")
-                  .join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0), "host-scores")
-    n = max(1, hosts.count())
+    # A host's seed is the share of its pages the rules judge, so size alone gives no weight.
+    votes_of = votes.select("host", F.explode(F.array(
+        F.struct(F.lit("trust").alias("kind"), (F.col("allowed") / F.col("pages")).alias("x")),
+        F.struct(F.lit("distrust").alias("kind"), (F.col("blocked") / F.col("pages")).alias("x")))).alias("v")).select("host", "v.*").where("x > 0")
+    seeds = votes_of.join(F.broadcast(votes_of.groupBy("kind").agg(F.sum("x").alias("all"))), "kind").select(
+        "kind", "host", (F.col("x") / F.col("all")).alias("seed"))
+    both = edges.select(F.explode(F.array(
+        F.struct(F.lit("trust").alias("kind"), "src", "dst", "w"),
+        F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))).alias("e")).select("e.*")
+    n = max(1, votes.count())
+    ranks = spread(both, stage(seeds, "seeds"), SETTLED * margin / n)
+    hosts = stage(votes.select("host").join(ranks.where("kind = 'trust'").select("host", F.col("rank").alias("trust")), "host", "left")
+                  .join(ranks.where("kind = 'distrust'").select("host", F.col("rank").alias("distrust")), "host", "left")
+                  .na.fill(0.0), "host-scores")
     bad = F.coalesce(F.col("distrust") - F.col("trust") > margin / n, F.lit(False))
     return (p.drop("html").join(hosts, "host", "left")
             .select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
