@@ -96,10 +96,9 @@ def spread(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float
     state = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), (F.col("seed") * (1 - damping)).alias("wave"))
     while True:
         for _ in range(HOPS):
-            moved = (state.where("wave > 0").join(step, ["kind", "host"])
-                     .groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("wave") * F.col("p")).alias("wave")))
+            moved = state.where("wave > 0").join(step, ["kind", "host"]).withColumn("part", F.col("wave") * F.col("p"))
             state = (state.select("kind", "host", "rank", F.lit(0.0).alias("wave"))
-                     .unionByName(moved.select("kind", "host", F.col("wave").alias("rank"), "wave"))
+                     .unionByName(moved.select("kind", F.col("dst").alias("host"), F.col("part").alias("rank"), F.col("part").alias("wave")))
                      .groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("wave").alias("wave")))
         state = stage(state, "ranks")
         mass = state.groupBy("kind").agg(F.sum("rank").alias("mass"), F.sum("wave").alias("wave"))
