@@ -10,8 +10,9 @@ pages: a link to another host, and the tie of a host to its parent domain.
 Personalised PageRank spreads trust along the edges from hosts whose pages
 rules allow, and distrust against them from hosts whose pages rules block;
 a host is blocked when its distrust exceeds its trust by more than the margin,
-counted in average ranks (1 / hosts).  Ranks are worked out until what is left
-is a hundredth of that margin, however long the chains of hosts are.
+counted in average ranks (1 / hosts).  Ranks are worked out, however long the
+chains of hosts are, until no verdict can change any more, or else until what
+is left is a hundredth of that margin.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule, and the verdict allow; repeated rows are judged alike; an empty table
@@ -20,6 +21,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DAMPING = 0.85
 MARGIN = 1.0
 SETTLED = 0.01                     # ranks are exact to this share of the margin
-HOPS = 4                           # hops between two staged tables
+HOPS = 8                           # hops between two staged tables
 _LINK = r"(?i)\bhref\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"
 
 
@@ -79,37 +82,64 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(ties).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float = DAMPING) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float = DAMPING,
+           decided: Callable[[DataFrame, dict[str, tuple[float, float]]], bool] | None = None) -> DataFrame:
     """Personalised PageRank (kind, host, rank) from ``seeds`` (kind, host, seed),
     which sum to 1 in every kind, along ``edges`` (kind, src, dst, w).  Mass of a
     host without outgoing edges returns to the seeds.
 
     A wave leaves the seeds and grows weaker by the damping at every hop, so the
     rounds end by themselves: when all that is still on its way, in every kind,
-    is at most ``tolerance`` of the mass that has arrived.
+    is at most ``tolerance`` of the mass that has arrived, or earlier when
+    ``decided`` says that the rest cannot matter.  It is given the state (kind,
+    host, rank) and per kind the mass arrived and the most that can still arrive.
     """
     if not tolerance > 0:
         raise ValueError("tolerance must be above 0")
     out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
+    # Every host has a row to itself that keeps its rank, so that a hop is one join and one aggregate.
+    hosts = (edges.select("kind", F.explode(F.array("src", "dst")).alias("host")).unionByName(seeds.select("kind", "host")).distinct()
+             .select("kind", "host", F.col("host").alias("dst"), F.lit(0.0).alias("p"), F.lit(1.0).alias("own")))
     step = stage(edges.join(out, ["kind", "src"]).select(
-        "kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total") * damping).alias("p")), "steps")
+        "kind", F.col("src").alias("host"), "dst", (F.col("w") / F.col("total") * damping).alias("p"), F.lit(0.0).alias("own"))
+        .unionByName(hosts), "steps")
     state = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"), (F.col("seed") * (1 - damping)).alias("wave"))
     while True:
         for _ in range(HOPS):
-            moved = state.where("wave > 0").join(step, ["kind", "host"]).withColumn("part", F.col("wave") * F.col("p"))
-            state = (state.select("kind", "host", "rank", F.lit(0.0).alias("wave"))
-                     .unionByName(moved.select("kind", F.col("dst").alias("host"), F.col("part").alias("rank"), F.col("part").alias("wave")))
+            moved = F.col("wave") * F.col("p")
+            state = (state.join(step, ["kind", "host"])
+                     .select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("own") + moved).alias("rank"), moved.alias("wave"))
                      .groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("wave").alias("wave")))
         state = stage(state, "ranks")
         mass = state.groupBy("kind").agg(F.sum("rank").alias("mass"), F.sum("wave").alias("wave"))
-        found = mass.collect()                                    # a row a kind
-        # What a wave can still bring is a geometric series.
-        if all(r["wave"] * damping / (1 - damping) <= tolerance * r["mass"] for r in found):
+        # A row a kind.  What a wave can still bring is a geometric series.
+        found = {r["kind"]: (r["mass"], r["wave"] * damping / (1 - damping)) for r in mass.collect()}
+        if all(left <= tolerance * m for m, left in found.values()) or (decided and decided(state.drop("wave"), found)):
             break
     # Lost mass is spread as the seeds: a common factor here, as only the seeds receive it.
     return state.join(F.broadcast(mass.select("kind", "mass")), "kind").select("kind", "host", (F.col("rank") / F.col("mass")).alias("rank"))
 
 
+def verdicts_decided(state: DataFrame, found: dict[str, tuple[float, float]], border: float) -> bool:
+    """Whether no host's distrust less trust can cross ``border`` any more.
+
+    Of mass ``m`` arrived and at most ``left`` to come, a host of rank ``r``
+    ends between r / (m + left) and (r + left) / (m + left), and r / m lies
+    between the two.  A host that no wave has reached counts as rank 0.
+    """
+    def ends(kind: str, rank: Column) -> tuple[Column, Column]:
+        m, left = found.get(kind, (0.0, 0.0))
+        whole = m + left
+        return (rank / whole, (rank + left) / whole) if whole else (F.lit(0.0), F.lit(0.0))
+    m, left = found.get("distrust", (0.0, 0.0))
+    if left > border * (m + left):
+        return False                                              # an unreached host could still be blocked
+    rank = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)) for k in ("trust", "distrust")}
+    hosts = state.groupBy("host").agg(rank["trust"].alias("t"), rank["distrust"].alias("d"))
+    (t_low, t_high), (d_low, d_high) = ends("trust", F.col("t")), ends("distrust", F.col("d"))
+    return hosts.where((d_low - t_high <= border) & (d_high - t_low > border)).isEmpty()
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, margin: float = MARGIN) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, and the
     host's trust and distrust."""
@@ -133,7 +163,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
         F.struct(F.lit("trust").alias("kind"), "src", "dst", "w"),
         F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))).alias("e")).select("e.*")
     n = max(1, votes.count())
-    ranks = spread(both, stage(seeds, "seeds"), SETTLED * margin / n)
+    ranks = spread(both, stage(seeds, "seeds"), SETTLED * margin / n,
+                   decided=lambda state, found: verdicts_decided(state, found, margin / n))
     hosts = stage(votes.select("host").join(ranks.where("kind = 'trust'").select("host", F.col("rank").alias("trust")), "host", "left")
                   .join(ranks.where("kind = 'distrust'").select("host", F.col("rank").alias("distrust")), "host", "left")
                   .na.fill(0.0), "host-scores")

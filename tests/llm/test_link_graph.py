@@ -66,3 +66,31 @@ def test_edge_rows_and_a_long_chain(spark, chain):
     assert len(by[25][0]["host"]) == 100_004 and by[25][0]["verdict"] == "allow"
     assert len(by[26]) == 2 and by[26][0] == by[26][1]
     assert url_filter.judge_urls(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize("margin", [0.2, 1.0, 3.0])
+def test_verdicts_equal_the_dense_solution(spark, margin):
+    """Random links among hosts, some blocked and some allowed: stopping early changes no verdict."""
+    rng = np.random.default_rng(11)
+    names = [f"h{i}.{('net', 'org', 'info', 'info')[i % 4]}" for i in range(48)]
+    links = [[names[int(j)] for j in rng.integers(0, 48, int(rng.integers(0, 5)))] for _ in names]
+    rows = [(i, f"http://{n}/fr/x", "".join(f'<a href="https://{t}/">' for t in links[i])) for i, n in enumerate(names)]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(
+        spark.createDataFrame(rows, "page_id long, url string, html string"), margin=margin).collect()}
+    edges = [(i, names.index(t), 1.0) for i, ts in enumerate(links) for t in ts if t != names[i]]
+    seeds = {v: np.array([float(n.endswith(e)) for n in names]) for v, e in (("trust", ".org"), ("distrust", ".net"))}
+    trust = dense(48, edges, list(seeds["trust"] / seeds["trust"].sum()))
+    distrust = dense(48, [(b, a, w) for a, b, w in edges], list(seeds["distrust"] / seeds["distrust"].sum()))
+    for i, n in enumerate(names):
+        want = "block" if n.endswith(".net") or (not n.endswith(".org") and distrust[i] - trust[i] > margin / 48) else "allow"
+        assert got[i]["verdict"] == want, (i, distrust[i] - trust[i], margin / 48)
+
+
+def test_undecided_hosts_are_seen(spark):
+    def decided(rows, found, border=0.1):
+        return url_filter.verdicts_decided(spark.createDataFrame(rows, "kind string, host string, rank double"), found, border)
+    assert decided([("distrust", "a", 0.5), ("trust", "b", 0.5)], {"distrust": (0.9, 0.01), "trust": (0.9, 0.01)})
+    assert not decided([("distrust", "a", 0.0895)], {"distrust": (0.9, 0.01)})     # 0.098 to 0.109
+    assert not decided([("distrust", "a", 0.5)], {"distrust": (0.7, 0.3)})         # hosts not reached yet
+    assert not decided([("distrust", "a", 0.5), ("trust", "a", 0.4)], {"distrust": (0.95, 0.01), "trust": (0.95, 0.05)})
+    assert decided([], {})
