@@ -4,7 +4,9 @@ A shard holds the tokens of consecutive documents (ascending doc_id) as one
 row of a Parquet file: a packed bit-plane per bit of the vocabulary, the
 number of zeros of each plane, and rank samples.  From it ``access``,
 ``rank``, ``count`` and ``select`` (occurrence lookup) are answered without
-decoding the shard; ``decode`` restores all tokens.
+decoding the shard; ``decode`` restores all tokens.  The written files answer
+``tokens_at``, ``token_counts`` and ``occurrences`` as Spark jobs over shards,
+by token positions in the whole corpus.
 
 Defined results: null text is empty and yields the end id alone; null doc_id
 comes first; rows with equal doc_id follow one another, ordered by their ids;
@@ -28,6 +30,7 @@ SHARD_TOKENS = 1 << 21
 RANGE_DOCS = 8192
 MAX_RANGES = 10_000
 BLOCK = 512                         # bits between two rank samples
+MAX_ASKED = 10_000                  # tokens of one count or lookup
 SHARD_SCHEMA = ("range_id int, seq int, n_tokens long, levels int, doc_ids array<long>, doc_starts binary, "
                 "zeros array<long>, planes array<binary>, ranks array<binary>")
 
@@ -113,6 +116,37 @@ class WaveletMatrix:
             i = lo
         return i
 
+    def _ones_before(self, level: int, at: np.ndarray) -> np.ndarray:
+        """``_rank1`` of many positions at once."""
+        plane = np.append(self.planes[level], np.uint8(0))
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)])
+        return ones[at >> 3] + np.bitwise_count(plane[at >> 3].astype(np.int64) >> (8 - (at & 7)))
+
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        """The tokens at the positions ``at``."""
+        at = np.asarray(at, np.int64)
+        value = np.zeros(len(at), np.int64)
+        for level in range(self.levels):
+            bit = self.planes[level][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            ones = self._ones_before(level, at)
+            value = value << 1 | bit
+            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+        return value
+
+    def find(self, token: int) -> np.ndarray:
+        """All positions of ``token``, ascending: its range in the last plane's
+        order is followed up, a plane at a time."""
+        if token < 0 or token >> self.levels:
+            return np.empty(0, np.int64)
+        at = np.arange(*self._range(token, self.n), dtype=np.int64)
+        for level in range(self.levels - 1, -1, -1):
+            if not len(at):
+                break
+            one = token >> (self.levels - 1 - level) & 1
+            bits = np.unpackbits(self.planes[level], count=self.n) == one
+            at = np.flatnonzero(bits)[at - (self.zeros[level] if one else 0)]
+        return at
+
     def decode(self) -> np.ndarray:
         """All tokens, undoing the moves from the lowest plane up."""
         out = np.zeros(self.n, np.uint32)
@@ -212,6 +246,83 @@ def read_token_shards(spark, path: str) -> DataFrame:
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _matrix(b: pa.RecordBatch, i: int) -> WaveletMatrix:
+    return WaveletMatrix(*(b.column(c)[i].as_py() for c in ("n_tokens", "planes", "zeros", "ranks")))
+
+
+def _asked(tokens: list[int]) -> list[int]:
+    if len(tokens) > MAX_ASKED:
+        raise ValueError(f"at most {MAX_ASKED} tokens at a time, not {len(tokens)}")
+    return sorted({int(t) for t in tokens})
+
+
+def token_counts(spark, path: str, tokens: list[int]) -> DataFrame:
+    """Occurrences of each of ``tokens`` (at most MAX_ASKED; 0 for absent ones) in
+    all shards: token, n.  Shards are ranked, not decoded."""
+    asked = _asked(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                w = _matrix(b, i)
+                yield pa.RecordBatch.from_pydict({"token": pa.array(asked, pa.int64()),
+                                                  "n": pa.array([w.count(t) if t >= 0 else 0 for t in asked], pa.int64())})
+    files = spark.read.schema(SHARD_SCHEMA).parquet(path).select("n_tokens", "planes", "zeros", "ranks")
+    none = spark.createDataFrame([(t, 0) for t in asked], "token long, n long")
+    return files.mapInArrow(run, "token long, n long").unionByName(none).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark, path: str, tokens: list[int]) -> DataFrame:
+    """Every place of each of ``tokens`` (at most MAX_ASKED): token, doc_id, at (in
+    its document), position (in the corpus).  A task holds one shard and one
+    token's places in it."""
+    asked = _asked(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                w, ids = _matrix(b, i), b.column("doc_ids")[i].values
+                cuts = np.frombuffer(b.column("doc_starts")[i].as_py(), "<i8")
+                for t in asked:
+                    at = w.find(t)
+                    doc = np.searchsorted(cuts, at, "right") - 1
+                    yield pa.RecordBatch.from_pydict({
+                        "range_id": pa.array(np.full(len(at), b.column("range_id")[i].as_py(), np.int32)),
+                        "seq": pa.array(np.full(len(at), b.column("seq")[i].as_py(), np.int32)),
+                        "token": pa.array(np.full(len(at), t, np.int64)), "doc_id": ids.take(pa.array(doc)),
+                        "at": pa.array(at - cuts[doc]), "inside": pa.array(at)})
+    files = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    found = files.select("range_id", "seq", "n_tokens", "doc_ids", "doc_starts", "planes", "zeros", "ranks").mapInArrow(
+        run, "range_id int, seq int, token long, doc_id long, at long, inside long")
+    return found.join(shard_starts(files), ["range_id", "seq"]).select(
+        "token", "doc_id", "at", (F.col("base") + F.col("inside")).alias("position"))
+
+
+def tokens_at(spark, path: str, positions: DataFrame) -> DataFrame:
+    """The token at each distinct ``position`` (in the corpus) of ``positions``:
+    position, token; null or outside positions give no row.  Positions meet
+    their shard by the blocks of SHARD_TOKENS it covers; a shard has at most as
+    many distinct positions as tokens."""
+    files = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    block = F.lit(SHARD_TOKENS)
+    spans = (shard_starts(files).join(files.select("range_id", "seq", "n_tokens"), ["range_id", "seq"])
+             .withColumn("block", F.explode(F.sequence(F.floor(F.col("base") / block), F.floor((F.col("base") + F.col("n_tokens") - 1) / block)))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).where("position >= 0").distinct()
+    placed = (asked.withColumn("block", F.floor(F.col("position") / block)).join(spans, "block")
+              .where((F.col("position") >= F.col("base")) & (F.col("position") < F.col("base") + F.col("n_tokens")))
+              .select("range_id", "seq", "position", (F.col("position") - F.col("base")).alias("inside")))
+
+    def look(key, wanted: pa.Table, shards: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.table({"position": pa.array([], pa.int64()), "token": pa.array([], pa.int64())})
+        w = _matrix(shards.combine_chunks().to_batches()[0], 0)
+        return pa.table({"position": wanted.column("position"), "token": pa.array(w.access_many(wanted.column("inside").to_numpy()))})
+    return (placed.groupBy("range_id", "seq").cogroup(
+        files.select(F.col("range_id").alias("shard_range"), F.col("seq").alias("shard_seq"), "n_tokens", "planes", "zeros", "ranks")
+        .groupBy("shard_range", "shard_seq"))
+        .applyInArrow(look, "position long, token long"))
+
+
 def shard_starts(files: DataFrame) -> DataFrame:
     """First token position of every shard: ranges are summed on their own
     (at most MAX_RANGES rows), shards within their range."""
