@@ -28,7 +28,6 @@ from lakewright.llm.common import docs_of, stage
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 KEYS_PER_FILTER = 1 << 20          # expected digests in one filter part
-PART_BITS = 12
 
 
 # --- binary fuse filter -----------------------------------------------------
@@ -158,7 +157,7 @@ class Snapshot:
     @classmethod
     def build(cls, rows: DataFrame) -> "Snapshot":
         buckets = stage(_groups(rows), "buckets")
-        parts = min(1 << PART_BITS, 1 + buckets.count() // KEYS_PER_FILTER)
+        parts = 1 + buckets.count() // KEYS_PER_FILTER
 
         def fill(key, table):
             f = BinaryFuseFilter.build(table.column("key").to_numpy().astype(np.int64).view(np.uint64))
@@ -169,7 +168,12 @@ class Snapshot:
         return cls(buckets, stage(filters, "filters"), parts)
 
     def screen(self, incoming: DataFrame) -> DataFrame:
-        """Adds ``maybe``: false means certainly not in the snapshot."""
+        """``text_sha256, maybe``: false means certainly not in the snapshot.
+
+        A part of the snapshot meets its incoming digests in slices of about
+        KEYS_PER_FILTER, each with a copy of the part's filter, so that a new
+        batch far larger than the snapshot is spread all the same."""
+        slices = 1 + incoming.count() // (self.parts * KEYS_PER_FILTER)
         def look(key, rows, filters):
             keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
             hit = np.zeros(len(keys), bool)
@@ -177,8 +181,9 @@ class Snapshot:
                 hit |= BinaryFuseFilter(f["seed"] + 2**63, f["segment"], f["span"],
                                         np.frombuffer(f["fingerprints"], np.uint8)).may_hold(keys)
             return pa.table({"text_sha256": rows.column("text_sha256"), "maybe": pa.array(hit)})
-        return (incoming.select(_part(self.parts), "key", "text_sha256").groupBy("part")
-                .cogroup(self.filters.groupBy("part"))
+        copies = self.filters.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        return (incoming.select(_part(self.parts), F.pmod(F.hash("key"), F.lit(slices)).alias("slice"), "key", "text_sha256")
+                .groupBy("part", "slice").cogroup(copies.groupBy("part", "slice"))
                 .applyInArrow(look, "text_sha256 string, maybe boolean"))
 
 
@@ -195,12 +200,15 @@ def dedup_against(snapshot: Snapshot, incoming: DataFrame) -> DataFrame:
 
 
 def byte_conflicts(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Digests whose rows differ in bytes.  Spark groups by the normalised
-    bytes themselves, so every row of a bucket is compared in full, copies
-    within a task once, and no group meets in one task."""
-    exact = digests(docs, with_bytes=True).select("text_sha256", "norm").distinct()
-    return (exact.groupBy("text_sha256").agg(F.count("*").alias("contents")).where("contents > 1")
-            .join(groups.where("group_size > 1"), "text_sha256", "left_semi"))
+    """Digests whose rows differ in bytes.  Only the bytes of positives, rows
+    whose digest another row has too, are compared: Spark groups by the
+    normalised bytes themselves, so every row of a bucket is compared in full,
+    copies within a task once, and no group meets in one task.  The positives'
+    digests are a staged table, which Spark sends to all tasks if its size
+    allows, and joins by shuffle otherwise."""
+    positives = stage(groups.where("group_size > 1").select("text_sha256"), "positives")
+    exact = digests(docs, with_bytes=True).select("text_sha256", "norm").join(positives, "text_sha256", "left_semi").distinct()
+    return exact.groupBy("text_sha256").agg(F.count("*").alias("contents")).where("contents > 1")
 
 
 def exact_dedup(docs: DataFrame, snapshot_filter: Column | None = None) -> DataFrame:
