@@ -64,15 +64,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.array([1], np.uint64)
+_FACTORS = np.empty(0, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS), 256)
-        _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, _BASE, np.uint64))])
-    return _POWERS
+def _factors(n: int) -> np.ndarray:
+    """A multiplier for each place in a word.  They follow no geometric series:
+    powers modulo 2^64 give words of a regular pattern the same sum."""
+    global _FACTORS
+    if len(_FACTORS) < n:
+        _FACTORS = _mix(np.arange(1, max(n, 2 * len(_FACTORS), 256) + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+    return _FACTORS
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -91,10 +92,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     if not len(starts):
         return [empty] * (len(offsets) - 1)
     size = ends - starts
-    powers = _powers(int(size.max()))
+    factors = _factors(int(size.max()))
     heads = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(heads, size)
-    h = _mix(np.add.reduceat(_BYTE[low[letter]] * powers[place], heads) + size.astype(np.uint64))
+    h = _mix(np.add.reduceat(_BYTE[low[letter]] * factors[place], heads) + size.astype(np.uint64))
     first = np.searchsorted(starts, offsets)
     whole = len(h) - words + 1
     if whole > 0:
