@@ -23,11 +23,13 @@ _WIDE_GAP = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
 # Below U+0250 these are all the numbers; every other word character but "_" is a letter.
+# Classes are written out, as a set without escapes is one look-up a character.
 _NUMBERS = "0-9²³¹¼½¾"
-_LETTER, _OTHER = rf"[^\W_{_NUMBERS}]", r"(?:_|[^\w\s])"
+_BELOW = "".join(map(chr, range(0x250)))
+_LETTER, _OTHER, _SPACE = ("[" + re.escape("".join(re.findall(c, _BELOW))) + "]" for c in (rf"[^\W_{_NUMBERS}]", r"_|[^\w\s]", r"\s"))
 _SUFFIX = "'(?:[stmd]|re|ve|ll)"
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
-_JOINED = re.compile(rf"{_SUFFIX}| ?{_LETTER}+| ?[{_NUMBERS}]+| ?{_OTHER}+|\s+(?!\S)|\s+")
+_JOINED = re.compile(rf"{_SUFFIX}| ?{_LETTER}+| ?[{_NUMBERS}]+| ?{_OTHER}+|{_SPACE}+(?!\S)|{_SPACE}+")
 _BARE = re.compile(rf"{_LETTER}+|[{_NUMBERS}]|{_SUFFIX}|{_OTHER}+")
 
 # The vocabularies write a byte as a printable character: itself if it is one,
@@ -35,6 +37,21 @@ _BARE = re.compile(rf"{_LETTER}+|[{_NUMBERS}]|{_SUFFIX}|{_OTHER}+")
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _HIDDEN = [b for b in range(256) if b not in _PRINTABLE]
 _BYTE_CHARS = [chr(b if b in _PRINTABLE else 256 + _HIDDEN.index(b)) for b in range(256)]
+_AS_BYTES = ["".join(_BYTE_CHARS[b] for b in c.encode("utf-8")) for c in _BELOW]
+
+
+class _Pieces(dict):
+    """Ids of pre-tokens; one not seen yet comes from the older generation or the model."""
+
+    def __init__(self, old: dict[str, bytes], encode):
+        self.old, self.encode = old, encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
 
 
 class ChunkEncoder:
@@ -55,21 +72,15 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= END_BITS else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache_size = cache_size
-        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}       # young, old
-        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.pieces = _Pieces({}, self._model)
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}       # young, old
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _model(self, pieces: list[str]) -> list[bytes]:
-        """Ids of single pre-tokens, by the vocabulary's merges alone."""
-        tokenize, out = self.tokenizer.model.tokenize, []
-        for p in pieces:
-            raw = (p.replace(" ", _BYTE_CHARS[32]) if p.isascii() and p.isprintable()
-                   else "".join([_BYTE_CHARS[b] for b in p.encode("utf-8")]))
-            out.append(np.array([t.id for t in tokenize(raw)], self.dtype).tobytes() if self.code == "I"
-                       else array("H", [t.id for t in tokenize(raw)]).tobytes())
-        return out
+    def _model(self, piece: str) -> bytes:
+        """Ids of a single pre-token, by the vocabulary's merges alone."""
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece.translate(_AS_BYTES))]).tobytes()
 
     def _look_up(self, parts: list[str], cache: tuple[dict, dict], encode) -> list[bytes]:
         young, old = cache
@@ -89,7 +100,7 @@ class ChunkEncoder:
         low = text if self.space_joined else text.lower()
         if _ODD.search(low):
             return None
-        return b"".join(self._look_up((_JOINED if self.space_joined else _BARE).findall(low), self.pieces, self._model))
+        return b"".join(map(self.pieces.__getitem__, (_JOINED if self.space_joined else _BARE).findall(low)))
 
     def _cut(self, text: str) -> tuple[str, list[str]]:
         head, *tail = _CUT.split(text) if _WIDE_GAP.search(text) else text.split(" ")
@@ -99,7 +110,10 @@ class ChunkEncoder:
         return ({}, cache[0]) if len(cache[0]) > self.cache_size else cache
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.pieces, self.chunks = self._bounded(self.pieces), self._bounded(self.chunks)
+        self.chunks = self._bounded(self.chunks)
+        if len(self.pieces) > self.cache_size:
+            self.pieces.old = {}
+            self.pieces = _Pieces(self.pieces, self._model)
         out: list[bytes | None] = [None] * len(texts)
         odd: list[tuple[int, str, list[str]]] = []
         for i, t in enumerate(texts):
