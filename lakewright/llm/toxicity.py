@@ -257,10 +257,21 @@ def words_of_text(text: str, restored: dict[str, str]) -> set[str]:
     return plain.union(*[restored[u].split() for u in units_of(text)])
 
 
-_NOTHING = (None, (), frozenset())
+_NOTHING = (None, (), None)
 _START = frozenset([("", "")])
 
 
+class _Node:
+    """Where a walk through the lattice can be: (letters so far, last written
+    letter).  ``next``: by the sign that follows, the node it leads to, None
+    if nothing that weighs begins so, True if a beginning that weighs is there."""
+
+    __slots__ = ("states", "whole", "next")
+
+    def __init__(self, states: frozenset, whole: bool):
+        self.states, self.whole, self.next = states, whole, {}
+
+
 class ToxicityModel:
     """Weights of words and beginnings behind the channel.  What a token of
     the text comes to is kept for the worker (``size`` tokens)."""
@@ -273,32 +284,43 @@ class ToxicityModel:
         self.alive = {w[:n] for w in self.begin | self.whole for n in range(len(w) + 1)}
         self.known: dict[str, tuple] = {}
         self.nothing: set[str] = set()                     # tokens that come to nothing: most of them
-        self.joined: dict[tuple, bool] = {}
-        self.walked: dict[tuple, tuple] = {}
+        self.nodes: dict[frozenset, _Node] = {}
+        self.edges = 0
 
     def __getstate__(self):                                # the table and what is known stay at home
-        return {**self.__dict__, "counts": None, "known": {}, "nothing": set(), "joined": {}, "walked": {}}
+        return {**self.__dict__, "counts": None, "known": {}, "nothing": set(), "nodes": {}, "edges": 0}
+
+    def _node(self, states: frozenset) -> _Node:
+        if states not in self.nodes:
+            self.nodes[states] = _Node(states, any(at in self.whole for at, _ in states))
+        return self.nodes[states]
+
+    def _follow(self, node: _Node, ch: str) -> _Node | None | bool:
+        """The node that ``ch`` leads to, worked out once."""
+        now = set(node.states) if ch in MARKS else set()
+        hit = False
+        for at, last in node.states if ch not in MARKS else ():
+            for out in (ch, *LOOKALIKES.get(ch, "")):
+                hit = hit or at + out in self.begin
+                if at + out in self.alive:
+                    now.add((at + out, out))
+                if out == last:
+                    now.add((at, last))
+        self.edges += 1
+        to = node.next[ch] = True if hit else self._node(frozenset(now)) if now else None
+        return to
 
-    def _walk(self, states: frozenset, written: str) -> tuple[bool, frozenset]:
-        """Follow the lattice of ``written`` from (letters so far, last written
-        letter): whether it holds a beginning that weighs, and where it ends."""
+    def _walk(self, node: _Node, written: str) -> tuple[bool, _Node | None]:
+        """Follow the lattice of ``written`` from a node: whether it holds a
+        beginning or word that weighs, and where it ends."""
         for ch in written:
-            now = set()
-            for at, last in states:
-                if ch in MARKS:
-                    now.add((at, last))
-                    continue
-                for out in (ch, *LOOKALIKES.get(ch, "")):
-                    if at + out in self.begin:
-                        return True, frozenset()
-                    if at + out in self.alive:
-                        now.add((at + out, out))
-                    if out == last:
-                        now.add((at, last))
-            states = frozenset(now)
-            if not states:
-                break
-        return any(at in self.whole for at, _ in states), states
+            to = node.next.get(ch, False)
+            if to is False:
+                to = self._follow(node, ch)
+            if to is None or to is True:
+                return to is True, None
+            node = to
+        return node.whole, node
 
     def weigh(self, words: list[str]) -> tuple[str, float] | None:
         """The heaviest of some words, if any weighs."""
@@ -312,7 +334,7 @@ class ToxicityModel:
     def _look(self, token: str) -> tuple:
         """A token's heaviest plain word, those of its readings that can weigh,
         and where its letters end within something that weighs."""
-        plain = token if token.isalpha() else token.strip(_NEUTRAL)
+        start, plain = self._node(_START), token if token.isalpha() else token.strip(_NEUTRAL)
         if plain.isalpha():
             first, second, third = (plain[:3] + "  ")[:3]
             if first != second != third and plain[:3] not in self.alive:
@@ -320,40 +342,28 @@ class ToxicityModel:
             if not _DOUBLE.search(plain):               # one reading only: the word itself
                 ends = plain in self.alive and not any(plain[:n] in self.begin for n in range(3, 7))
                 weight = self.weigh([plain])
-                return (weight, (), frozenset([(plain, plain[-1])]) if ends else frozenset()) if ends or weight else _NOTHING
+                return (weight, (), self._node(frozenset([(plain, plain[-1])])) if ends else None) if ends or weight else _NOTHING
             if plain[:3] not in self.alive and not _DOUBLE.search(plain[:3]):
                 return _NOTHING                         # every reading begins with these letters
-            weighs, states = self._walk(_START, plain)
-            found = self.weigh([plain]), (plain,) if weighs else (), frozenset(s for s in states if s[0])
+            weighs, ends = self._walk(start, plain)
+            found = self.weigh([plain]), (plain,) if weighs else (), ends
             return found if any(found) else _NOTHING
         words, odd = readings(token)
-        found = (self.weigh(words), tuple(o for o in odd if self._walk(_START, o)[0]),
-                 frozenset(s for s in self._walk(_START, plain)[1] if s[0]))
+        ends = self._walk(start, plain)[1]
+        found = self.weigh(words), tuple(o for o in odd if self._walk(start, o)[0]), ends if ends is not start else None
         return found if any(found) else _NOTHING
 
-    def _spans(self, tokens: list[str], opens: dict[str, frozenset]) -> set[str]:
+    def _spans(self, tokens: list[str], opens: dict[str, _Node]) -> set[str]:
         """Neighbouring tokens that can weigh when joined; runs of single
         characters whole.  ``opens``: the tokens that begin something, with where they end in it."""
         out, done = set(), 0
         for i in [i for i, t in enumerate(tokens) if t in opens]:
-            states, j = opens[tokens[i]], i + 1
-            while states and j < len(tokens):
-                key = (states, tokens[j][:2])
-                alive = self.joined.get(key)
-                if alive is None:
-                    if len(self.joined) >= self.size:
-                        self.joined.clear()
-                    # Of what is joined, the first two characters mostly show that nothing weighs.
-                    alive = self.joined[key] = not key[1].isalnum() or any(self._walk(states, key[1]))
-                if not alive:
+            node, j = opens[tokens[i]], i + 1
+            while node is not None and j < len(tokens):
+                first = tokens[j][0]
+                if node.next.get(first, False) is None and first not in _NEUTRAL:
                     break
-                pair = (states, tokens[j])
-                walk = self.walked.get(pair)
-                if walk is None:
-                    if len(self.walked) >= self.size:
-                        self.walked.clear()
-                    walk = self.walked[pair] = self._walk(states, tokens[j].strip(_NEUTRAL))
-                weighs, states = walk
+                weighs, node = self._walk(node, tokens[j].strip(_NEUTRAL))
                 j += 1
                 if weighs:
                     a, z = i, j
@@ -372,8 +382,10 @@ class ToxicityModel:
         weights, and the units to decode."""
         tokens = text.lower().split()
         distinct = set(tokens)
-        if len(self.known) >= self.size:
-            self.known.clear()
+        if len(self.known) >= self.size or self.edges >= 8 * self.size:
+            self.known.clear()                             # holds nodes
+        if self.edges >= 8 * self.size:
+            self.nodes, self.edges = {}, 0
         if len(self.nothing) >= 4 * self.size:
             self.nothing.clear()
         found, units, opens = {}, set(), {}
@@ -389,17 +401,17 @@ class ToxicityModel:
             if plain:
                 found[plain[0]] = plain[1]
             units.update(odd)
-            if ends:
+            if ends is not None:
                 opens[w] = ends
         if opens:
             units |= self._spans(tokens, opens)
         words = sorted(found)                              # one order of summing, whatever the sets' order
         return len(distinct), words, [found[w] for w in words], sorted(units)
 
-    def evidence(self, n: int, words: list[str], weights: list[float], restored: list[str] | None) -> list[float]:
+    def evidence(self, n: int, words: list[str], weights: list[float], units: list[str], restored: dict[str, str]) -> list[float]:
         weight = dict(zip(words, weights))
-        for r in restored or ():
-            weight.update(v for w in r.split() if (v := self.weigh([w])))
+        for u in units:
+            weight.update(v for w in restored[u].split() if (v := self.weigh([w])))
         return [sum(weight.values()), max(weight.values(), default=0.0), len(weight) / np.sqrt(1.0 + n), np.log1p(n) / 5]
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -510,13 +522,14 @@ def _evidence(docs: DataFrame, models: dict[int, ToxicityModel], counts: CharCou
     # go back to the texts by a join: how many there are grows with the corpus.
     restored = restore(prepared.select(F.explode("units").alias("unit")), counts).mapInArrow(weighing, "unit string, restored string")
     told = (prepared.select("row", F.explode("units").alias("unit")).join(restored, "unit")
-            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("unit", "restored"))).alias("told"))
-            .select("row", F.col("told.restored").alias("restored")))
+            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("unit", "restored"))).alias("told")))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [models[h].evidence(*r) for h, *r in zip(*(b.column(c).to_pylist() for c in (
-                "half", "n", "words", "weights", "restored")))]
+            x = []
+            for h, n, words, weights, told in zip(*(b.column(c).to_pylist() for c in ("half", "n", "words", "weights", "told"))):
+                restored = {t["unit"]: t["restored"] for t in told or ()}
+                x.append(models[h].evidence(n, words, weights, list(restored), restored))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": b.column("y"),
                                               "x": pa.array(x, pa.list_(pa.float64()))})
     return prepared.drop("units").join(told, "row", "left").mapInArrow(judge, "doc_id long, y long, x array<double>")
